@@ -1,15 +1,14 @@
 """Order-insensitive comparison of a Spark result with DuckDB SQL."""
 
 import glob
-import math
 import os
 
 import duckdb
 
 
 def _cell(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
-        return ""
+    if value is None:
+        return "<null>"
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, float):

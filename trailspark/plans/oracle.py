@@ -439,3 +439,76 @@ ORACLE = {
         WS_SESSIONS, WORK_WAIT,
     ),
 }
+
+RULES = " UNION ALL ".join(
+    f"SELECT event_id, event_name, tool_name, {rule_id} AS rule_id FROM ev WHERE event_name = '{name}'"
+    + ("" if pattern == "*" else f" AND regexp_matches(tool_name, '{pattern}')")
+    for rule_id, name, pattern in P.RULES
+)
+
+ORACLE.update({
+    # sources and sinks
+    "read_raw_events": q(
+        "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_name, '' AS tool_arg, "
+        "'*' AS matcher, session_id FROM ev"
+    ),
+    "normalize_time": """SELECT event_id, date_trunc('second', CASE event_type
+        WHEN 'click' THEN ts + INTERVAL 3 HOUR WHEN 'view' THEN ts ELSE ts + INTERVAL 5 HOUR END) AS ts FROM events""",
+    "split_quarantine": """SELECT event_id, CASE WHEN trim(data) = '' THEN 'no_data'
+        WHEN NOT json_valid(data) THEN 'invalid_json' END AS reason
+        FROM (SELECT event_id, CASE event_type WHEN 'error' THEN substr(props, 1, length(props) - 1)
+              WHEN 'view' THEN ' ' ELSE props END AS data FROM events)""",
+    "to_silver": q(f"SELECT {COLUMNS} FROM ev"),
+    "attach_workspace": q(
+        f"""SELECT event_id, cwd, coalesce(label, workspace) AS workspace,
+              coalesce(label, workspace) AS payload_workspace
+            FROM ev LEFT JOIN (
+              SELECT '/home/u' || u || '/proj' || p AS cwd, 'h' || (u % 5) AS label
+              FROM range({P.HOST_USERS}) a(u), range(4) b(p) WHERE u % 3 <> 0) USING (cwd)"""
+    ),
+    "append_events": q(f"SELECT CAST(ts AS DATE) AS event_date, {COLUMNS} FROM ev"),
+    "write_audit_log": q("SELECT event_name, count(*) AS entries FROM ev GROUP BY 1"),
+    "agent_event_feed": q(
+        """SELECT event_date, row_number() OVER (PARTITION BY event_date ORDER BY ts, event_id) AS id,
+             event_id, ts, phase
+           FROM (SELECT CAST(ts AS DATE) AS event_date, event_id, ts,
+                   CASE WHEN event_name = 'PreToolUse' AND tool_name = 'Task' THEN 'pre'
+                        WHEN event_name = 'PostToolUse' AND tool_name = 'Task' THEN 'post'
+                        WHEN event_name = 'SubagentStop' THEN 'stop' END AS phase FROM ev)
+           WHERE phase IS NOT NULL"""
+    ),
+    "heartbeat_rate": """SELECT bucket_start, count(*) AS beats, max(gap) AS max_gap_s
+        FROM (SELECT date_trunc('day', s)::TIMESTAMP AS bucket_start,
+                date_diff('second', lag(s) OVER (PARTITION BY date_trunc('day', s) ORDER BY s), s) AS gap
+              FROM (SELECT date_trunc('second', ts) AS s FROM events))
+        GROUP BY 1""",
+    "route_events": q(RULES),
+    "export_csv": ORACLE["session_rollup"],
+    # streams
+    "stream_silver": q(
+        f"SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM (SELECT {COLUMNS} FROM ev)"
+    ),
+    "stream_session_rollup": q(
+        """SELECT session_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS total_events,
+             count(*) FILTER (event_name = 'SessionEnd') AS end_events,
+             count(*) FILTER (event_name = 'SessionEnd') > 0 AS is_ended
+           FROM ev GROUP BY 1"""
+    ),
+    "stream_window_counts": """WITH hourly AS (
+          SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1)
+        SELECT '1 hour' AS span, hour AS window_start, n AS events FROM hourly
+        UNION ALL
+        SELECT '24 hours', hour - to_hours(h), CAST(sum(n) AS BIGINT) FROM hourly, range(24) r(h) GROUP BY 1, 2""",
+    "stream_activity_periods": q(
+        """SELECT session_id, min(ts) AS period_start, max(ts) AS period_end, count(*) AS events,
+             date_diff('microsecond', min(ts), max(ts)) / 1e6 AS active_seconds
+           FROM (SELECT session_id, ts, sum(is_new) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS period
+                 FROM breaks) GROUP BY session_id, period""",
+        f"""breaks AS (
+          SELECT session_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id)
+            <= INTERVAL {P.PERIOD_GAP} THEN 0 ELSE 1 END AS is_new FROM ev)""",
+    ),
+    "stream_late_report": """SELECT date_trunc('hour', ts) AS hour, count(*) AS late_events,
+          max(event_id % 97) * 60.0::DOUBLE AS longest_delay_seconds
+        FROM events WHERE event_id % 97 > 60 GROUP BY 1""",
+})

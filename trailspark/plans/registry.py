@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trailspark.operators import activity, agents, sessions, tools, workspaces
 from trailspark.plans import parameters as P
 from trailspark.plans.fixture_view import load_silver, load_typed
+from trailspark.plans.io_queries import IO
 from trailspark.schema import AGENT_ALIASES, TYPED_COLUMNS
 from trailspark.session import pin_session
 
@@ -117,7 +118,7 @@ BATCH: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(BATCH)
+    return {**BATCH, **IO}
 
 
 def entry(spark: SparkSession) -> DataFrame:
