@@ -236,7 +236,7 @@ def session_replay(ev: DataFrame, session_id: str | None = None) -> DataFrame:
         "session_id", "ts", "event_id", "event_name", "tool_name"
     )
     numbered = with_rank(rows, ["session_id"], "step", first="__start")
-    return numbered.orderBy("session_id", "step").select(
+    return numbered.select(
         "session_id", "step", "ts",
         seconds_between(F.col("__start"), F.col("ts")).alias("offset_seconds"),
         "event_name", "tool_name",

@@ -29,14 +29,14 @@ def silver_from_events(events: DataFrame) -> DataFrame:
         .when(kind == "view", PRE_TOOL)
         .when(kind == "click", POST_TOOL)
         .when(kind == "purchase", F.when(k < 50, PRE_TOOL).otherwise(POST_TOOL))
-        .otherwise(
-            F.when(k < 10, SESSION_END).when(k < 20, PRE_COMPACT)
-            .when(k < 30, SUBAGENT_STOP).otherwise(STOP)
-        )
+        .otherwise(_pick((SESSION_END, PRE_COMPACT, SUBAGENT_STOP, STOP), F.least(j, F.lit(3))))
     )
     is_pre, is_post = F.col("event_name") == PRE_TOOL, F.col("event_name") == POST_TOOL
     base = (
-        events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+        # A generator parses the text once per row: filters on the columns built
+        # from it stay above, where a plain expression would be copied into them.
+        events.select("*", F.json_tuple("props", "k").alias("k"))
+        .withColumn("k", k.cast("int"))
         .withColumn("j", F.floor(k / 10).cast("int"))
         .withColumn("event_name", event_name)
         .withColumn("tool_name", F.when(is_pre | is_post, _pick(TOOLS, k % 10)))

@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from trailspark.functions.times import interval_micros, seconds_between
@@ -11,12 +11,9 @@ from trailspark.schema import SESSION_END
 from trailspark.streaming.jobs import unzoned, zoned
 from trailspark.streaming.parts import read_parts, start_parts
 
-PARTIAL = "session_id string, first_ts timestamp, last_ts timestamp, events long, ends long"
+PARTIAL = "session_id string, first_us long, last_us long, events long, ends long"
 STATE = "first_us long, last_us long, events long"
-OUTPUT = (
-    "session_id string, state string, reason string, session_start timestamp, "
-    "last_event timestamp, events long"
-)
+OUTPUT = "session_id string, state string, reason string, first_us long, last_us long, events long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -26,8 +23,8 @@ def _partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         grouped = rows.groupby("session_id", sort=False)
         yield grouped.agg(
-            first_ts=("ts", "min"), last_ts=("ts", "max"),
-            events=("ts", "size"), ends=("is_end", "sum"),
+            first_us=("us", "min"), last_us=("us", "max"),
+            events=("us", "size"), ends=("is_end", "sum"),
         ).reset_index()
 
 
@@ -42,52 +39,46 @@ class ActiveSession(StatefulProcessor):
         self.handle = handle
         self.session = handle.getValueState("session", STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(rows)
-        first, last = _micros(part.first_ts.min()), _micros(part.last_ts.max())
-        events, ends = int(part.events.sum()), int(part.ends.sum())
-        if self.session.exists():
-            old_first, old_last, old_events = self.session.get()
-            first, last = min(first, old_first), max(last, old_last)
-            events += old_events
-        self._drop_timers()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first, last, events, ends = None, None, 0, 0
+        for part in rows:
+            first = part.first_us if first is None else min(first, part.first_us)
+            last = part.last_us if last is None else max(last, part.last_us)
+            events, ends = events + part.events, ends + part.ends
+        known = self.session.get()
+        if known is not None:
+            first, last = min(first, known[0]), max(last, known[1])
+            events += known[2]
+            self.handle.deleteTimer(self._expiry(known[1]))
         if ends:
             self.session.clear()
             yield self._row(key, "closed", "end", first, last, events)
-            return
-        self.session.update((first, last, events))
-        self.handle.registerTimer((last + self.silence_us) // 1000 + 1)
-        yield self._row(key, "open", None, first, last, events)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.session.exists():
-            row = self._row(key, "closed", "silence", *self.session.get())
+        else:
+            self.session.update((first, last, events))
+            self.handle.registerTimer(self._expiry(last))
+            yield self._row(key, "open", None, first, last, events)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.session.get()
+        if known is not None:
             self.session.clear()
-            yield row
+            yield self._row(key, "closed", "silence", *known)
 
     def close(self) -> None:
         pass
 
-    def _drop_timers(self) -> None:
-        for expiry in list(self.handle.listTimers()):
-            self.handle.deleteTimer(expiry)
+    def _expiry(self, last_us: int) -> int:
+        """Milliseconds at which a session with this last event goes silent."""
+        return (last_us + self.silence_us) // 1000 + 1
 
     @staticmethod
-    def _row(key, state, reason, first, last, events) -> pd.DataFrame:
-        moment = lambda us: pd.Timestamp(us, unit="us")
-        return pd.DataFrame(
-            {
-                "session_id": [key[0]], "state": [state], "reason": [reason],
-                "session_start": [moment(first)], "last_event": [moment(last)],
-                "events": [events],
-            }
+    def _row(key, state, reason, first, last, events) -> Row:
+        return Row(
+            session_id=key[0], state=state, reason=reason, first_us=first, last_us=last,
+            events=events,
         )
 
 
-def _micros(moment: pd.Timestamp) -> int:
-    return moment.value // 1000
-
-
 def stream_active_sessions(
     ev: DataFrame, path: str, checkpoint: str, silence: str = "1 hour", delay: str = "10 minutes"
 ) -> StreamingQuery:
@@ -95,15 +86,20 @@ def stream_active_sessions(
     watermark is ``silence`` past its last event."""
     ev.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = ev.filter(F.col("session_id").isNotNull()).select(
-        "session_id", zoned("ts").alias("ts"),
+        "session_id", F.unix_micros(zoned("ts")).alias("us"),
         (F.col("event_name") == SESSION_END).cast("bigint").alias("is_end"),
     )
-    partial = rows.mapInPandas(_partials, PARTIAL).withWatermark("last_ts", delay)
-    changes = partial.groupBy("session_id").transformWithStateInPandas(
+    partial = rows.mapInPandas(_partials, PARTIAL).withColumn(
+        "last_ts", F.timestamp_micros("last_us")
+    ).withWatermark("last_ts", delay)
+    changes = partial.groupBy("session_id").transformWithState(
         ActiveSession(interval_micros(silence)), OUTPUT, "Update", "EventTime"
     )
-    changes = changes.withColumns(
-        {name: unzoned(F.col(name)) for name in ("session_start", "last_event")}
+    changes = changes.select(
+        "session_id", "state", "reason",
+        unzoned(F.timestamp_micros("first_us")).alias("session_start"),
+        unzoned(F.timestamp_micros("last_us")).alias("last_event"),
+        "events",
     )
     return start_parts(changes, path, checkpoint, mode="update")
 
