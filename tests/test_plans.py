@@ -1,0 +1,71 @@
+"""Shape of the physical plans: what must hold when a key or the table is huge."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as contract
+from conftest import SF_SMALL
+from trailspark.plans.registry import BATCH
+
+QUERIES = contract.queries()
+# One row, or one bounded page, by definition.
+GLOBAL = {
+    "latest_session", "file_operations", "active_sessions", "recent_events", "recent_sessions",
+    "window_stats", "summary",
+}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    """Plans without automatic broadcasts, as they are for large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        yield {name: plan_of(query(spark, SF_SMALL)) for name, query in BATCH.items()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", sorted(set(BATCH) - GLOBAL))
+def test_keyed_queries_never_meet_in_one_partition(plans, name):
+    assert "SinglePartition" not in plans[name]
+
+
+@pytest.mark.parametrize("name", sorted(BATCH))
+def test_no_pairwise_joins_and_no_python(plans, name):
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "MapInPandas", "ArrowEvalPython"):
+        assert operator not in plans[name]
+
+
+@pytest.mark.parametrize("name", sorted(BATCH))
+def test_every_event_window_is_cut_into_cells_or_limited(plans, name):
+    """A window over events is partitioned by a cell, runs over cell summaries,
+    or has a group limit below it."""
+    for line in plans[name].splitlines():
+        window = re.search(r"Window \[(.*)\]", line)
+        if not window or "WindowGroupLimit" in line:
+            continue
+        over_cells = "__cell" in line
+        limited = "row_number()" in line and "WindowGroupLimit" in plans[name]
+        assert over_cells or limited, line
+
+
+@pytest.mark.parametrize("name", ["recent_timeline", "agent_recent_invocations", "agent_sessions"])
+def test_top_n_cuts_before_the_shuffle(plans, name):
+    assert plans[name].count("WindowGroupLimit") == 2
+
+
+def test_roll_up_has_no_join(plans):
+    for name in ("session_rollup", "agent_sessions", "work_wait_split"):
+        joins = plans[name].count("SortMergeJoin")
+        assert joins == (1 if name == "work_wait_split" else 0)
+
+
+def test_scans_read_only_what_is_needed(plans):
+    read = lambda name: re.findall(r"ReadSchema: struct<(.*?)>", plans[name])
+    assert all("value" not in schema for schema in read("tool_usage"))
+    assert all("event_type" not in schema for schema in read("workspace_sessions"))
