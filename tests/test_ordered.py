@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from conftest import T0
 from trailspark.functions import ordered
-from trailspark.functions.ordered import top_n, with_next, with_previous, with_rank
+from trailspark.functions.ordered import top_n, with_next, with_rank
 from trailspark.functions.quantiles import exact_percentiles
 
 
@@ -52,10 +52,19 @@ def test_next_and_rank(rows, width, monkeypatch):
     same(ranked, plain)
 
 
-def test_previous(rows):
-    by_time = Window.partitionBy("key").orderBy("ts")
-    lagged = with_previous(rows.select("key", "ts"), ["key"], "prev", ["ts"])
-    same(lagged, rows.select("key", "ts").withColumn("prev", F.lag("ts").over(by_time)))
+@pytest.mark.parametrize("crowded", [1, 7, 100])
+def test_crowded_cells_are_split(rows, crowded, monkeypatch):
+    """Large inputs: cells beyond the limit are cut along time and event id."""
+    monkeypatch.setattr(ordered, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(ordered, "CROWDED", crowded)
+    both = with_next(rows, ["key"], {"next_ts": "ts", "next_v": "v"})
+    assert "__piece" in both._jdf.queryExecution().optimizedPlan().toString()
+    same(both, rows.withColumns({"next_ts": F.lead("ts").over(by_order()), "next_v": F.lead("v").over(by_order())}))
+    ranked = with_rank(rows, ["key"], "k")
+    same(ranked, rows.withColumn("k", F.row_number().over(by_order()).cast("bigint")))
+    one_moment = rows.withColumn("ts", F.lit("2025-01-01").cast("timestamp_ntz"))
+    ranked = with_rank(one_moment, ["key"], "k")
+    same(ranked, one_moment.withColumn("k", F.row_number().over(by_order()).cast("bigint")))
 
 
 @pytest.mark.parametrize("n", [1, 50, 1500])

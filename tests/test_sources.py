@@ -153,6 +153,8 @@ def test_heartbeats(spark):
         ("2025-08-29 00:00:00", 3, 18978), ("2025-09-01 00:00:00", 1, None)
     ]
     assert heartbeat.heartbeat_rate(df, "hour").count() == 3
+    twice = df.limit(1).union(df.limit(1))
+    assert tuple(heartbeat.heartbeat_rate(twice).first())[1:] == (2, 0)
     first = heartbeat.parse_heartbeats(df).orderBy("ts").first()
     assert str(first.ts) == "2025-08-29 21:43:11"
 

@@ -20,7 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from trailspark.functions.times import time_cell
+from trailspark.functions.times import micros_between, time_cell
 
 CELL = "__cell"
 CELL_WIDTH = "10 minutes"
@@ -29,6 +29,10 @@ EVENT_ORDER = ("ts", "event_id")
 # before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 SALTS = 64
+# Rows of one cell beyond which it is split further.
+CROWDED = 1_000_000
+# Estimated input up to which no cell can be too large for one task.
+ONE_TASK_BYTES = 256 << 20
 
 WindowFn = Callable[[WindowSpec], Column]
 before = (Window.unboundedPreceding, -1)
@@ -48,12 +52,60 @@ def in_cells(
     (window over the ``summary`` rows of the key)."""
     keys = list(keys)
     rows = df.withColumn(CELL, time_cell(F.col(order[0]), CELL_WIDTH) if cell is None else cell)
-    inside = Window.partitionBy(*keys, CELL).orderBy(*order)
-    cells = rows.groupBy(*keys, CELL).agg(*[agg.alias(name) for name, agg in summary.items()])
-    across = Window.partitionBy(*keys).orderBy(CELL)
-    cells = cells.select(*keys, CELL, *[fn(across).alias(name) for name, fn in inherited.items()])
+    rows, cell_columns = _split_crowded(rows, keys, order)
+    inside = Window.partitionBy(*keys, *cell_columns).orderBy(*order)
+    cells = rows.groupBy(*keys, *cell_columns).agg(
+        *[agg.alias(name) for name, agg in summary.items()]
+    )
+    across = Window.partitionBy(*keys).orderBy(*cell_columns)
+    cells = cells.select(
+        *keys, *cell_columns, *[fn(across).alias(name) for name, fn in inherited.items()]
+    )
     rows = rows.withColumns({name: fn(inside) for name, fn in local.items()})
-    return rows.join(cells, [*keys, CELL], "left").drop(CELL)
+    return rows.join(cells, [*keys, *cell_columns], "left").drop(*cell_columns)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate (file sizes at the leaves)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _split_crowded(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str]
+) -> tuple[DataFrame, list[str]]:
+    """Cut cells of more than CROWDED rows along (first, last ordering column).
+
+    Only rows of crowded cells change: their cell becomes one exact value of the
+    first ordering column and one of several equal slices of the last one, which
+    tells ties apart. At most one cell per CROWDED rows can be crowded, so the
+    broadcast table stays a millionth of the input.
+
+    Finding them is one more aggregation over keys and order. An input that one
+    task could sort whole does not need it.
+    """
+    if len(order) < 2 or estimated_bytes(rows) <= ONE_TASK_BYTES:
+        return rows, [CELL]
+    first, tie = F.col(order[0]), F.col(order[-1])
+    crowded = (
+        rows.groupBy(*keys, CELL)
+        .agg(
+            F.count(F.lit(1)).alias("__rows"),
+            F.min(first).alias("__from"),
+            F.min(tie).alias("__low"),
+            F.max(tie).alias("__high"),
+        )
+        .filter(F.col("__rows") > CROWDED)
+    )
+    span = F.col("__high").cast("double") - F.col("__low") + 1
+    slices = F.ceil(F.col("__rows") / CROWDED)
+    piece = F.floor((tie.cast("double") - F.col("__low")) / span * slices)
+    split = rows.join(F.broadcast(crowded), [*keys, CELL], "left").withColumns(
+        {
+            "__exact": F.coalesce(micros_between(F.col("__from"), first), F.lit(0)),
+            "__piece": F.coalesce(piece, F.lit(0)),
+        }
+    )
+    return split.drop("__rows", "__from", "__low", "__high"), [CELL, "__exact", "__piece"]
 
 
 def with_next(
@@ -83,19 +135,6 @@ def with_next(
     return out.withColumns(fields).drop("__inside", "__carried")
 
 
-def with_previous(
-    df: DataFrame, keys: Sequence[str], name: str, order: Sequence[str]
-) -> DataFrame:
-    """``lag`` of the first ordering column within the keys."""
-    out = in_cells(
-        df, keys, order,
-        local={"__inside": lambda w: F.lag(order[0]).over(w)},
-        summary={"__tail": F.max(order[0])},
-        inherited={"__carried": lambda w: F.lag("__tail").over(w)},
-    )
-    return out.withColumn(name, F.coalesce("__inside", "__carried")).drop("__inside", "__carried")
-
-
 def with_rank(
     df: DataFrame,
     keys: Sequence[str],
@@ -103,8 +142,10 @@ def with_rank(
     order: Sequence[str] = EVENT_ORDER,
     *,
     first: str | None = None,
+    cell_width: str | None = None,
 ) -> DataFrame:
     """``row_number`` within the keys; ``first`` also adds the key's first ordering value."""
+    cell = time_cell(F.col(order[0]), cell_width) if cell_width else None
     summary = {"__n": F.count(F.lit(1))}
     inherited = {"__before": lambda w: F.sum("__n").over(w.rowsBetween(*before))}
     if first:
@@ -112,7 +153,7 @@ def with_rank(
         everything = (Window.unboundedPreceding, Window.unboundedFollowing)
         inherited[first] = lambda w: F.min("__first").over(w.rowsBetween(*everything))
     out = in_cells(
-        df, keys, order,
+        df, keys, order, cell=cell,
         local={"__rank": lambda w: F.row_number().over(w)},
         summary=summary,
         inherited=inherited,

@@ -170,7 +170,10 @@ def write_audit_log(df: DataFrame, path: str) -> None:
 
 
 def agent_event_feed(ev: DataFrame) -> DataFrame:
-    """Agent-only feed with a sequential id per event date."""
+    """Agent-only feed with a sequential id per event date.
+
+    A date holds the calls of all sessions, hence the narrow cells.
+    """
     name, is_task = F.col("event_name"), F.col("tool_name") == TASK
     phase = (
         F.when((name == PRE_TOOL) & is_task, "pre")
@@ -180,7 +183,7 @@ def agent_event_feed(ev: DataFrame) -> DataFrame:
     feed = ev.withColumn("phase", phase).filter(F.col("phase").isNotNull()).select(
         F.to_date("ts").alias("event_date"), "event_id", "ts", "phase", "data"
     )
-    return with_rank(feed, ["event_date"], "id").select(
+    return with_rank(feed, ["event_date"], "id", cell_width="1 second").select(
         "event_date", "id", "event_id", "ts", "phase", "data"
     )
 

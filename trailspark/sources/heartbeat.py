@@ -1,8 +1,7 @@
 """Heartbeat text lines: beats per bucket and the longest silence in it."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from trailspark.functions.ordered import with_previous
 from trailspark.functions.times import MICROS, micros_between
 
 # The shape of a heartbeat line and of the time inside it.
@@ -26,12 +25,18 @@ def parse_heartbeats(lines: DataFrame) -> DataFrame:
 
 
 def heartbeat_rate(lines: DataFrame, bucket: str = "day") -> DataFrame:
-    """Beats per local day or hour."""
+    """Beats per local day or hour, and the longest silence inside it in seconds.
+
+    Beats of one second are counted first, so the window sees at most 86,400
+    rows per bucket however many hosts write beats.
+    """
     start = F.date_trunc(bucket, "local_ts").cast("timestamp_ntz")
-    beats = parse_heartbeats(lines).select(start.alias("bucket_start"), "ts")
-    spaced = with_previous(beats, ["bucket_start"], "__previous", ["ts"])
-    silence = micros_between(F.col("__previous"), F.col("ts"))
-    return spaced.groupBy("bucket_start").agg(
-        F.count(F.lit(1)).alias("beats"),
-        F.floor(F.max(silence) / F.lit(MICROS)).alias("max_gap_s"),
+    per_second = parse_heartbeats(lines).groupBy(start.alias("bucket_start"), "ts").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    previous = F.lag("ts").over(Window.partitionBy("bucket_start").orderBy("ts"))
+    silence = F.floor(micros_between(previous, F.col("ts")) / F.lit(MICROS))
+    at_once = F.when(F.col("n") > 1, 0)
+    return per_second.withColumn("gap", F.coalesce(silence, at_once)).groupBy("bucket_start").agg(
+        F.sum("n").alias("beats"), F.max("gap").alias("max_gap_s")
     )
