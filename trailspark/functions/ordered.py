@@ -51,8 +51,9 @@ def in_cells(
     """Add ``local`` columns (window inside the cell) and ``inherited`` columns
     (window over the ``summary`` rows of the key)."""
     keys = list(keys)
-    rows = df.withColumn(CELL, time_cell(F.col(order[0]), CELL_WIDTH) if cell is None else cell)
-    rows, cell_columns = _split_crowded(rows, keys, order)
+    if cell is None:
+        cell = time_cell(F.col(order[0]), CELL_WIDTH)
+    rows, cell_columns = cut_into_cells(df, keys, order, cell)
     inside = Window.partitionBy(*keys, *cell_columns).orderBy(*order)
     cells = rows.groupBy(*keys, *cell_columns).agg(
         *[agg.alias(name) for name, agg in summary.items()]
@@ -70,11 +71,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def _split_crowded(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str]
+def cut_into_cells(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column
 ) -> tuple[DataFrame, list[str]]:
-    """Cut cells of more than CROWDED rows along (first, last ordering column).
+    """The rows with their cell, and the columns that name and order the cells.
 
+    Cells of more than CROWDED rows are cut along (first, last ordering column).
     Only rows of crowded cells change: their cell becomes one exact value of the
     first ordering column and one of several equal slices of the last one, which
     tells ties apart. At most one cell per CROWDED rows can be crowded, so the
@@ -83,6 +85,7 @@ def _split_crowded(
     Finding them is one more aggregation over keys and order. An input that one
     task could sort whole does not need it.
     """
+    rows = df.withColumn(CELL, cell)
     if len(order) < 2 or estimated_bytes(rows) <= ONE_TASK_BYTES:
         return rows, [CELL]
     first, tie = F.col(order[0]), F.col(order[-1])

@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trailspark.functions.ordered import before, top_n
+from trailspark.functions.ordered import CELL_WIDTH, before, cut_into_cells, top_n
 from trailspark.functions.quantiles import exact_percentiles
 from trailspark.functions.times import (
     as_ntz, interval, interval_micros, micros_between, micros_to_seconds, seconds_between, time_cell,
@@ -193,19 +193,23 @@ def pair_agent_calls(ev: DataFrame, session_id: str | None = None) -> DataFrame:
     return _agent_calls(ev, session_id).select(*CALL_COLUMNS, "call_no", "is_out_of_order")
 
 
-def _start_cells(calls: DataFrame, gap: str) -> tuple[DataFrame, DataFrame]:
-    """Calls with their time cell, and the cells with the island they belong to.
+def _start_cells(calls: DataFrame, gap: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Calls with their time cell, the cells with the island they belong to, and
+    the columns that name a cell.
 
-    The cells are as wide as the gap, so starts inside one cell always belong
+    No cell is wider than the gap, so starts inside one cell always belong
     together and islands can be found on one summary row per cell.
     """
-    calls = calls.withColumn("__cell", time_cell(F.col("start_time"), gap))
-    cells = calls.groupBy("session_id", "__cell").agg(
+    width = min(gap, CELL_WIDTH, key=interval_micros)
+    calls, cell = cut_into_cells(
+        calls, ["session_id"], ("start_time", "call_id"), time_cell(F.col("start_time"), width)
+    )
+    cells = calls.groupBy("session_id", *cell).agg(
         F.min("start_time").alias("__first"),
         F.max("start_time").alias("__last"),
         F.count(F.lit(1)).alias("__n"),
     )
-    order = Window.partitionBy("session_id").orderBy("__cell")
+    order = Window.partitionBy("session_id").orderBy(*cell)
     silence = micros_between(F.lag("__last").over(order), F.col("__first"))
     cells = cells.withColumn("__new", F.when(silence <= interval_micros(gap), 0).otherwise(1))
     cells = cells.withColumns(
@@ -215,18 +219,19 @@ def _start_cells(calls: DataFrame, gap: str) -> tuple[DataFrame, DataFrame]:
         }
     )
     island = Window.partitionBy("session_id", "group_id")
-    return calls, cells.withColumns(
+    cells = cells.withColumns(
         {"group_size": F.sum("__n").over(island), "__group_before": F.min("__before").over(island)}
     )
+    return calls, cells, cell
 
 
 def parallel_groups(ev: DataFrame, gap: str = "1 second", session_id: str | None = None) -> DataFrame:
     """Gaps and islands: a call that starts at most ``gap`` after the one before
     it belongs to the same parallel group."""
-    calls, cells = _start_cells(_agent_calls(ev, session_id), gap)
-    inside = Window.partitionBy("session_id", "__cell").orderBy("start_time", "call_id")
+    calls, cells, cell = _start_cells(_agent_calls(ev, session_id), gap)
+    inside = Window.partitionBy("session_id", *cell).orderBy("start_time", "call_id")
     placed = calls.withColumn("__rank", F.row_number().over(inside)).join(
-        cells.drop("__first", "__last", "__n", "__new"), ["session_id", "__cell"]
+        cells.drop("__first", "__last", "__n", "__new"), ["session_id", *cell]
     )
     placed = placed.withColumn("execution_order", F.col("__before") + F.col("__rank"))
     return placed.select(
@@ -255,7 +260,7 @@ def session_agent_summary(ev: DataFrame, gap: str = "1 second") -> DataFrame:
         (micros_to_seconds(F.sum("duration_micros")) / F.count("duration_micros"))
         .alias("avg_duration_seconds"),
     )
-    _, cells = _start_cells(calls.select("session_id", "start_time"), gap)
+    _, cells, _ = _start_cells(calls.select("session_id", "start_time", "call_id"), gap)
     groups = cells.groupBy("session_id").agg(
         F.count_if((F.col("__new") == 1) & (F.col("group_size") > 1)).alias("parallel_groups")
     )

@@ -26,15 +26,17 @@ def workspace_sessions(ev: DataFrame, workspace: str | None = None) -> DataFrame
     return grouped.withColumn("duration_seconds", micros_to_seconds(micros))
 
 
+TOTALS = {
+    "total_sessions": lambda: F.count(F.lit(1)),
+    "first_activity": lambda: F.min("start_time"),
+    "last_activity": lambda: F.max("end_time"),
+    "total_events": lambda: F.sum("event_count"),
+    "duration_micros": lambda: F.sum(micros_between(F.col("start_time"), F.col("end_time"))),
+}
+
+
 def _totals(sessions: DataFrame) -> DataFrame:
-    micros = micros_between(F.col("start_time"), F.col("end_time"))
-    return sessions.groupBy("workspace").agg(
-        F.count(F.lit(1)).alias("total_sessions"),
-        F.min("start_time").alias("first_activity"),
-        F.max("end_time").alias("last_activity"),
-        F.sum("event_count").alias("total_events"),
-        micros_to_seconds(F.sum(micros)).alias("total_duration_seconds"),
-    )
+    return sessions.groupBy("workspace").agg(*[agg().alias(name) for name, agg in TOTALS.items()])
 
 
 def workspace_rollup(
@@ -44,16 +46,19 @@ def workspace_rollup(
     """One row per workspace. A workspace with more than ``ids_per_row`` sessions
     spreads its id list over several rows, numbered by ``ids_page`` (0 first), with
     the totals repeated: all ids are kept, and no row or task has to hold them all.
+
+    Only such large workspaces are broadcast, to page their sessions; there is at
+    most one of them per ``ids_per_row`` sessions.
     """
     sessions = workspace_sessions(ev)
-    totals = _totals(sessions)
+    large = _totals(sessions).filter(F.col("total_sessions") > ids_per_row)
+    paged = sessions.join(F.broadcast(large), "workspace", "left")
     pages = F.ceil(F.col("total_sessions") / F.lit(ids_per_row))
-    page = F.pmod(F.xxhash64("session_id"), pages)
-    listed = (
-        sessions.select("workspace", "session_id")
-        .join(totals.select("workspace", "total_sessions"), "workspace")
-        .groupBy("workspace", page.alias("ids_page"))
-        .agg(F.array_sort(F.collect_list("session_id")).alias("session_ids"))
+    page = F.coalesce(F.pmod(F.xxhash64("session_id"), pages), F.lit(0)).alias("ids_page")
+    listed = paged.groupBy("workspace", page).agg(
+        F.array_sort(F.collect_list("session_id")).alias("session_ids"),
+        # Totals of a large workspace come with its sessions, others are this page's.
+        *[F.coalesce(F.max(name), agg()).alias(name) for name, agg in TOTALS.items()],
     )
     now, last = as_ntz(as_of), F.col("last_activity")
     status = (
@@ -61,12 +66,14 @@ def workspace_rollup(
         .when(last > now - interval(recent), "recent")
         .otherwise("inactive")
     )
-    return totals.join(listed, "workspace").select(
+    return listed.select(
         "workspace", "total_sessions", "first_activity", "last_activity", "total_events",
-        "total_duration_seconds", "session_ids", status.alias("status"), "ids_page",
+        micros_to_seconds(F.col("duration_micros")).alias("total_duration_seconds"),
+        "session_ids", status.alias("status"), "ids_page",
     )
 
 
 def workspace_avg_session(ev: DataFrame) -> DataFrame:
-    average = F.col("total_duration_seconds") / F.nullif("total_sessions", F.lit(0))
+    seconds = micros_to_seconds(F.col("duration_micros"))
+    average = seconds / F.nullif("total_sessions", F.lit(0))
     return _totals(workspace_sessions(ev)).select("workspace", average.alias("avg_session_seconds"))
