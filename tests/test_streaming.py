@@ -130,11 +130,12 @@ def test_sessions_open_and_close(spark):
         "ends": ("closed", "end"), "quiet": ("open", None), "busy": ("open", None)
     }
     assert found["ends"].events == 2 and found["ends"].duration_seconds == 5.0
-    drop_file(spark, folder, {"ts": at(3000), "session_id": "busy"})
+    drop_file(spark, folder, {"ts": at(3000), "session_id": "busy"}, {"ts": at(9), "session_id": "ends"})
     drop_file(spark, folder, {"ts": at(6000), "session_id": "busy"})
     found = run()
     assert (found["quiet"].state, found["quiet"].reason) == ("closed", "silence")
     assert (found["busy"].state, found["busy"].events) == ("open", 3)
+    assert (found["ends"].state, found["ends"].events) == ("closed", 3)
 
 
 def test_pairs_and_unmatched_starts(spark):

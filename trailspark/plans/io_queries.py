@@ -167,7 +167,8 @@ def stream_active_sessions(spark, sf_dir):
     out = scratch_path(spark, "out")
     _finish(
         active.stream_active_sessions(
-            _event_stream(spark, sf_dir), out, scratch_path(spark, "progress"), silence="12 hours"
+            _event_stream(spark, sf_dir), out, scratch_path(spark, "progress"),
+            silence=P.SILENCE, delay=P.WATERMARK_DELAY,
         )
     )
     return active.read_active_sessions(spark, out)
@@ -205,7 +206,10 @@ def stream_pair_calls(spark, sf_dir):
     keyed.write.parquet(path)
     stream = spark.readStream.schema(keyed.schema).parquet(path)
     _finish(
-        jobs.stream_pair_calls(stream, out, scratch_path(spark, "progress"), within="10 days")
+        jobs.stream_pair_calls(
+            stream, out, scratch_path(spark, "progress"),
+            within=P.PAIR_WITHIN, delay=P.WATERMARK_DELAY,
+        )
     )
     return spark.read.parquet(out).drop("batch_id")
 

@@ -494,6 +494,27 @@ ORACLE.update({
              count(*) FILTER (event_name = 'SessionEnd') > 0 AS is_ended
            FROM ev GROUP BY 1"""
     ),
+    # All files are one micro-batch, so the watermark is the newest event less the delay.
+    "stream_active_sessions": q(
+        f"""SELECT session_id, CASE WHEN ends > 0 OR is_silent THEN 'closed' ELSE 'open' END AS state,
+             CASE WHEN ends > 0 THEN 'end' WHEN is_silent THEN 'silence' END AS reason,
+             session_start, last_event, events, {secs('session_start', 'last_event')} AS duration_seconds
+           FROM (SELECT session_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS events,
+                   count(*) FILTER (event_name = 'SessionEnd') AS ends,
+                   max(ts) + INTERVAL {P.SILENCE} < (SELECT max(ts) FROM ev) - INTERVAL {P.WATERMARK_DELAY} AS is_silent
+                 FROM ev GROUP BY 1)"""
+    ),
+    "stream_pair_calls": q(
+        f"""SELECT pre.session_id, pre.subagent_type AS agent_type,
+             pre.session_id || '|' || pre.subagent_type || '|' || pre.rn AS call_key,
+             pre.ts AS start_time, post.ts AS end_time,
+             date_diff('microsecond', pre.ts, post.ts) / 1e6 AS duration_seconds, post.total_tokens
+           FROM pre LEFT JOIN post
+             ON pre.session_id = post.session_id AND pre.subagent_type = post.subagent_type AND pre.rn = post.rn
+           WHERE post.ts IS NOT NULL OR pre.ts + INTERVAL {P.PAIR_WITHIN} <
+             (SELECT least((SELECT max(ts) FROM pre), (SELECT max(ts) FROM post))) - INTERVAL {P.WATERMARK_DELAY}""",
+        AGENT_CALLS,
+    ),
     "stream_window_counts": """WITH hourly AS (
           SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1)
         SELECT '1 hour' AS span, hour AS window_start, n AS events FROM hourly

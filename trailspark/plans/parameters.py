@@ -17,6 +17,9 @@ BUCKETS_S = (2_000, 5_000, 60_000, 300_000)
 WAIT_BOUNDS_S = (60_000, 300_000)
 PARALLEL_GAP = "1 day"
 PERIOD_GAP = "30000 seconds"
+SILENCE = "12 hours"
+PAIR_WITHIN = "10 days"
+WATERMARK_DELAY = "10 minutes"
 RANGE = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
 SEARCH_TERMS = ("the", "data")
 EVENT_TERMS = ("run 7", "done")

@@ -1,8 +1,10 @@
 """Open and closed sessions, followed live."""
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -11,8 +13,11 @@ from trailspark.schema import SESSION_END
 from trailspark.streaming.jobs import unzoned, zoned
 from trailspark.streaming.parts import read_parts, start_parts
 
+# Executors get this module's functions with the job and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PARTIAL = "session_id string, first_us long, last_us long, events long, ends long"
-STATE = "first_us long, last_us long, events long"
+STATE = "first_us long, last_us long, events long, ends long"
 OUTPUT = "session_id string, state string, reason string, first_us long, last_us long, events long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,8 +34,9 @@ def _partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class ActiveSession(StatefulProcessor):
-    """Keeps start, last event and count of an open session; a timer closes it
-    after ``silence_us`` without events."""
+    """Keeps start, last event and counts of a session until ``silence_us`` have
+    passed without events. An end event closes it at once, and it stays closed
+    for the events that trail in behind."""
 
     def __init__(self, silence_us: int):
         self.silence_us = silence_us
@@ -48,21 +54,20 @@ class ActiveSession(StatefulProcessor):
         known = self.session.get()
         if known is not None:
             first, last = min(first, known[0]), max(last, known[1])
-            events += known[2]
+            events, ends = events + known[2], ends + known[3]
             self.handle.deleteTimer(self._expiry(known[1]))
-        if ends:
-            self.session.clear()
-            yield self._row(key, "closed", "end", first, last, events)
-        else:
-            self.session.update((first, last, events))
-            self.handle.registerTimer(self._expiry(last))
-            yield self._row(key, "open", None, first, last, events)
+        self.session.update((first, last, events, ends))
+        self.handle.registerTimer(self._expiry(last))
+        state, reason = ("closed", "end") if ends else ("open", None)
+        yield self._row(key, state, reason, first, last, events)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.session.get()
         if known is not None:
+            first, last, events, ends = known
             self.session.clear()
-            yield self._row(key, "closed", "silence", *known)
+            if not ends:
+                yield self._row(key, "closed", "silence", first, last, events)
 
     def close(self) -> None:
         pass
