@@ -24,11 +24,17 @@ def _over_events(operator: Callable[..., DataFrame], *args, joined=(), **kwargs)
     return run
 
 
-def _with_table(operator, rows, schema: str) -> Query:
+def _literals(spark: SparkSession, rows, *columns: str) -> DataFrame:
+    """A small table as part of the plan, so the optimizer knows its size."""
+    structs = [F.struct(*[F.lit(v).alias(c) for v, c in zip(row, columns)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def _with_table(operator, rows, *columns: str) -> Query:
     """Run an operator over the fixture view and a small table of literals."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(load_typed(pin_session(spark), sf_dir), spark.createDataFrame(rows, schema))
+        return operator(load_typed(pin_session(spark), sf_dir), _literals(spark, rows, *columns))
 
     return run
 
@@ -94,12 +100,10 @@ BATCH: dict[str, Query] = {
     "session_agent_summary": _over_events(agents.session_agent_summary, P.PARALLEL_GAP),
     "summary": _over_events(agents.summary),
     "agent_performance": _over_events(agents.agent_performance),
-    "token_cost": _with_table(
-        agents.token_cost, P.PRICES, "agent_type string, usd_per_1k_tokens double"
-    ),
+    "token_cost": _with_table(agents.token_cost, P.PRICES, "agent_type", "usd_per_1k_tokens"),
     "agent_category_usage": _over_events(agents.agent_category_usage),
     "agent_alias_usage": _with_table(
-        agents.agent_alias_usage, AGENT_ALIASES, "agent_type string, short_name string"
+        agents.agent_alias_usage, AGENT_ALIASES, "agent_type", "short_name"
     ),
     "project_usage": _over_events(agents.project_usage),
     "workspace_rollup": _workspace_rollup,
