@@ -62,6 +62,12 @@ def test_crowded_cells_are_split(rows, crowded, monkeypatch):
     same(both, rows.withColumns({"next_ts": F.lead("ts").over(by_order()), "next_v": F.lead("v").over(by_order())}))
     ranked = with_rank(rows, ["key"], "k")
     same(ranked, rows.withColumn("k", F.row_number().over(by_order()).cast("bigint")))
+    fine = rows.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 97 / 1000))
+    same(with_next(fine, ["key"], {"n": "ts"}), fine.withColumn("n", F.lead("ts").over(by_order())))
+    same(
+        with_rank(fine, ["key"], "k"),
+        fine.withColumn("k", F.row_number().over(by_order()).cast("bigint")),
+    )
     one_moment = rows.withColumn("ts", F.lit("2025-01-01").cast("timestamp_ntz"))
     ranked = with_rank(one_moment, ["key"], "k")
     same(ranked, one_moment.withColumn("k", F.row_number().over(by_order()).cast("bigint")))

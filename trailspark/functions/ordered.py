@@ -20,7 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from trailspark.functions.times import micros_between, time_cell
+from trailspark.functions.times import MICROS, as_ntz, micros_between, time_cell
 
 CELL = "__cell"
 CELL_WIDTH = "10 minutes"
@@ -31,6 +31,7 @@ GROUP_LIMIT = 1000
 SALTS = 64
 # Rows of one cell beyond which it is split further.
 CROWDED = 1_000_000
+SLICES = 64
 # Estimated input up to which no cell can be too large for one task.
 ONE_TASK_BYTES = 256 << 20
 
@@ -76,39 +77,50 @@ def cut_into_cells(
 ) -> tuple[DataFrame, list[str]]:
     """The rows with their cell, and the columns that name and order the cells.
 
-    Cells of more than CROWDED rows are cut along (first, last ordering column).
-    Only rows of crowded cells change: their cell becomes one exact value of the
-    first ordering column and one of several equal slices of the last one, which
-    tells ties apart. At most one cell per CROWDED rows can be crowded, so the
-    broadcast table stays a millionth of the input.
+    Cells of more than CROWDED rows are cut along (first, last ordering column);
+    rows of other cells keep theirs. At most one cell per CROWDED rows can be
+    crowded, so the broadcast table stays a millionth of the input.
 
-    Finding them is one more aggregation over keys and order. An input that one
-    task could sort whole does not need it.
+    Whole-second times, as ingest writes them, are cut per second and then, to
+    tell ties apart, into equal slices of the last column. Finer times are cut
+    into SLICES time slices per CROWDED rows, and at a single moment by the last
+    column as well. Either way the number of pieces is bounded by the rows over
+    CROWDED, times a constant.
+
+    Finding crowded cells is one more aggregation over keys and order. An input
+    that one task could sort whole does not need it.
     """
     rows = df.withColumn(CELL, cell)
     if len(order) < 2 or estimated_bytes(rows) <= ONE_TASK_BYTES:
         return rows, [CELL]
     first, tie = F.col(order[0]), F.col(order[-1])
+    fraction = micros_between(as_ntz("1970-01-01 00:00:00"), first) % MICROS
     crowded = (
         rows.groupBy(*keys, CELL)
         .agg(
             F.count(F.lit(1)).alias("__rows"),
             F.min(first).alias("__from"),
+            F.max(first).alias("__to"),
+            F.max(fraction).alias("__fraction"),
             F.min(tie).alias("__low"),
             F.max(tie).alias("__high"),
         )
         .filter(F.col("__rows") > CROWDED)
     )
+    parts = F.ceil(F.col("__rows") / CROWDED)
+    length = micros_between(F.col("__from"), F.col("__to")) + 1
+    step = F.when(F.col("__fraction") == 0, MICROS).otherwise(F.ceil(length / (parts * SLICES)))
     span = F.col("__high").cast("double") - F.col("__low") + 1
-    slices = F.ceil(F.col("__rows") / CROWDED)
-    piece = F.floor((tie.cast("double") - F.col("__low")) / span * slices)
+    piece = F.floor((tie.cast("double") - F.col("__low")) / span * parts)
+    same_moment = (F.col("__fraction") == 0) | (step == 1)
     split = rows.join(F.broadcast(crowded), [*keys, CELL], "left").withColumns(
         {
-            "__exact": F.coalesce(micros_between(F.col("__from"), first), F.lit(0)),
-            "__piece": F.coalesce(piece, F.lit(0)),
+            "__slice": F.coalesce(F.floor(micros_between(F.col("__from"), first) / step), F.lit(0)),
+            "__piece": F.coalesce(F.when(same_moment, piece), F.lit(0)),
         }
     )
-    return split.drop("__rows", "__from", "__low", "__high"), [CELL, "__exact", "__piece"]
+    details = ("__rows", "__from", "__to", "__fraction", "__low", "__high")
+    return split.drop(*details), [CELL, "__slice", "__piece"]
 
 
 def with_next(

@@ -74,15 +74,17 @@ def file_operations(ev: DataFrame, n: int = 50, session_id: str | None = None) -
     return touched.orderBy(*newest_first()).select("ts", "tool_name", "file_path", "event_name").limit(n)
 
 
-def _session_profile(ev: DataFrame) -> DataFrame:
-    """Events counted per distinct combination of the texts the roll-ups look at.
-
-    Texts are grouping keys and only longs are aggregated, so this round is a
-    hash aggregate with map-side combine and a hot session shrinks to its few
-    combinations before anything is gathered by session.
+def _session_profile(ev: DataFrame, context: str = "max") -> DataFrame:
+    """Session figures per (session, agent); events outside agent calls have no agent.
+
+    Two rounds. The first counts events per distinct combination of the texts the
+    roll-ups look at: texts are grouping keys and only longs are aggregated, so it
+    is a hash aggregate with map-side combine, and a hot session shrinks to its
+    combinations. The second leaves one row per agent, so what is gathered by
+    session afterwards is as long as the agent vocabulary.
     """
     is_start = F.col("event_name") == SESSION_START
-    return of_session(ev, None).groupBy(
+    combinations = of_session(ev, None).groupBy(
         "session_id", "tool_name", "cwd", "workspace",
         F.when(is_agent_call(), F.col("subagent_type")).alias("agent"),
         F.when(is_start, F.col("source")).alias("start_source"),
@@ -93,42 +95,53 @@ def _session_profile(ev: DataFrame) -> DataFrame:
         F.count_if(is_start).alias("starts"),
         F.count_if(F.col("event_name") == SESSION_END).alias("ends"),
     )
+    return combinations.groupBy("session_id", "agent").agg(
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.sum("n").alias("n"),
+        F.sum("starts").alias("starts"),
+        F.sum("ends").alias("ends"),
+        F.max("start_source").alias("start_source"),
+        F.collect_set("tool_name").alias("tools"),
+        F.max(_placed("cwd", context)).alias("cwd"),
+        F.max(_placed("workspace", context)).alias("workspace"),
+    )
 
 
-def _context(name: str, context: str) -> Column:
+def _placed(name: str, context: str) -> Column:
+    """What the context column is chosen by: its text, or the time it was last seen."""
     if context == "max":
-        return F.max(name)
-    if context == "latest":
-        seen = F.when(F.col(name).isNotNull(), F.struct("last_ts", name))
-        return F.max(seen)[name]
-    raise ValueError(f"context must be 'max' or 'latest', not {context!r}")
+        seen = F.struct(F.col(name).alias("value"))
+    elif context == "latest":
+        seen = F.struct("last_ts", F.col(name).alias("value"))
+    else:
+        raise ValueError(f"context must be 'max' or 'latest', not {context!r}")
+    return F.when(F.col(name).isNotNull(), seen)
 
 
 def _agents_by_first_use() -> Column:
-    """Distinct agents of the group, earliest first. The list is as long as the
-    agent vocabulary, not as the number of calls."""
+    """Agents of the group, earliest first; one input row per agent."""
     uses = F.collect_list(
         F.when(F.col("agent").isNotNull(), F.struct(F.col("first_ts").alias("at"), "agent"))
     )
-    names = F.transform(F.array_sort(uses), lambda use: use["agent"])
-    return F.array_distinct(names)
+    return F.transform(F.array_sort(uses), lambda use: use["agent"])
 
 
 def session_rollup(
     ev: DataFrame, as_of, active_within: str = "5 minutes", context: str = "max"
 ) -> DataFrame:
-    """One row per session. Agent lists come out of the same two aggregations,
-    so there is one scan and no join."""
-    rolled = _session_profile(ev).groupBy("session_id").agg(
+    """One row per session. Agent lists come out of the same aggregations, so
+    there is one scan and no join."""
+    rolled = _session_profile(ev, context).groupBy("session_id").agg(
         F.min("first_ts").alias("session_start"),
         F.max("last_ts").alias("session_end"),
         F.sum("n").alias("total_events"),
-        F.array_sort(F.collect_set("tool_name")).alias("__tools"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tools")))).alias("__tools"),
         F.sum("starts").alias("start_events"),
         F.sum("ends").alias("end_events"),
         F.max("start_source").alias("start_source"),
-        _context("cwd", context).alias("cwd"),
-        _context("workspace", context).alias("workspace"),
+        F.max("cwd")["value"].alias("cwd"),
+        F.max("workspace")["value"].alias("workspace"),
         _agents_by_first_use().alias("agents_used"),
     )
     recent = F.col("session_end") > as_ntz(as_of) - interval(active_within)
@@ -163,8 +176,8 @@ def active_sessions(ev: DataFrame, as_of, within: str = "1 hour", n: int = 10) -
         F.min("first_ts").alias("session_start"),
         F.max("last_ts").alias("last_event"),
         F.sum("n").alias("total_events"),
-        F.max("cwd").alias("cwd"),
-        F.max("workspace").alias("workspace"),
+        F.max("cwd")["value"].alias("cwd"),
+        F.max("workspace")["value"].alias("workspace"),
         F.sum("ends").alias("__ends"),
         _agents_by_first_use().alias("agents_used"),
     )
