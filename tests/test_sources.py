@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, T0, at, task
+from trailspark.operators.agents import window_stats
 from trailspark.operators.sessions import events_between, session_rollup
 from trailspark.plans.fixture_view import load_silver
 from trailspark.session import scratch_path
@@ -109,6 +110,10 @@ def test_append_is_repeatable_and_prunes(spark):
     assert "event_date" in partition_filters
     assert "GreaterThanOrEqual(ts" in plan
     assert one_day.count() == silver.filter("ts >= '2024-01-10' and ts < '2024-01-11'").count()
+    recent = window_stats(stored, "2024-01-31")
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert {r.total_events for r in recent.collect()} == {207, 40}
     keyed = stored.filter("session_id = 's1-0'").select("ts")
     plan = keyed._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(session_id,s1-0)" in plan and "data:string" not in plan.split("ReadSchema")[1]

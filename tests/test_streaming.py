@@ -1,12 +1,13 @@
 """Streams over several micro-batches: same results as the batch operators."""
 
-import json
-from datetime import timedelta
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, T0, at, task
+from conftest import SF_SMALL, at
 from trailspark.plans.fixture_view import load_silver, raw_from_silver
 from trailspark.schema import SILVER_COLUMNS, SILVER_SCHEMA
 from trailspark.session import scratch_path
@@ -138,6 +139,13 @@ def test_sessions_open_and_close(spark):
     assert (found["ends"].state, found["ends"].events) == ("closed", 3)
 
 
+def test_session_state_needs_no_package_on_the_executors(tmp_path):
+    (tmp_path / "job").write_bytes(cloudpickle.dumps((active.ActiveSession(1), active._partials)))
+    code = "import pickle; print(pickle.load(open('job', 'rb'))[0].silence_us)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "1", done.stderr
+
+
 def test_pairs_and_unmatched_starts(spark):
     folder, out, check = scratch_path(spark, "calls"), scratch_path(spark, "out"), progress(spark)
     schema = "call_key string, session_id string, subagent_type string, event_name string, ts timestamp_ntz, total_tokens long"

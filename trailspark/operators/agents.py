@@ -10,7 +10,7 @@ from trailspark.functions.times import (
     as_ntz, interval, interval_micros, micros_between, micros_to_seconds, seconds_between, time_cell,
 )
 from trailspark.operators.pairing import pair_kth
-from trailspark.operators.sessions import is_agent_call, newest_first, of_session
+from trailspark.operators.sessions import events_since, is_agent_call, newest_first, of_session
 from trailspark.schema import AGENT_CATEGORIES, OTHER_CATEGORY, POST_TOOL, PRE_TOOL, TASK
 
 def _agent() -> Column:
@@ -41,7 +41,7 @@ def window_stats(ev: DataFrame, as_of, spans: Sequence[str] = ("7 days", "24 hou
     widest = max(spans, key=interval_micros)
     inside = [F.col("ts") >= now - interval(span) for span in spans]
     per_pair = (
-        ev.filter(F.col("ts") >= now - interval(widest))
+        events_since(ev, now - interval(widest))
         .groupBy(
             F.nullif("workspace", F.lit("")).alias("workspace"),
             F.when(is_agent_call(), F.col("subagent_type")).alias("agent"),

@@ -233,14 +233,20 @@ def recent_sessions(ev: DataFrame, limit: int = 50, offset: int = 0) -> DataFram
     )
 
 
+def events_since(ev: DataFrame, start: Column) -> DataFrame:
+    """Events from ``start`` on; the stored table also skips older ``event_date`` folders."""
+    rows = ev.filter(F.col("ts") >= start)
+    if "event_date" in ev.columns:
+        rows = rows.filter(F.col("event_date") >= start.cast("date"))
+    return rows
+
+
 def events_between(ev: DataFrame, start, end) -> DataFrame:
-    """Half-open range; on the stored table it also prunes ``event_date`` folders."""
-    lower, upper = as_ntz(start), as_ntz(end)
-    rows = ev.filter((F.col("ts") >= lower) & (F.col("ts") < upper))
+    """Half-open range, pruned on both sides."""
+    upper = as_ntz(end)
+    rows = events_since(ev, as_ntz(start)).filter(F.col("ts") < upper)
     if "event_date" in ev.columns:
-        rows = rows.filter(
-            (F.col("event_date") >= lower.cast("date")) & (F.col("event_date") <= upper.cast("date"))
-        )
+        rows = rows.filter(F.col("event_date") <= upper.cast("date"))
     return rows
 
 

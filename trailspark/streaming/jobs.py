@@ -43,14 +43,14 @@ def stream_silver(
 
     Repeats are found by id against the table itself and not in a watermarked
     state, so an event is stored once however late it, or its repeat, arrives.
+    The batch is read again for each use rather than cached: a first load may be
+    larger than the executors' disks.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = normalize_time(batch, tz).persist()
-        valid, rejected = split_quarantine(batch)
+        valid, rejected = split_quarantine(normalize_time(batch, tz))
         append_events(to_silver(valid).dropDuplicates(["event_id"]), f"{out_path}/events")
         rejected.write.mode("overwrite").parquet(f"{out_path}/rejected/batch_id={batch_id}")
-        batch.unpersist()
 
     return start_each(read_raw_stream(spark, in_path, files_per_batch), write, checkpoint)
 
