@@ -235,7 +235,9 @@ def test_search_ignores_case_and_counts_hits(spark):
     row = tools.search_text(df, ["needle", "Pin"]).first()
     assert (row.id, row.hits) == (1, 3)
     assert row.snippet.startswith("x" * 20) and "Needle" in row.snippet
-    assert tools.search_text(df, ["needle"]).count() == 1
+    assert tools.search_text(df, ["needle", ""]).count() == 1
+    with pytest.raises(ValueError):
+        tools.search_text(df, [""])
 
 
 def test_paging_covers_everything_once(events):

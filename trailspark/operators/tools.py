@@ -79,7 +79,9 @@ def search_text(df: DataFrame, terms: Sequence[str], text: str = "text") -> Data
 
     Works on any DataFrame; all columns but the text are kept.
     """
-    needles = [term.lower() for term in terms]
+    needles = [term.lower() for term in terms if term]
+    if not needles:
+        raise ValueError("search needs at least one non-empty term")
     lowered = F.lower(text)
     hits = sum(
         (

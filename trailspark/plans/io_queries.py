@@ -215,11 +215,9 @@ def stream_pair_calls(spark, sf_dir):
 
 
 def stream_late_report(spark, sf_dir):
-    """Arrival times spread over the hours after the event."""
-    minutes = F.floor(F.col("event_id") % 97).cast("int")
-    arrived = _event_stream(spark, sf_dir).withColumn(
-        "ingest_ts", F.col("ts") + F.make_dt_interval(mins=minutes)
-    )
+    """Events that arrive up to two hours late, by the minute they happened in."""
+    delay = F.make_dt_interval(mins=F.minute("ts") * 2)
+    arrived = _event_stream(spark, sf_dir).withColumn("ingest_ts", F.col("ts") + delay)
     out = scratch_path(spark, "out")
     _finish(jobs.stream_late_report(arrived, out, scratch_path(spark, "progress")))
     return jobs.read_late_report(spark, out)

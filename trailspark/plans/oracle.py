@@ -530,6 +530,6 @@ ORACLE.update({
             <= INTERVAL {P.PERIOD_GAP} THEN 0 ELSE 1 END AS is_new FROM ev)""",
     ),
     "stream_late_report": """SELECT date_trunc('hour', ts) AS hour, count(*) AS late_events,
-          max(event_id % 97) * 60.0::DOUBLE AS longest_delay_seconds
-        FROM events WHERE event_id % 97 > 60 GROUP BY 1""",
+          max(minute(ts)) * 120.0::DOUBLE AS longest_delay_seconds
+        FROM events WHERE minute(ts) * 2 > 60 GROUP BY 1""",
 })
