@@ -11,6 +11,7 @@ TOOLS = (TASK, TASK, TASK, "Bash", "Read", "Write", "Edit", "MultiEdit", "Grep",
 AGENTS = ("pr-creator", "code-reviewer", "test-validator", "security-reviewer", "doc-generator", None)
 SOURCES = ("startup", "resume", "clear")
 
+
 def _pick(values, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
