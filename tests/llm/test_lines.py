@@ -1,0 +1,83 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from compare import duck_rows, spark_rows
+from trailspark.llm.lines import FACTOR, LONG, SPREAD, SQL, dedup_lines, op3_line_dedup
+
+SF = "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_chunks(text):
+    lines = text.split("\n")
+    words = [len(WORD.findall(x)) for x in lines]
+    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    chunks, own = [], []
+    for i, line in enumerate(lines):
+        own.append(i)
+        rolled = (hashes[i] * FACTOR + (hashes[i - 1] if i else 0)) % SPREAD == 0
+        if rolled or words[i] >= LONG or i + 1 < len(lines) and words[i + 1] >= LONG or i + 1 == len(lines):
+            chunks.append(("\n".join(lines[k] for k in own), len(own), sum(words[k] for k in own)))
+            own = []
+    return chunks
+
+
+def plain_dedup(docs):
+    """docs: distinct (doc_id, text), in order."""
+    seen, out = set(), {}
+    for doc_id, text in docs:
+        kept, removed, total = [], 0, 0
+        for body, lines, words in plain_chunks(text or ""):
+            total += lines
+            able = words > 0 and (lines > 1 or words >= LONG)
+            if able and body in seen:
+                removed += lines
+            else:
+                kept.append(body)
+            if able:
+                seen.add(body)
+        out[doc_id] = (text if not removed else "\n".join(kept), total, removed)
+    return out
+
+
+def test_query_against_sql_and_plain(spark):
+    assert spark_rows(op3_line_dedup(spark, SF)) == duck_rows(SQL, SF)
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in op3_line_dedup(spark, SF).collect()}
+    assert got == plain_dedup(docs)
+    assert sum(r[2] for r in got.values()) > 100
+
+
+def test_passages_are_removed_once_wherever_they_stand(spark, documents):
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choice("abcdefghij") * 3 for _ in range(12))
+    passage = [line() for _ in range(30)]
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = []
+    for i in range(20):
+        text = [line() for _ in range(i)] + passage + [line() for _ in range(3)]
+        rows.append((i, "\n".join(text)))
+    rows += [(50, f"{long}\nend"), (51, f"start\n{long}"), (52, "x\ny"), (53, long + "\n" + long)]
+    got = {r.doc_id: r for r in dedup_lines(documents(*rows)).collect()}
+    assert {i: (r.text, r.n_lines, r.n_removed) for i, r in got.items()} == plain_dedup(rows)
+    assert got[0].n_removed == 0
+    assert all(got[i].n_removed >= 20 for i in range(1, 20))
+    assert got[51].text == "start" and got[53].text == "" and got[52].text == "x\ny"
+
+
+def test_nulls_repeats_clashing_names_and_no_rows(spark, documents):
+    body = "\n".join(f"line {i} of a text" for i in range(40))
+    rows = [(None, body), (None, body), (2, body), (3, None), (4, ""), (5, "\n" * 20_000), (6, "q" * 500_000)]
+    docs = documents(*rows).withColumn("mark", F.lit("own")).withColumn("n_lines", F.lit("own")).withColumn("chunks", F.lit(1))
+    out = dedup_lines(docs)
+    assert out.columns == [*[c for c in docs.columns if c != "n_lines"], "n_lines", "n_removed"]
+    got = out.collect()
+    assert [r.text for r in got if r.doc_id is None] == [body, body]
+    rest = {r.doc_id: r for r in got if r.doc_id}
+    assert rest[2].n_removed > 20 and rest[2].mark == "own"
+    assert rest[3].text is None and rest[4].text == "" and rest[5].text == "\n" * 20_000
+    assert rest[5].n_lines == 20_001 and rest[6].n_removed == 0
+    assert dedup_lines(docs.limit(0)).count() == 0

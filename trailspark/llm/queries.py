@@ -4,14 +4,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailspark.llm import mixing, sharding, urls
+from trailspark.llm import lines, mixing, quality, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (urls.op8_url_filters, sharding.op9_sharding, mixing.op10_mixing)}
+    return {f.__name__: f for f in (
+        lines.op3_line_dedup, simhash.op5_simhash, quality.op6_quality,
+        urls.op8_url_filters, sharding.op9_sharding, mixing.op10_mixing,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": lines.SQL}
