@@ -1,0 +1,54 @@
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from trailspark.llm.bpe import LONG, default_vocabulary, encode_texts, merge_one, op2_bpe, vocabulary, with_ids
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(default_vocabulary())
+
+
+def test_odd_texts_as_the_library(library):
+    rng = random.Random(3)
+    voc = vocabulary(default_vocabulary())
+    texts = ["", " ", "it's we'll I'D 're", "ΣΑΣ İstanbul ﬁ Å é ½ ٣ 漢字", "a b c\u0085d\x1ce\x1f", "x" * 700,
+             "<|endoftext|>a<|startoftext|> B<|ENDOFTEXT|>", "aaaa aaaaa abababab " * 3, "!?!?||||----" * 70, "​﻿\U0001f600"]
+    letters = "abcdefgh einrst.,'!é\n|0123 ΣσÁ"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 400))) for _ in range(200)]
+    texts.append("".join(rng.choice("aetnirs") for _ in range(3 * LONG)))
+    for text, ids in zip(texts, encode_texts(texts, voc, {})):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_long_words_merge_alike(library):
+    voc = vocabulary(default_vocabulary())
+    word = "abra" * 100 + "internationalization" * 5
+    symbols = [*voc.inner[list(word.encode()[:-1])].tolist(), int(voc.last[ord(word[-1])])]
+    assert merge_one(symbols, voc) == library.encode(word, add_special_tokens=False).ids
+
+
+def test_query_as_the_library(spark, library):
+    docs = {d.doc_id: d.text or "" for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = op2_bpe(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(decoded))
+
+
+def test_nulls_repeats_clashing_names_and_no_rows(spark, documents):
+    docs = documents((None, None), (1, ""), (2, "Hi hi"), (2, "Hi hi"), (3, "z" * 300_000)).withColumn("ids", F.lit("own"))
+    out = with_ids(docs, default_vocabulary())
+    got = sorted((str(r.doc_id), len(r.ids), r.decoded[:12]) for r in out.collect())
+    assert got[:2] == [("1", 0, ""), ("2", 2, "hi</w> hi</w")] and got[4][:2] == ("None", 0) and got[3][1] > 1000
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "decoded"]
+    assert with_ids(docs.limit(0), default_vocabulary()).count() == 0
