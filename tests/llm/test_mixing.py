@@ -1,9 +1,11 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
-from trailspark.llm.mixing import mix, op10_mixing, sized
+from pyspark.sql import functions as F
+
+from trailspark.llm.mixing import mix, mixed, op10_mixing, sized
 
 SF = "/root/testdata/sf0.01"
 
@@ -71,3 +73,23 @@ def test_nulls_empty_texts_and_repeats(spark, documents):
     assert mix(sized(documents(*rows).limit(0))).count() == 0
     empty = mix(sized(documents((1, ""), (2, None)))).collect()
     assert [(r.taken, r.target) for r in empty] == [(0, 0.0)] * 2
+
+
+def test_rows_come_out_as_often_as_they_are_taken(spark, documents):
+    rows = [(i, f"w{i} " * (i % 7), "en", "ab"[i % 2]) for i in range(60)] + [(77, "x y z", "en", None)] * 5 + [(None, None, None, None)]
+    docs = documents(*rows).withColumn("size", F.lit("own"))
+    out = mixed(docs)
+    assert out.columns == docs.columns
+    copies = Counter(r.doc_id for r in out.collect())
+    size = {i: len((t or "").split()) for i, t, *_ in rows}
+    source = {r[0]: r[3] for r in rows}
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += size[r[0]]
+    taken = defaultdict(int)
+    for i, n in copies.items():
+        assert n <= 3 * (5 if i == 77 else 1) and size[i]
+        taken[source[i]] += n * size[i]
+    for s, target in plain_targets(sizes).items():
+        assert abs(taken[s] - target) <= 12
+    assert mixed(docs.limit(0)).count() == 0

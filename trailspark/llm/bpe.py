@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailspark.llm.shared import load
 
@@ -213,13 +213,13 @@ def with_ids(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataF
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "ids", "decoded")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def digests() -> dict[str, Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of the columns ``ids`` and ``decoded``."""
+    return {
+        "n_tokens": F.size("ids").cast("long"),
+        "ids_sha256": F.sha2(F.array_join("ids", " "), 256),
+        "decoded_sha256": F.sha2("decoded", 256),
+    }
 
 
 def default_vocabulary() -> str:
@@ -230,4 +230,4 @@ def default_vocabulary() -> str:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir).select("doc_id", "text")
-    return digests(with_ids(docs, default_vocabulary(), ["doc_id"]))
+    return with_ids(docs, default_vocabulary(), ["doc_id"]).withColumns(digests()).drop("ids", "decoded")

@@ -150,12 +150,33 @@ def mix(
     )
 
 
+def words_of(text: str) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64("text").alias("mark"),
+    return docs.select("doc_id", "source", words_of("text").alias("size"), F.xxhash64("text").alias("mark"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, 0 to PASSES times; same columns.
+
+    Rows that are equal in all columns are taken together: as many of them come out as the
+    mix takes of all. The texts are shuffled once.
+    """
+    names = docs.columns
+    both = [F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in names])]
+    given = docs.select(
+        both[0].alias("mark"), both[1].alias("doc_id"), "source", words_of("text").alias("size")
+    )
+    taken = mix(given, weights).filter("taken > 0").groupBy("mark", F.col("doc_id").alias("mark2")).agg(
+        F.sum(F.expr("taken div size")).alias("__n")
     )
+    rows = docs.select(
+        both[0].alias("mark"), both[1].alias("mark2"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]
+    ).dropDuplicates(["mark", "mark2"])
+    out = spread_copies(rows.join(taken, ["mark", "mark2"]), "__n", "__copy")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
