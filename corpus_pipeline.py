@@ -1,10 +1,52 @@
-"""From raw documents to token counts of a mixed, cleaned corpus, in stages."""
+"""From raw documents to token ids of a cleaned corpus that is mixed to target weights, in stages."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trailspark.llm.bpe import default_vocabulary, digests, with_ids
+from trailspark.llm.lines import dedup_lines
+from trailspark.llm.mixing import mixed
+from trailspark.llm.quality import keep_good
 from trailspark.llm.shared import load, stored
+from trailspark.llm.simhash import DISTANCE, WORDS, keep_one
 
-STAGES = []
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return keep_good(docs)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of lines that stand earlier; ``n_chars`` follows the text."""
+    out = dedup_lines(docs).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars"))
+    return out
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return keep_one(docs, WORDS, DISTANCE)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them."""
+    return mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text and digests of them and of what they decode to."""
+    encoded = with_ids(docs, default_vocabulary(), ["doc_id", "lang", "source"])
+    return encoded.withColumns(digests()).drop("decoded")
+
+
+STAGES = [
+    ("quality rules", good_documents),
+    ("line dedup", without_repeated_lines),
+    ("SimHash near-dedup", one_of_each_group),
+    ("mixing", mixed_sources),
+    ("BPE", token_ids),
+]
 
 # Several stages have no SQL form; tests hold them against plain versions.
 ORACLE_SQL = None
