@@ -4,15 +4,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailspark.llm import bpe, embedding, lines, mixing, quality, secrets, sharding, simhash, urls
+from trailspark.llm import bpe, embedding, lines, mixing, quality, secrets, sharding, simhash, suffixes, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        embedding.op1_fingerprints, bpe.op2_bpe, lines.op3_line_dedup, simhash.op5_simhash,
-        quality.op6_quality, secrets.op7_secrets, urls.op8_url_filters, sharding.op9_sharding, mixing.op10_mixing,
+        embedding.op1_fingerprints, bpe.op2_bpe, lines.op3_line_dedup, suffixes.op4_suffixes,
+        simhash.op5_simhash, quality.op6_quality, secrets.op7_secrets, urls.op8_url_filters, sharding.op9_sharding, mixing.op10_mixing,
     )}
 
 
