@@ -5,6 +5,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from trailspark.llm.shared import load, same, stored
@@ -13,8 +14,9 @@ WALKS = 2
 SAMPLES = 64  # Of each walk.
 CLASSES = 256  # Characters are told apart by this many classes in the walks.
 PERIOD = 1 << 14  # Steps after which the shared random bits repeat.
-BLOCK = 1 << 21  # Characters that are walked at once.
-BAND = 4  # Samples in a band.
+BLOCK = 1 << 20  # Characters that are walked at once.
+BAND = 8  # Samples in a band.
+TEXTS = 2000  # Rows whose texts are walked together.
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
@@ -67,16 +69,14 @@ class Embedding:
         self.places = [sample_places(w) for w in range(WALKS)]
 
     def _walk(self, codes: list[np.ndarray], lengths: np.ndarray, walk: int) -> np.ndarray:
-        """Samples of texts in order of falling length."""
-        n = len(codes)
+        """Samples of texts in order of falling length; a block of characters of all at once."""
         places = np.stack([p[np.searchsorted(p, 2 * lengths) - 1] for p in self.places[walk]], 1)
-        out = np.ones((n, SAMPLES), np.uint8)  # what a walk that has ended early shows
-        clock = np.zeros(n, np.int64)
-        width = max(256, BLOCK // max(n, 1))
-        stay = self.stay[walk]
-        for start in range(0, int(lengths[0]), width):
+        out = np.ones((len(codes), SAMPLES), np.uint8)  # what a walk that has ended early shows
+        clock = np.zeros(len(codes), np.int64)
+        stay, start, most = self.stay[walk], 0, int(lengths[0])
+        while start < most:
             live = int(np.searchsorted(-lengths, -start, "left"))
-            size = min(width, int(lengths[0]) - start)
+            size = min(max(256, BLOCK // live), most - start)
             # Columns are texts; one more character is read for the pairs.
             letters = np.zeros((size + 1, live), np.int64)
             for i in range(live):
@@ -84,13 +84,13 @@ class Embedding:
                 letters[: len(part), i] = part
             rows = ((letters[:-1] * 0x9E3779B1 >> 15) & (CLASSES - 1)) * PERIOD
             times = np.empty((size + 1, live), np.int64)
-            times[0] = now = clock[:live].copy()
-            inside = live
-            for j in range(size):
-                while lengths[inside - 1] <= start + j:
-                    inside -= 1
-                at = now[:inside]
-                at += stay[rows[j, :inside] + (at & (PERIOD - 1))]
+            times[0] = now = clock[:live]
+            inside = np.searchsorted(-lengths, -np.arange(start, start + size), "left").tolist()
+            for j, n in enumerate(inside):
+                at = now[:n]
+                place = at & (PERIOD - 1)
+                place += rows[j, :n]
+                at += stay.take(place)
                 times[j + 1] = now
             wanted = places[:live]
             text, sample = np.nonzero((wanted >= times[0][:, None]) & (wanted < times[-1][:, None]))
@@ -100,27 +100,19 @@ class Embedding:
                 at = np.searchsorted(flat, wanted[text, sample] + text * span, "right") - 1 - text * (size + 1)
                 pair = letters[at, text] * (1 << 21) + letters[at + 1, text]
                 out[text, sample] = mixed(pair * 4096 + sample + 1) % np.uint64(254) + np.uint64(2)
-            clock[:live] = now
+            start += size
         return out
 
     def prints(self, texts: Sequence[str]) -> list[bytes]:
         """WALKS * SAMPLES bytes for each text; zeros for an empty one."""
-        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in texts]
+        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
         lengths = np.array([len(c) for c in codes], np.int64)
         out = np.zeros((len(texts), WALKS * SAMPLES), np.uint8)
         order = np.argsort(-lengths, kind="stable")
         order = order[lengths[order] > 0]
-        at = 0
-        while at < len(order):  # texts of like length together
-            most = lengths[order[at]]
-            end = at + 1
-            while end < len(order) and 2 * lengths[order[end]] >= most and (end - at) * most < 2 * BLOCK:
-                end += 1
-            group = order[at:end]
-            own = [codes[i] for i in group]
-            for w in range(WALKS):
-                out[group, w * SAMPLES : (w + 1) * SAMPLES] = self._walk(own, lengths[group], w)
-            at = end
+        if len(order):
+            own = [codes[i] for i in order]
+            out[order] = np.hstack([self._walk(own, lengths[order], w) for w in range(WALKS)])
         return [r.tobytes() for r in out]
 
 
@@ -136,15 +128,28 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the text as compressed bytes, null as the empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        for batch in batches:
+            texts = pa.array([pack((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text binary")
+
+
 def with_next(docs: DataFrame, cells: int) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next row by falling doc_id; the first after the
-    last. Null ids come last, equal ids by a hash of the text; null texts are empty.
+    """(doc_id, text, next_text) of ``packed`` rows: the text of the next row by falling doc_id; the first after the
+    last. Null ids come last, equal ids by a hash of the text.
 
     Rows are cut into ranges of the order, of about equal numbers. Ids that many rows share
     are cut further by the hash. The first row of each range is also sent to the range
     before it, so each range finds its answers alone.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    rows = docs.withColumn("hash", F.xxhash64("text"))
     shares = F.array(*[F.lit(i / cells) for i in range(1, cells)]) if cells > 1 else F.array(F.lit(0.5))
     bounds = docs.agg(F.percentile_approx("doc_id", shares, F.lit(100 * cells))).first()[0] or []
     crowded = sorted({b for i, b in enumerate(bounds[1:]) if b == bounds[i]})
@@ -177,15 +182,15 @@ def with_next(docs: DataFrame, cells: int) -> DataFrame:
 
 
 def fingerprint_pairs(pairs: DataFrame) -> DataFrame:
-    """Fingerprints of (doc_id, text, next_text): of the text and of its edited form."""
+    """Fingerprints of packed (doc_id, text, next_text): of the text and of its edited form, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walks = Embedding()
+        walks, unpack = Embedding(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                rows = batch.slice(start, 2000)
-                ids, texts, following = (rows.column(i) for i in range(3))
-                texts, following = texts.to_pylist(), following.to_pylist()
+            for start in range(0, batch.num_rows, TEXTS):
+                rows = batch.slice(start, TEXTS)
+                ids = rows.column(0)
+                texts, following = ([unpack(t.as_py()).decode() for t in rows.column(i)] for i in (1, 2))
                 forms = [edited(t, f) for t, f in zip(texts, following)]
                 distinct = [*{*texts, *following, *forms}]
                 found = dict(zip(distinct, walks.prints(distinct)))
@@ -193,48 +198,49 @@ def fingerprint_pairs(pairs: DataFrame) -> DataFrame:
                 changed = [found[t] for t in forms]
                 columns = [
                     ids, pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in forms]),
-                    pa.array([p.hex() for p in own]), pa.array([p.hex() for p in changed]),
+                    pa.array([hashlib.sha256(t.encode()).digest() for t in forms], pa.binary()),
+                    pa.array(own, pa.binary()), pa.array(changed, pa.binary()),
                     pa.array([likeness(a, b) for a, b in zip(own, changed)]),
                     pa.array([likeness(a, found[f]) for a, f in zip(own, following)]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, NAMES)
 
     return pairs.mapInArrow(run, (
-        f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, n_chars long, edited_sha256 string, "
-        "fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, n_chars long, edited_sha256 binary, "
+        "fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     ))
 
 
 def nearest_known(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(fingerprint, near_id): the least doc_id among the verified partners of a fingerprint, its
-    own included.
+    """(mark, near_id): the least doc_id among the verified partners of a fingerprint, its own
+    included; ``mark`` is a hash of the fingerprint.
 
     Equal fingerprints are one. Each is cut into bands of BAND samples; of the fingerprints
     that share a band the one with the least doc_id is the candidate of all, so a crowded
-    band costs one candidate each, and likeness of the whole fingerprints decides.
+    band costs one candidate each, and likeness of the whole fingerprints decides. Bands
+    are shuffled as pairs of numbers.
     """
-    own = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("own_id"))
-    count = WALKS * SAMPLES // BAND
-    bands = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(
-        i.alias("band"), F.substring(F.col("fingerprint"), i * (2 * BAND) + 1, F.lit(2 * BAND)).alias("part")
-    ))
-    cut = own.select("fingerprint", "own_id", F.inline(bands)).withColumn("key", F.xxhash64("band", "part"))
-    leads = cut.groupBy("key").agg(
-        F.min_by("fingerprint", "own_id").alias("lead"), F.min("own_id").alias("lead_id"), F.count(F.lit(1)).alias("n")
-    ).filter("n > 1").drop("n")
-    met = cut.select("fingerprint", "own_id", "key").join(leads, "key").filter(
-        F.col("lead") != F.col("fingerprint")
-    ).select("fingerprint", "lead", "lead_id").distinct()
+    own = prints.groupBy("mark", "fingerprint").agg(F.min("doc_id").alias("own_id"))
+    bands = F.array(*[
+        F.xxhash64(F.lit(i), F.substring("fingerprint", i * BAND + 1, BAND)) for i in range(WALKS * SAMPLES // BAND)
+    ])
+    cut = own.select("mark", "own_id", F.explode(bands).alias("key"))
+    leads = cut.groupBy("key").agg(F.min_by("mark", "own_id").alias("lead"), F.count(F.lit(1)).alias("n")).filter(
+        (F.col("n") > 1) & F.col("lead").isNotNull()
+    )
+    met = cut.select("mark", "key").join(leads.select("key", "lead"), "key").filter(
+        F.col("lead") != F.col("mark")
+    ).select("mark", "lead").distinct()
+    theirs = own.select(F.col("mark").alias("lead"), F.col("fingerprint").alias("other"), F.col("own_id").alias("lead_id"))
+    pairs = met.join(own.select("mark", "fingerprint"), "mark").join(theirs, "lead").select("mark", "fingerprint", "other", "lead_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(*(batch.column(i).to_pylist() for i in range(2)))
-            near = [likeness(bytes.fromhex(a), bytes.fromhex(b)) >= least for a, b in both]
-            yield batch.filter(pa.array(near))
+            both = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            yield batch.filter(pa.array([likeness(a, b) >= least for a, b in both], pa.bool_()))
 
-    true = met.mapInArrow(verify, met.schema).groupBy("fingerprint").agg(F.min("lead_id").alias("lead_id"))
-    return own.join(true, "fingerprint", "left").select("fingerprint", F.least("own_id", "lead_id").alias("near_id"))
+    true = pairs.mapInArrow(verify, pairs.schema).groupBy("mark").agg(F.min("lead_id").alias("lead_id"))
+    return own.join(true, "mark", "left").groupBy("mark").agg(F.min(F.least("own_id", "lead_id")).alias("near_id"))
 
 
 def embed(docs: DataFrame, cells: int | None = None) -> DataFrame:
@@ -247,9 +253,11 @@ def embed(docs: DataFrame, cells: int | None = None) -> DataFrame:
     """
     if cells is None:
         cells = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(fingerprint_pairs(with_next(docs, cells)), "embedding")
-    near = nearest_known(found.select("doc_id", "fingerprint"))
-    return found.join(near, "fingerprint").select(*NAMES, "near_id")
+    found = stored(fingerprint_pairs(with_next(packed(docs), cells)), "embedding")
+    marked = found.withColumn("mark", F.xxhash64("fingerprint"))
+    near = nearest_known(marked.select("doc_id", "mark", "fingerprint"))
+    text = {c: F.lower(F.hex(c)) for c in NAMES if dict(found.dtypes)[c] == "binary"}
+    return marked.join(near, "mark").select(*[text.get(c, F.col(c)).alias(c) for c in NAMES], "near_id")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
