@@ -81,8 +81,11 @@ def test_against_brute_force(spark, documents, monkeypatch):
     assert result(remove_repeats(docs)) == expected
     import trailspark.llm.suffixes as module
 
-    monkeypatch.setattr(module, "SUFFIXES", 500)  # many ranges and runs
+    monkeypatch.setattr(module, "SUFFIXES", 50)  # many ranges and runs
     assert result(remove_repeats(docs.repartition(5))) == expected
+    monkeypatch.setattr(module, "CROWD", 2)  # strings one by one
+    monkeypatch.setattr(module, "SUFFIXES", 500)
+    assert result(remove_repeats(docs.repartition(3))) == expected
 
 
 def test_query(spark):

@@ -2,7 +2,7 @@
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ BEFORE, AFTER = 56, 89  # All strings of an anchor contain these bytes around it
 SUFFIXES = 400_000  # Suffixes in a range of the merge, about.
 SAMPLE = 50_000  # Strings, at most, from which the borders of ranges are taken.
 RUN = 20_000  # Suffixes in a piece of a run.
+CROWD = 256  # Contexts of a core that are compared in one place.
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -124,6 +125,7 @@ def contexts(docs: DataFrame) -> DataFrame:
 
 # Sorted runs ----------------------------------------------------------------
 
+FACT = np.dtype([("same", "<u2"), ("rest", "<u2"), ("owners", "<u4")])
 OWNER = np.dtype([("core", "<i8"), ("context", "<i8"), ("offset", "u1"), ("n", "<i8")])
 
 
@@ -139,25 +141,24 @@ def common(a: bytes, b: bytes, known: int) -> int:
     return low
 
 
-def front_coded(strings: list[tuple[bytes, list]]) -> tuple[bytes, bytes, bytes, bytes]:
-    """A sorted run: common prefix with the string before, the rest, number of owners, owners."""
-    prefixes, rests, before = bytearray(), [], b""
-    for s, _ in strings:
+def front_coded(strings: list[tuple[bytes, list]]) -> tuple[bytes, bytes, bytes]:
+    """A sorted run: for each string the common prefix with the one before, the length of the
+    rest and the number of owners; the rests; the owners."""
+    facts, rests, before = [], [], b""
+    for s, own in strings:
         same = common(before, s, 0)
-        prefixes.append(same)
+        facts.append((same, len(s) - same, len(own)))
         rests.append(s[same:])
         before = s
     owners = np.array([tuple(o) for _, own in strings for o in own], OWNER)
-    counts = np.array([len(own) for _, own in strings], np.int32)
-    return bytes(prefixes), b"".join(rests), counts.tobytes(), owners.tobytes()
+    return np.array(facts, FACT).tobytes(), b"".join(rests), owners.tobytes()
 
 
-def read_run(prefixes: bytes, rests: bytes, counts: bytes, owners: bytes) -> Iterator[tuple[int, bytes, np.ndarray]]:
+def read_run(facts: bytes, rests: bytes, owners: bytes) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """(common prefix with the string before, string, owners) in order."""
     at = start = 0
     own, before = np.frombuffer(owners, OWNER), b""
-    for same, count in zip(prefixes, np.frombuffer(counts, np.int32).tolist()):
-        size = LENGTH - same
+    for same, size, count in np.frombuffer(facts, FACT).tolist():
         before = before[:same] + rests[at : at + size]
         yield same, before, own[start : start + count]
         at, start = at + size, start + count
@@ -206,67 +207,127 @@ def merged(runs: Iterable[Iterator[tuple[int, bytes, np.ndarray]]]) -> Iterator[
             node //= 2
 
 
-def suffix_runs(classes: DataFrame, borders: list[bytes]) -> DataFrame:
-    """Front-coded sorted runs of all strings in the contexts, a piece of a run for each range."""
+RUN_FIELDS = ("range", "facts", "rests", "owners")
 
-    def pieces(strings: dict[bytes, list]) -> Iterator[dict]:
-        ordered = sorted(strings.items())
-        ranges = [bisect_right(borders, s) for s, _ in ordered]
-        start = 0
-        while start < len(ordered):
-            end = bisect_right(ranges, ranges[start])
-            for at in range(start, end, RUN):
-                coded = front_coded(ordered[at : min(at + RUN, end)])
-                yield dict(zip(("range", "prefixes", "rests", "counts", "owners"), (ranges[start], *coded)))
-            start = end
+
+def run_pieces(strings: dict[bytes, list], borders: list[bytes], head: int) -> Iterator[dict]:
+    """A sorted run, cut at the borders of ranges (first ``head`` bytes) and into pieces."""
+    ordered = sorted(strings.items())
+    ranges = [bisect_right(borders, s[:head]) for s, _ in ordered]
+    start = 0
+    while start < len(ordered):
+        end = bisect_right(ranges, ranges[start])
+        for at in range(start, end, RUN):
+            coded = front_coded(ordered[at : min(at + RUN, end)])
+            yield dict(zip(RUN_FIELDS, (ranges[start], *coded)))
+        start = end
+
+
+def merge_sorted(classes: DataFrame, split: Callable, head: int, total: int, decide: Callable) -> DataFrame:
+    """(core, context, offset) that ``decide`` finds in the global order of the strings into which
+    ``split`` turns each class.
+
+    Every task sorts its strings, equal ones once, and sends front-coded runs; a range of
+    the order merges its runs. Borders come from a sample of bounded size.
+    """
+    count = max(1, total // SUFFIXES)
+    some = classes.orderBy(F.xxhash64("core", "context")).limit(min(SAMPLE, 50 * count))
+    sample = sorted(split(*r)[0][0][:head] for r in some.collect()) if count > 1 else []
+    borders = sorted({sample[i * len(sample) // count] for i in range(1, count)} if sample else ())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         strings: dict[bytes, list] = {}
         for batch in batches:
-            for core, context, n, part in zip(batch["core"], batch["context"], batch["n"], batch["bytes"]):
-                part = bytes(part)
-                for offset in range(len(part) - LENGTH + 1):
-                    strings.setdefault(part[offset : offset + LENGTH], []).append((core, context, offset, n))
+            for row in batch.itertuples(index=False):
+                for s, owner in split(*row):
+                    strings.setdefault(s, []).append(owner)
                 if len(strings) >= SUFFIXES // 4:
-                    yield pd.DataFrame(pieces(strings))
+                    yield pd.DataFrame(run_pieces(strings, borders, head))
                     strings = {}
         if strings:
-            yield pd.DataFrame(pieces(strings))
+            yield pd.DataFrame(run_pieces(strings, borders, head))
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        runs = [read_run(*r) for r in zip(rows["facts"], rows["rests"], rows["owners"])]
+        found = list(decide(merged(runs)))
+        every = np.array([(o["core"], o["context"], o["offset"]) for o in found] if found else np.empty((0, 3)), np.int64)
+        return pd.DataFrame(every, columns=["core", "context", "offset"])
+
+    runs = classes.mapInPandas(run, "range int, facts binary, rests binary, owners binary")
+    return runs.groupBy("range").applyInPandas(merge, "core long, context long, offset long")
+
+
+def strings_of(core: int, context: int, lead: int, n: int, part: bytes) -> list[tuple[bytes, tuple]]:
+    """All strings of a context, each a suffix cut at LENGTH."""
+    part = bytes(part)
+    return [(part[o : o + LENGTH], (core, context, o, n)) for o in range(len(part) - LENGTH + 1)]
 
-    return classes.select("core", "context", "n", "bytes").mapInPandas(
-        run, "range int, prefixes binary, rests binary, counts binary, owners binary"
-    )
+
+def turned(core: int, context: int, lead: int, n: int, part: bytes) -> list[tuple[bytes, tuple]]:
+    """A context as its suffix from the core on, then what stands before."""
+    part, start = bytes(part), lead - BEFORE
+    return [(part[start:] + part[:start], (core, context, start, n))]
+
+
+def neighbours(strings: Iterator[tuple[int, bytes, np.ndarray]]) -> Iterator[np.void]:
+    """Owners of strings that stand more than once: neighbours that share all bytes."""
+    group: list = []
+
+    def close() -> Iterator[np.void]:
+        if len(group) > 1 or group and group[0]["n"] > 1:
+            yield from group
+        group.clear()
+
+    for same, _, owners in strings:
+        if same < LENGTH:
+            yield from close()
+        group.extend(owners)
+    yield from close()
+
+
+def within_cores(strings: Iterator[tuple[int, bytes, np.ndarray]]) -> Iterator[dict]:
+    """Repeated strings of turned contexts: those that share the core are neighbours, and only
+    they can have a string in common."""
+    group: list = []
+
+    def close() -> Iterator[dict]:
+        seen: dict[bytes, list] = {}
+        for s, owners in group:
+            for o in owners:
+                start = int(o["offset"])
+                part = s[len(s) - start :] + s[: len(s) - start]
+                own = [int(o["core"]), int(o["context"]), int(o["n"])]
+                for offset in range(len(part) - LENGTH + 1):
+                    seen.setdefault(part[offset : offset + LENGTH], []).append((own, offset))
+        for owners in seen.values():
+            if len(owners) > 1 or owners[0][0][2] > 1:
+                for own, offset in owners:
+                    yield {"core": own[0], "context": own[1], "offset": offset}
+        group.clear()
+
+    for same, s, owners in strings:
+        if same < BEFORE + AFTER:
+            yield from close()
+        group.append((s, owners))
+    yield from close()
 
 
 def repeated_strings(classes: DataFrame) -> DataFrame:
     """(core, context, offset) of the strings that stand more than once, from contexts with the
-    number ``n`` of places where each stands."""
-    total = classes.agg(F.sum(F.length("bytes") - (LENGTH - 1))).first()[0] or 0
-    count = max(1, total // SUFFIXES)
-    wanted = min(SAMPLE, 50 * count)
-    some = classes.select(F.substring("bytes", 1, LENGTH).alias("s")).orderBy(F.xxhash64("core", "context")).limit(wanted)
-    sample = sorted(bytes(r.s) for r in some.collect()) if count > 1 else []
-    borders = sorted({sample[i * len(sample) // count] for i in range(1, count)})
+    number ``n`` of places where each stands.
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        runs = [read_run(*r) for r in zip(rows["prefixes"], rows["rests"], rows["counts"], rows["owners"])]
-        found, group = [], []
-
-        def close() -> None:
-            if group and (len(group) > 1 or len(group[0]) > 1 or group[0]["n"][0] > 1):
-                found.extend(group)
-            group.clear()
-
-        for same, _, owners in merged(runs):
-            if same < LENGTH:
-                close()
-            group.append(owners)
-        close()
-        every = np.concatenate(found) if found else np.empty(0, OWNER)
-        return pd.DataFrame({c: every[c].astype(np.int64) for c in ("core", "context", "offset")})
-
-    runs = suffix_runs(classes, borders)
-    return runs.groupBy("range").applyInPandas(merge, "core long, context long, offset long")
+    Contexts are merged whole, turned to begin with the core. Cores with more than CROWD
+    contexts would put them all in one range: there each string goes its own way.
+    """
+    crowded = classes.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("core")
+    columns = ["core", "context", "lead", "n", "bytes"]
+    many = classes.join(crowded, "core", "left_semi").select(*columns)
+    few = classes.join(crowded, "core", "left_anti").select(*columns)
+    strings = many.agg(F.sum(F.length("bytes") - (LENGTH - 1))).first()[0] or 0
+    apart = merge_sorted(many, strings_of, LENGTH, strings, neighbours)
+    # A context counts as the strings in it that its range looks at.
+    together = merge_sorted(few, turned, BEFORE + AFTER, 8 * few.count(), within_cores)
+    return together.union(apart)
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -310,9 +371,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Anchors whose surroundings are unique leave first, by counting hashes. Of the others,
     equal contexts are one class. A class that stands alone among those with its core is
-    repeated as a whole. The strings of all other classes are sorted in each task,
-    exchanged as front-coded runs and merged with the lengths they share; neighbours that
-    share LENGTH bytes are repeated.
+    repeated as a whole. All other classes are sorted in each task, exchanged as
+    front-coded runs and merged with the lengths they share: whole contexts from their core
+    on, or, where a core has very many, their strings one by one.
     """
     text = F.coalesce("text", F.lit(""))
     given = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("mark"))
@@ -323,7 +384,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     mixed_cores = found.groupBy("core").agg(F.min("context").alias("a"), F.max("context").alias("b")).filter("a != b").select("core")
     classes = stored(
         found.join(mixed_cores, "core", "left_semi").groupBy("core", "context").agg(
-            F.count(F.lit(1)).alias("n"), F.min("bytes").alias("bytes")
+            F.count(F.lit(1)).alias("n"), F.min("bytes").alias("bytes"),
+            F.min(F.col("place").bitwiseAND(127)).alias("lead"),
         ), "classes",
     )
     one = F.expr("shiftleft(1L, cast(offset AS int))")
