@@ -18,6 +18,7 @@ BEFORE, AFTER = 56, 89  # All strings of an anchor contain these bytes around it
 SUFFIXES = 400_000  # Suffixes in a range of the merge, about.
 SAMPLE = 50_000  # Strings, at most, from which the borders of ranges are taken.
 RUN = 20_000  # Suffixes in a piece of a run.
+EVERY = -1  # All strings of an anchor, as bits.
 CROWD = 256  # Contexts of a core that are compared in one place.
 
 
@@ -343,6 +344,10 @@ def cut(docs: DataFrame) -> DataFrame:
                 for s in strings or ():
                     _, first, last = unpacked_place(s["place"])
                     bits = s["offsets"]
+                    if bits == EVERY:
+                        edge[first] += 1
+                        edge[last + LENGTH] -= 1
+                        continue
                     for offset in range(last - first + 1):
                         if bits >> offset & 1:
                             edge[first + offset] += 1
@@ -391,7 +396,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     one = F.expr("shiftleft(1L, cast(offset AS int))")
     bits = repeated_strings(classes).groupBy("core", "context").agg(F.bit_or(one).alias("bits"))
     known = classes.select("core", "context", "n").join(bits, ["core", "context"], "left").withColumn("known", F.lit(True))
-    every = F.lit(-1).cast("long")
+    every = F.lit(EVERY).cast("long")
     offsets = F.when(F.col("known").isNull() | (F.col("n") > 1), every).otherwise(F.coalesce("bits", F.lit(0).cast("long")))
     strings = (
         found.select("core", "context", "mark", "place").join(known, ["core", "context"], "left")
