@@ -174,3 +174,19 @@ def test_csv_round_trip(spark, events):
     flat = rolled.withColumn("agents_used", F.array_join("agents_used", ","))
     again = export.read_csv_export(spark, path, flat.schema)
     assert flat.exceptAll(again).count() == 0 and again.count() == 2
+
+
+def test_an_event_twice_in_one_batch_is_stored_once(spark, events):
+    path = scratch_path(spark, "table")
+    ev = events({"event_id": 1}, {"event_id": 1}, {"event_id": 2})
+    E.append_events(ev, path)
+    E.append_events(ev, path)
+    assert sorted(r.event_id for r in E.read_events(spark, path).collect()) == [1, 2]
+
+
+def test_labels_keep_text_that_is_no_object(spark):
+    texts = ['{"cwd": "/x"}', "[1, 2]", '{"cut', None]
+    df = spark.createDataFrame([(i, "/x", None, t) for i, t in enumerate(texts)], "event_id long, cwd string, workspace string, data string")
+    hosts = spark.createDataFrame([("/x", "w")], "cwd string, workspace string")
+    got = {r.event_id: (r.workspace, r.data) for r in E.attach_workspace(df, hosts).collect()}
+    assert {i: got[i] for i in (1, 2, 3)} == {i: ("w", texts[i]) for i in (1, 2, 3)}

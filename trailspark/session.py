@@ -15,11 +15,13 @@ def pin_session(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, the storage all executors see.
 
-    Only where the setting is absent (tests, single machine) a local temporary
-    folder takes its place.
+    Where the setting is absent, a local temporary folder takes its place on a
+    single machine; a cluster without it is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="trailspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

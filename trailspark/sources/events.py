@@ -24,7 +24,7 @@ def raw_reader_schema() -> T.StructType:
 
 def with_event_ids(raw: DataFrame) -> DataFrame:
     """Files without an ingest number get one that is the same on every re-read."""
-    content = F.xxhash64("_metadata.file_path", "ts", "event_name", "data", BAD_LINE)
+    content = F.xxhash64("_metadata.file_path", "ts", "event_name", "tool_arg", "matcher", "data", BAD_LINE)
     return raw.withColumn("event_id", F.coalesce("event_id", content))
 
 
@@ -118,7 +118,8 @@ def attach_workspace(df: DataFrame, hosts: DataFrame) -> DataFrame:
         label = F.create_map(F.lit(WORKSPACE_KEY), F.col("__label").cast("variant"))
         merged = F.to_json(F.map_concat(others, label))
         out = out.withColumn(
-            "data", F.when(F.col("__label").isNotNull(), merged).otherwise(F.col("data"))
+            # Text that is no JSON object stays as it is.
+            "data", F.when(F.col("__label").isNotNull(), F.coalesce(merged, "data")).otherwise(F.col("data"))
         )
     return out.select(*df.columns)
 
@@ -130,14 +131,13 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_events(df: DataFrame, path: str) -> None:
-    """Append events whose id the table does not hold yet.
+    """Append events whose id the table does not hold yet for their date, each id once.
 
-    Only ids in the date folders of the batch are looked up (the semi-join
-    prunes the folders at run time), and a small batch is broadcast against
-    them, so the stored table is scanned but not shuffled. The rebalance splits
-    a crowded date over several files.
+    Only the date folders of the batch are read: its dates, a few values, filter
+    the stored table. A small batch is broadcast against their ids. The
+    rebalance splits a crowded date over several files.
     """
-    dated = df.withColumn("event_date", F.to_date("ts"))
+    dated = df.withColumn("event_date", F.to_date("ts")).dropDuplicates(["event_date", "event_id"])
     try:
         stored = read_events(df.sparkSession, path).select("event_date", "event_id")
     except AnalysisException as missing:
@@ -145,6 +145,8 @@ def append_events(df: DataFrame, path: str) -> None:
             raise
     else:
         key = ["event_date", "event_id"]
+        dates = [row[0] for row in df.select(F.to_date("ts")).distinct().collect() if row[0]]
+        stored = stored.filter(F.col("event_date").isin(dates))
         seen = stored.join(dated.select(*key), key, "left_semi")
         dated = dated.join(seen, key, "left_anti")
     dated.hint("rebalance", F.col("event_date")).write.mode("append").partitionBy(
