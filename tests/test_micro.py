@@ -205,8 +205,8 @@ def test_unknown_tools(events):
 
 
 def test_edits_are_counted_per_file(events):
-    edit = {"tool_name": "Edit", "old_string": "abc", "new_string": "a"}
-    ev = events({**edit, "file_path": "/a"}, {**edit, "file_path": "/b"}, {**edit, "file_path": "/a"})
+    edit = {"event_name": "PostToolUse", "tool_name": "Edit", "old_string": "abc", "new_string": "a"}
+    ev = events({**edit, "file_path": "/a", "event_name": "PreToolUse"}, {**edit, "file_path": "/a"}, {**edit, "file_path": "/b"}, {**edit, "file_path": "/a"})
     changes = tools.edit_changes(ev).orderBy("ts")
     assert rows(changes, "file_path", "delta_chars", "edits_to_file") == [("/a", -2, 1), ("/b", -2, 1), ("/a", -2, 2)]
 

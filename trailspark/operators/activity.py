@@ -23,16 +23,16 @@ def _seconds(bound: float) -> Column:
 
 
 def activity_states(
-    ev: DataFrame, idle_s: float = 5, waiting_s: float = 30, n: int = 1000,
+    ev: DataFrame, idle_s: float = 5, waiting_s: float = 30, n: int | None = None,
     workspace: str | None = None,
 ) -> DataFrame:
-    """Gap to the next event of the session and what it says; first n rows per
-    workspace, cut after the gaps are known."""
+    """Gap to the next event of the session and what it says; all rows, or the
+    first n per workspace, cut after the gaps are known."""
     rows = in_workspace(ev, workspace).select(
         *SESSION, "ts", "event_id", "event_name", "tool_name", "description", "command", "file_path"
     )
     gaps = with_next(rows, SESSION, {"next_ts": "ts"}).withColumn("__gap", _gap_micros())
-    first = top_n(gaps, ["workspace"], [F.col("ts"), F.col("event_id")], n)
+    first = gaps if n is None else top_n(gaps, ["workspace"], [F.col("ts"), F.col("event_id")], n)
     state = (
         F.when(F.col("next_ts").isNull(), "session_end")
         .when(F.col("__gap") > _seconds(waiting_s), "waiting")

@@ -34,9 +34,9 @@ def pair_tool_calls(ev: DataFrame, session_id: str | None = None) -> DataFrame:
 
 
 def edit_changes(ev: DataFrame) -> DataFrame:
-    """Size change of each edit and the running number of edits to its file."""
+    """Size change of each finished edit and the running number of edits to its file."""
     edits = of_session(ev, None).filter(
-        F.col("tool_name").isin(*EDIT_TOOLS) & F.col("file_path").isNotNull()
+        (F.col("event_name") == POST_TOOL) & F.col("tool_name").isin(*EDIT_TOOLS) & F.col("file_path").isNotNull()
     ).select(
         "session_id", "ts", "event_id", "file_path",
         F.length("old_string").cast("bigint").alias("old_len"),

@@ -262,7 +262,7 @@ ORACLE = {
         """SELECT session_id, ts, file_path, length(old_string) AS old_len, length(new_string) AS new_len,
            length(new_string) - length(old_string) AS delta_chars,
            row_number() OVER (PARTITION BY session_id, file_path ORDER BY ts, event_id) AS edits_to_file
-           FROM ev WHERE tool_name IN ('Edit', 'MultiEdit')"""
+           FROM ev WHERE tool_name IN ('Edit', 'MultiEdit') AND event_name = 'PostToolUse'"""
     ),
     "event_timeseries": q(
         "SELECT date_trunc('hour', ts) AS bucket_start, event_name, count(*) AS events FROM ev GROUP BY 1, 2"
@@ -392,7 +392,7 @@ ORACLE = {
               gap_us / 1e6 AS gap_seconds,
               CASE WHEN next_ts IS NULL THEN 'session_end' WHEN gap_us > {P.WAITING_S}e6 THEN 'waiting'
                    WHEN gap_us > {P.IDLE_S}e6 THEN 'idle' ELSE 'active' END AS activity_state
-            FROM gaps QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY ts, event_id) <= 1000""",
+            FROM gaps""",
         GAPS,
     ),
     "significant_gaps": q(
