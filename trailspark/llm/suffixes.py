@@ -294,10 +294,9 @@ def within_cores(strings: Iterator[tuple[int, bytes, np.ndarray]]) -> Iterator[d
     def close() -> Iterator[dict]:
         seen: dict[bytes, list] = {}
         for s, owners in group:
-            for o in owners:
-                start = int(o["offset"])
+            for core, context, start, n in owners.tolist():
                 part = s[len(s) - start :] + s[: len(s) - start]
-                own = [int(o["core"]), int(o["context"]), int(o["n"])]
+                own = (core, context, n)
                 for offset in range(len(part) - LENGTH + 1):
                     seen.setdefault(part[offset : offset + LENGTH], []).append((own, offset))
         for owners in seen.values():
@@ -340,8 +339,11 @@ def cut(docs: DataFrame) -> DataFrame:
             rows = []
             for text, strings in zip(batch.column(1), batch.column(2).to_pylist()):
                 data = text.as_py().encode()
-                edge = np.zeros(len(data) + 1, np.int64)
-                for s in strings or ():
+                if not strings:
+                    rows.append((len(data), 0, 0, data))
+                    continue
+                edge = np.zeros(len(data) + 1, np.int32)
+                for s in strings:
                     _, first, last = unpacked_place(s["place"])
                     bits = s["offsets"]
                     if bits == EVERY:
@@ -354,7 +356,7 @@ def cut(docs: DataFrame) -> DataFrame:
                             edge[first + offset + LENGTH] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
                 spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 rows.append((len(data), int(gone.sum()), spans, kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
