@@ -32,7 +32,7 @@ def test_every_start_has_one_anchor_and_equal_strings_the_same(spark):
     for alphabet in (b"a", b"ab", b"abcdefghijklmnop "):
         data = bytes(rng.choice(alphabet) for _ in range(1500))
         data = data[:700] + piece + data[700:]
-        place, first, last = anchors(data)
+        place, first, last, core = anchors(data)
         starts = [s for a, b in zip(first, last) for s in range(a, b + 1)]
         assert starts == list(range(len(data) - LENGTH + 1))
         assert (last - first < 64).all() and (place - first < 128).all()
@@ -40,6 +40,7 @@ def test_every_start_has_one_anchor_and_equal_strings_the_same(spark):
         alone = anchors(b"x" * 300 + piece + b"y" * 77)
         other = next(i for i in range(len(alone[0])) if alone[1][i] <= 300 <= alone[2][i])
         assert place[owner] - 700 == alone[0][other] - 300
+        assert core[owner] == alone[3][other]
 
 
 def test_runs_and_the_merge():

@@ -44,8 +44,9 @@ def _sliding(values: np.ndarray, best: np.ufunc) -> np.ndarray:
     return best(values[: len(values) - rest], values[rest:])
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first, last): anchors and the starts of the strings that belong to each.
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last, core): anchors, the starts of the strings that belong to each, and a
+    hash of the bytes that all of these contain.
 
     A string belongs to the first anchor from its byte BEFORE on. What is an anchor there is
     decided by bytes of the string alone, so equal strings have equal anchors; every start
@@ -54,7 +55,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     none = np.empty(0, np.int64)
     if n < LENGTH:
-        return none, none, none
+        return none, none, none, none
     h = _hashes(np.frombuffer(data, np.uint8))
     least = _sliding(h, np.minimum)
     pad = np.zeros(SPAN - 1, np.uint64)
@@ -63,7 +64,12 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.maximum(np.concatenate(([-n], place[:-1])) - BEFORE + 1, 0)
     last = np.minimum(place - BEFORE, n - LENGTH)
     good = last >= first
-    return place[good], first[good], last[good]
+    place, first, last = place[good], first[good], last[good]
+    core = np.zeros(len(place), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in (*range(-BEFORE, AFTER - GRAM, GRAM), AFTER - GRAM):
+            core = (core ^ (core >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[place + at]
+    return place, first, last, core.view(np.int64)
 
 
 def _signed(value: int) -> int:
@@ -91,11 +97,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for mark, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = text.as_py().encode()
-                place, first, last = anchors(data)
+                place, first, last, core = anchors(data)
                 if len(place):
-                    cores = [_core(data, p) for p in place.tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cores, pa.int64()), pa.array(np.full(len(place), mark)), pa.array(packed_place(place, first, last))],
+                        [pa.array(core), pa.array(np.full(len(place), mark)), pa.array(packed_place(place, first, last))],
                         ["core", "mark", "place"],
                     )
 
