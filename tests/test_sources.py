@@ -164,6 +164,17 @@ def test_heartbeats(spark):
     assert str(first.ts) == "2025-08-29 21:43:11"
 
 
+def test_heartbeat_zones(spark):
+    zones = ["-03", "UTC", "+0530", "-0300", "CEST", "+05:30"]
+    refused = ["XYZ", "+9900", "IST"]
+    lines = [f"Hook triggered at Fri Aug 29 18:43:11 {z} 2025" for z in zones + refused]
+    df = spark.createDataFrame([(line,) for line in [*lines, "else"]], "value string")
+    beats, rest = heartbeat.split_heartbeats(df)
+    hours = ["13:13:11"] * 2 + ["16:43:11", "18:43:11"] + ["21:43:11"] * 2
+    assert sorted(str(r.ts)[11:] for r in beats.collect()) == hours
+    assert {r.value for r in rest.collect()} == {*lines[len(zones):], "else"}
+
+
 def test_csv_round_trip(spark, events):
     ev = events(
         {"workspace": "", "cwd": 'a "quoted", text', "command": "x"}, {"session_id": "t", "workspace": None},

@@ -1,10 +1,8 @@
 """Streams over several micro-batches: same results as the batch operators."""
 
-import subprocess
-import sys
+import json
 
 import pytest
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, at
@@ -94,24 +92,25 @@ def test_window_counts_equal_batch(spark, silver, silver_files):
 
 
 def test_activity_periods(spark):
-    folder, out = scratch_path(spark, "in"), scratch_path(spark, "out")
-    moments = (0, 10, 40, 70.5, 200)
-    drop_file(spark, folder, *[{"ts": at(s)} for s in moments])
-    ev = jobs.read_silver_stream(spark, folder)
-    jobs.stream_activity_periods(ev, out, progress(spark), delay=None, mode="complete").awaitTermination()
-    periods = jobs.read_activity_periods(spark, out, mode="complete").orderBy("period_start").collect()
-    assert [(p.period_start, p.period_end, p.events, p.active_seconds) for p in periods] == [
-        (at(0), at(40), 3, 40.0), (at(70.5), at(70.5), 1, 0.0), (at(200), at(200), 1, 0.0)
-    ]
+    folder, out, check = scratch_path(spark, "in"), scratch_path(spark, "out"), progress(spark)
 
+    def run(*moments):
+        drop_file(spark, folder, *[{"ts": at(s)} for s in moments])
+        ev = jobs.read_silver_stream(spark, folder)
+        jobs.stream_activity_periods(ev, out, check).awaitTermination()
+        periods = jobs.read_activity_periods(spark, out).orderBy("period_start").collect()
+        return [(p.period_start, p.period_end, p.events, p.active_seconds) for p in periods]
 
-def test_activity_periods_in_append_mode(spark):
-    folder, out, check = scratch_path(spark, "in"), scratch_path(spark, "out"), progress(spark)
-    drop_file(spark, folder, {"ts": at(0)}, {"ts": at(10)}, {"ts": at(9000)})
-    ev = jobs.read_silver_stream(spark, folder)
-    jobs.stream_activity_periods(ev, out, check, delay="1 minute").awaitTermination()
-    periods = jobs.read_activity_periods(spark, out).collect()
-    assert [(p.period_start, p.events) for p in periods] == [(at(0), 2)]
+    first = (at(0), at(40), 3, 40.0)
+    assert run(0, 10, 40, 70.5, 200) == [first, (at(70.5), at(70.5), 1, 0.0), (at(200), at(200), 1, 0.0)]
+    days_late = [(at(-400_000), at(-399_999.5), 2, 0.5)]
+    assert run(-400_000, -399_999.5, 45) == [*days_late, (at(0), at(70.5), 5, 70.5), (at(200), at(200), 1, 0.0)]
+    assert run(3595, 3620) [-1] == (at(3595), at(3620), 2, 25.0)  # across an hour
+
+
+def test_activity_periods_refuse_short_gaps(spark):
+    with pytest.raises(ValueError):
+        jobs.stream_activity_periods(None, "", "", gap="0 seconds")
 
 
 def test_sessions_open_and_close(spark):
@@ -137,38 +136,62 @@ def test_sessions_open_and_close(spark):
     assert (found["quiet"].state, found["quiet"].reason) == ("closed", "silence")
     assert (found["busy"].state, found["busy"].events) == ("open", 3)
     assert (found["ends"].state, found["ends"].events) == ("closed", 3)
+    drop_file(spark, folder, {"ts": at(-400_000), "session_id": "days late"}, {"ts": at(1), "session_id": "quiet"})
+    found = run()
+    assert found["days late"].reason == "silence" and found["quiet"].events == 2
+    then = active.read_active_sessions(spark, out, as_of=at(600)).filter("session_id = 'quiet'")
+    assert then.first().state == "open"
 
 
-def test_session_state_needs_no_package_on_the_executors(tmp_path):
-    (tmp_path / "job").write_bytes(cloudpickle.dumps((active.ActiveSession(1), active._partials)))
-    code = "import pickle; print(pickle.load(open('job', 'rb'))[0].silence_us)"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
-    assert done.stdout.strip() == "1", done.stderr
-
-
-def test_pairs_and_unmatched_starts(spark):
+def test_pairs_and_both_orphans(spark):
     folder, out, check = scratch_path(spark, "calls"), scratch_path(spark, "out"), progress(spark)
     schema = "call_key string, session_id string, subagent_type string, event_name string, ts timestamp_ntz, total_tokens long"
 
-    def deliver(*rows):
+    def run(*rows, within=None):
         df = spark.createDataFrame([(k, "s", "a", f"{side}ToolUse", at(s), n) for k, side, s, n in rows], schema)
         df.coalesce(1).write.mode("append").parquet(folder)
-
-    def run():
         stream = spark.readStream.schema(schema).parquet(folder)
-        jobs.stream_pair_calls(stream, out, check, within="10 minutes", delay="1 minute").awaitTermination()
-        return {r.call_key: r for r in spark.read.parquet(out).collect()}
+        jobs.stream_pair_calls(stream, out, check).awaitTermination()
+        return {r.call_key: r for r in jobs.read_pair_calls(spark, out).collect()}
 
-    deliver(("k1", "Pre", 0, None), ("k2", "Pre", 1, None), ("k3", "Post", 2, 4))
-    run()
-    deliver(("k1", "Post", 30, 7), ("k3", "Pre", 40, None))
-    found = run()
+    found = run(("k1", "Pre", 0, None), ("k2", "Pre", 1, None), ("k3", "Post", 2, 4), ("k4", "Post", 3, 5))
+    assert found["k1"].end_time is None and found["k3"].start_time is None
+    found = run(("k1", "Post", 30, 7), ("k3", "Pre", 40, None), ("k5", "Pre", 0, None), ("k5", "Post", 5000, 1))
     assert (found["k1"].duration_seconds, found["k1"].total_tokens) == (30.0, 7)
     assert found["k3"].duration_seconds == -38.0
-    assert "k2" not in found
-    deliver(("k9", "Pre", 5000, None), ("k9", "Post", 5001, 1))
-    found = run()
-    assert found["k2"].end_time is None and found["k9"].duration_seconds == 1.0
+    assert found["k2"].end_time is None and found["k4"].start_time is None and found["k4"].total_tokens == 5
+    assert found["k5"].duration_seconds == 5000.0
+    near = jobs.read_pair_calls(spark, out, within="10 minutes").filter("call_key = 'k5'").collect()
+    assert sorted((r.start_time is None, r.total_tokens) for r in near) == [(False, None), (True, 1)]
+
+
+def test_a_job_that_runs_on(spark, silver):
+    folder, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    drop_file(spark, folder, {"ts": at(0)})
+    ev = jobs.read_silver_stream(spark, folder)
+    query = jobs.stream_session_rollup(ev, out, progress(spark), every="1 second")
+    try:
+        query.processAllAvailable()
+        assert query.isActive
+        drop_file(spark, folder, {"ts": at(9)}, {"ts": at(4)})
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert jobs.read_session_rollup(spark, out).first().total_events == 3
+
+
+def test_lines_without_ids_are_events_of_their_own(spark, tmp_path):
+    line = {"ts": "2025-09-01 10:00:00", "event_name": "Stop", "data": {"session_id": "s"}}
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    text = "\n".join(json.dumps(x) for x in (line, line, {**line, "matcher": "*"}, {**line, "tool_arg": "*"}))
+    (folder / "a.json").write_text(text)
+    out, check = scratch_path(spark, "out"), progress(spark)
+    for _ in range(2):
+        jobs.stream_silver(spark, str(folder), out, check).awaitTermination()
+    assert read_events(spark, f"{out}/events").count() == 4
+    jobs.stream_silver(spark, str(folder), out, progress(spark)).awaitTermination()  # all files again
+    assert read_events(spark, f"{out}/events").count() == 4
 
 
 def test_late_report(spark, silver_files):

@@ -4,9 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from trailspark.functions.times import as_ntz, interval, micros_between, micros_to_seconds
 
-# Most session ids that one output row lists.
-IDS_PER_ROW = 10_000
-
 
 def in_workspace(ev: DataFrame, workspace: str | None = None) -> DataFrame:
     """Session events inside a workspace (label neither null nor empty)."""
@@ -39,40 +36,26 @@ def _totals(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("workspace").agg(*[agg().alias(name) for name, agg in TOTALS.items()])
 
 
-def workspace_rollup(
-    ev: DataFrame, as_of, active: str = "1 hour", recent: str = "24 hours",
-    ids_per_row: int = IDS_PER_ROW,
-) -> DataFrame:
-    """One row per workspace. A workspace with more than ``ids_per_row`` sessions
-    spreads its id list over several rows, numbered by ``ids_page`` (0 first), with
-    the totals repeated: all ids are kept, and no row or task has to hold them all.
-
-    Only such large workspaces are broadcast, to page their sessions; there is at
-    most one of them per ``ids_per_row`` sessions.
-    """
-    sessions = workspace_sessions(ev)
-    large = _totals(sessions).filter(F.col("total_sessions") > ids_per_row)
-    paged = sessions.join(F.broadcast(large), "workspace", "left")
-    pages = F.ceil(F.col("total_sessions") / F.lit(ids_per_row))
-    page = F.coalesce(F.pmod(F.xxhash64("session_id"), pages), F.lit(0)).alias("ids_page")
-    listed = paged.groupBy("workspace", page).agg(
-        F.array_sort(F.collect_list("session_id")).alias("session_ids"),
-        # Totals of a large workspace come with its sessions, others are this page's.
-        *[F.coalesce(F.max(name), agg()).alias(name) for name, agg in TOTALS.items()],
-    )
+def workspace_rollup(ev: DataFrame, as_of, active: str = "1 hour", recent: str = "24 hours") -> DataFrame:
+    """One row per workspace; its sessions are rows of ``workspace_session_ids``."""
     now, last = as_ntz(as_of), F.col("last_activity")
     status = (
         F.when(last > now - interval(active), "active")
         .when(last > now - interval(recent), "recent")
         .otherwise("inactive")
     )
-    return listed.select(
+    return _totals(workspace_sessions(ev)).select(
         "workspace", "total_sessions", "first_activity", "last_activity", "total_events",
         micros_to_seconds(F.col("duration_micros")).alias("total_duration_seconds"),
-        "session_ids", status.alias("status"), "ids_page",
+        status.alias("status"),
     )
 
 
+def workspace_session_ids(ev: DataFrame, workspace: str | None = None) -> DataFrame:
+    """One row per workspace and session: no row or task holds all ids of a workspace."""
+    return in_workspace(ev, workspace).select("workspace", "session_id").distinct()
+
+
 def workspace_avg_session(ev: DataFrame) -> DataFrame:
     seconds = micros_to_seconds(F.col("duration_micros"))
     average = seconds / F.nullif("total_sessions", F.lit(0))

@@ -372,12 +372,12 @@ ORACLE = {
         f"""SELECT workspace, count(*) AS total_sessions, min(start_time) AS first_activity,
               max(end_time) AS last_activity, CAST(sum(event_count) AS BIGINT) AS total_events,
               CAST(sum(date_diff('microsecond', start_time, end_time)) AS BIGINT) / 1e6 AS total_duration_seconds,
-              string_agg(session_id, ',' ORDER BY session_id) AS session_ids,
               CASE WHEN max(end_time) > {NOW} - INTERVAL {P.WORKSPACE_ACTIVE} THEN 'active'
                    WHEN max(end_time) > {NOW} - INTERVAL {P.WORKSPACE_RECENT} THEN 'recent' ELSE 'inactive' END AS status
             FROM ws_sessions GROUP BY 1""",
         WS_SESSIONS,
     ),
+    "workspace_session_ids": q("SELECT workspace, session_id FROM ws_sessions", WS_SESSIONS),
     "workspace_avg_session": q(
         """SELECT workspace, CAST(sum(date_diff('microsecond', start_time, end_time)) AS BIGINT) / 1e6 / count(*) AS avg_session_seconds
            FROM ws_sessions GROUP BY 1""",
@@ -460,11 +460,10 @@ ORACLE.update({
               WHEN 'view' THEN ' ' ELSE props END AS data FROM events)""",
     "to_silver": q(f"SELECT {COLUMNS} FROM ev"),
     "attach_workspace": q(
-        f"""SELECT event_id, cwd, coalesce(label, workspace) AS workspace,
+        """SELECT event_id, cwd, coalesce(label, workspace) AS workspace,
               coalesce(label, workspace) AS payload_workspace
-            FROM ev LEFT JOIN (
-              SELECT '/home/u' || u || '/proj' || p AS cwd, 'h' || (u % 5) AS label
-              FROM range({P.HOST_USERS}) a(u), range(4) b(p) WHERE u % 3 <> 0) USING (cwd)"""
+            FROM (SELECT *, CASE WHEN u % 3 <> 0 THEN 'h' || (u % 5) END AS label
+                  FROM (SELECT *, CAST(regexp_extract(cwd, 'u([0-9]+)/', 1) AS INTEGER) AS u FROM ev))"""
     ),
     "append_events": q(f"SELECT CAST(ts AS DATE) AS event_date, {COLUMNS} FROM ev"),
     "write_audit_log": q("SELECT event_name, count(*) AS entries FROM ev GROUP BY 1"),
@@ -486,7 +485,9 @@ ORACLE.update({
     "export_csv": ORACLE["session_rollup"],
     # streams
     "stream_silver": q(
-        f"SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM (SELECT {COLUMNS} FROM ev)"
+        f"""SELECT * EXCLUDE (event_id) REPLACE (date_trunc('second', ts) AS ts) FROM (
+              SELECT {COLUMNS} FROM ev UNION ALL
+              SELECT {COLUMNS} FROM ev WHERE event_name = 'PostToolUse' AND event_id % 2 = 1)"""
     ),
     "stream_session_rollup": q(
         """SELECT session_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS total_events,
@@ -494,7 +495,6 @@ ORACLE.update({
              count(*) FILTER (event_name = 'SessionEnd') > 0 AS is_ended
            FROM ev GROUP BY 1"""
     ),
-    # All files are one micro-batch, so the watermark is the newest event less the delay.
     "stream_active_sessions": q(
         f"""SELECT session_id, CASE WHEN ends > 0 OR is_silent THEN 'closed' ELSE 'open' END AS state,
              CASE WHEN ends > 0 THEN 'end' WHEN is_silent THEN 'silence' END AS reason,
@@ -505,14 +505,14 @@ ORACLE.update({
                  FROM ev GROUP BY 1)"""
     ),
     "stream_pair_calls": q(
-        f"""SELECT pre.session_id, pre.subagent_type AS agent_type,
-             pre.session_id || '|' || pre.subagent_type || '|' || pre.rn AS call_key,
+        """SELECT coalesce(pre.session_id, post.session_id) AS session_id,
+             coalesce(pre.subagent_type, post.subagent_type) AS agent_type,
+             coalesce(pre.session_id, post.session_id) || '|' || coalesce(pre.subagent_type, post.subagent_type)
+               || '|' || coalesce(pre.rn, post.rn) AS call_key,
              pre.ts AS start_time, post.ts AS end_time,
              date_diff('microsecond', pre.ts, post.ts) / 1e6 AS duration_seconds, post.total_tokens
-           FROM pre LEFT JOIN post
-             ON pre.session_id = post.session_id AND pre.subagent_type = post.subagent_type AND pre.rn = post.rn
-           WHERE post.ts IS NOT NULL OR pre.ts + INTERVAL {P.PAIR_WITHIN} <
-             (SELECT least((SELECT max(ts) FROM pre), (SELECT max(ts) FROM post))) - INTERVAL {P.WATERMARK_DELAY}""",
+           FROM pre FULL JOIN post
+             ON pre.session_id = post.session_id AND pre.subagent_type = post.subagent_type AND pre.rn = post.rn""",
         AGENT_CALLS,
     ),
     "stream_window_counts": """WITH hourly AS (

@@ -37,4 +37,3 @@ RULES = (
     (5, "PostToolUse", "Edit|Write"),
     (6, "SessionStart", "*"),
 )
-HOST_USERS = 40

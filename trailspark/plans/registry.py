@@ -56,13 +56,6 @@ def _search_events(spark, sf_dir):
     return tools.search_text(tools.event_texts(load_typed(pin_session(spark), sf_dir)), P.EVENT_TERMS)
 
 
-def _workspace_rollup(spark, sf_dir):
-    rolled = workspaces.workspace_rollup(
-        load_typed(pin_session(spark), sf_dir), P.AS_OF, P.WORKSPACE_ACTIVE, P.WORKSPACE_RECENT
-    )
-    return rolled.withColumn("session_ids", F.array_join("session_ids", ",")).drop("ids_page")
-
-
 BATCH: dict[str, Query] = {
     "latest_session": _over_events(sessions.latest_session),
     "session_lifecycle": _over_events(sessions.session_lifecycle),
@@ -106,7 +99,10 @@ BATCH: dict[str, Query] = {
         agents.agent_alias_usage, AGENT_ALIASES, "agent_type", "short_name"
     ),
     "project_usage": _over_events(agents.project_usage),
-    "workspace_rollup": _workspace_rollup,
+    "workspace_rollup": _over_events(
+        workspaces.workspace_rollup, P.AS_OF, P.WORKSPACE_ACTIVE, P.WORKSPACE_RECENT
+    ),
+    "workspace_session_ids": _over_events(workspaces.workspace_session_ids),
     "workspace_avg_session": _over_events(workspaces.workspace_avg_session),
     "workspace_sessions": _over_events(workspaces.workspace_sessions),
     "activity_states": _over_events(activity.activity_states, P.IDLE_S, P.WAITING_S),

@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from trailspark.functions.ordered import with_rank
 from trailspark.schema import (
@@ -12,6 +12,7 @@ from trailspark.schema import (
 )
 
 BAD_LINE = "bad_line"
+FILE = "file"
 # A zone after a clock time: Z, or an offset of hours with optional minutes.
 ZONED = r":\d{2}(\.\d+)?\s*(Z|UTC|[+-]\d{1,2}(:?\d{2})?)$"
 # The frame of an audit log entry.
@@ -22,10 +23,22 @@ def raw_reader_schema() -> T.StructType:
     return T.StructType([*RAW_SCHEMA.fields, T.StructField(BAD_LINE, T.StringType())])
 
 
+def with_file(raw: DataFrame) -> DataFrame:
+    return raw.withColumn(FILE, F.col("_metadata.file_path"))
+
+
 def with_event_ids(raw: DataFrame) -> DataFrame:
-    """Files without an ingest number get one that is the same on every re-read."""
-    content = F.xxhash64("_metadata.file_path", "ts", "event_name", "tool_arg", "matcher", "data", BAD_LINE)
-    return raw.withColumn("event_id", F.coalesce("event_id", content))
+    """Rows without an ingest number get one that is the same on every re-read.
+
+    It is a hash of the file, the whole line and, among lines of the file that are
+    alike, their number: each of them is an event. Which of them gets which number
+    does not matter. ``raw`` carries its file (``with_file``), all lines of it.
+    """
+    line = ["ts", "event_name", "tool_arg", "matcher", "data", BAD_LINE]
+    alike = Window.partitionBy(FILE, "event_id", "__line").orderBy(*line)
+    numbered = raw.withColumn("__line", F.xxhash64(*line)).withColumn("__number", F.row_number().over(alike))
+    made = F.xxhash64(FILE, "__line", "__number")
+    return numbered.withColumn("event_id", F.coalesce("event_id", made)).drop(FILE, "__line", "__number")
 
 
 def read_raw_events(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:
@@ -33,7 +46,7 @@ def read_raw_events(spark: SparkSession, path: str, file_format: str = "json") -
     reader = spark.read.schema(raw_reader_schema())
     if file_format == "json":
         reader = reader.option("columnNameOfCorruptRecord", BAD_LINE)
-    return with_event_ids(reader.format(file_format).load(path))
+    return with_event_ids(with_file(reader.format(file_format).load(path)))
 
 
 def normalize_time(df: DataFrame, tz: str = "UTC", column: str = "ts") -> DataFrame:

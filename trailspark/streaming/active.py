@@ -1,123 +1,39 @@
 """Open and closed sessions, followed live."""
 
-import sys
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-
-from trailspark.functions.times import interval_micros, seconds_between
-from trailspark.schema import SESSION_END
-from trailspark.streaming.jobs import unzoned, zoned
-from trailspark.streaming.parts import read_parts, start_parts
-
-# Executors get this module's functions with the job and need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-PARTIAL = "session_id string, first_us long, last_us long, events long, ends long"
-STATE = "first_us long, last_us long, events long, ends long"
-OUTPUT = "session_id string, state string, reason string, first_us long, last_us long, events long"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def _partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per session and Arrow batch, so a hot session reaches its state
-    as a few rows instead of all its events."""
-    for rows in batches:
-        grouped = rows.groupby("session_id", sort=False)
-        yield grouped.agg(
-            first_us=("us", "min"), last_us=("us", "max"),
-            events=("us", "size"), ends=("is_end", "sum"),
-        ).reset_index()
-
-
-class ActiveSession(StatefulProcessor):
-    """Keeps start, last event and counts of a session until ``silence_us`` have
-    passed without events. An end event closes it at once, and it stays closed
-    for the events that trail in behind."""
-
-    def __init__(self, silence_us: int):
-        self.silence_us = silence_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.session = handle.getValueState("session", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first, last, events, ends = None, None, 0, 0
-        for part in rows:
-            first = part.first_us if first is None else min(first, part.first_us)
-            last = part.last_us if last is None else max(last, part.last_us)
-            events, ends = events + part.events, ends + part.ends
-        known = self.session.get()
-        if known is not None:
-            first, last = min(first, known[0]), max(last, known[1])
-            events, ends = events + known[2], ends + known[3]
-            self.handle.deleteTimer(self._expiry(known[1]))
-        self.session.update((first, last, events, ends))
-        self.handle.registerTimer(self._expiry(last))
-        state, reason = ("closed", "end") if ends else ("open", None)
-        yield self._row(key, state, reason, first, last, events)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self.session.get()
-        if known is not None:
-            first, last, events, ends = known
-            self.session.clear()
-            if not ends:
-                yield self._row(key, "closed", "silence", first, last, events)
-
-    def close(self) -> None:
-        pass
-
-    def _expiry(self, last_us: int) -> int:
-        """Milliseconds at which a session with this last event goes silent."""
-        return (last_us + self.silence_us) // 1000 + 1
-
-    @staticmethod
-    def _row(key, state, reason, first, last, events) -> Row:
-        return Row(
-            session_id=key[0], state=state, reason=reason, first_us=first, last_us=last,
-            events=events,
-        )
+from trailspark.functions.times import as_ntz, interval, seconds_between
+from trailspark.streaming.jobs import read_session_rollup, stream_session_rollup
 
 
 def stream_active_sessions(
-    ev: DataFrame, path: str, checkpoint: str, silence: str = "1 hour", delay: str = "10 minutes"
+    ev: DataFrame, path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """A row per change: a session is open until its end event, or until the
-    watermark is ``silence`` past its last event."""
-    ev.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = ev.filter(F.col("session_id").isNotNull()).select(
-        "session_id", F.unix_micros(zoned("ts")).alias("us"),
-        (F.col("event_name") == SESSION_END).cast("bigint").alias("is_end"),
-    )
-    partial = rows.mapInPandas(_partials, PARTIAL).withColumn(
-        "last_ts", F.timestamp_micros("last_us")
-    ).withWatermark("last_ts", delay)
-    changes = partial.groupBy("session_id").transformWithState(
-        ActiveSession(interval_micros(silence)), OUTPUT, "Update", "EventTime"
-    )
-    changes = changes.select(
-        "session_id", "state", "reason",
-        unzoned(F.timestamp_micros("first_us")).alias("session_start"),
-        unzoned(F.timestamp_micros("last_us")).alias("last_event"),
-        "events",
-    )
-    return start_parts(changes, path, checkpoint, mode="update")
-
-
-def read_active_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Newest state of each session."""
-    closed_last = F.when(F.col("state") == "closed", 1).otherwise(0)
-    newest = F.max_by(
-        F.struct("state", "reason", "session_start", "last_event", "events"),
-        F.struct("batch_id", "last_event", closed_last),
-    )
-    latest = read_parts(spark, path).groupBy("session_id").agg(newest.alias("s"))
-    return latest.select(
-        "session_id", "s.*",
-        seconds_between(F.col("s.session_start"), F.col("s.last_event")).alias("duration_seconds"),
+    """Totals per session and micro-batch, from which the state of a session follows at any time."""
+    return stream_session_rollup(ev, path, checkpoint, every)
+
+
+def read_active_sessions(
+    spark: SparkSession, path: str, silence: str = "1 hour", delay: str = "10 minutes", as_of=None
+) -> DataFrame:
+    """State of each session seen so far, however late its events came.
+
+    An end event closes a session for good, also for events that trail in behind.
+    Others are closed by silence when their last event lies more than ``silence``
+    before ``as_of``; by default that is the newest event seen less ``delay``.
+    """
+    live = read_session_rollup(spark, path)
+    if as_of is not None:
+        now = as_ntz(as_of)
+    else:
+        newest = live.agg(F.max("last_event")).first()[0]
+        now = F.lit(newest).cast("timestamp_ntz") - interval(delay)
+    ended, silent = F.col("is_ended"), F.col("last_event") + interval(silence) < now
+    return live.select(
+        "session_id",
+        F.when(ended | silent, "closed").otherwise("open").alias("state"),
+        F.when(ended, "end").when(silent, "silence").alias("reason"),
+        "session_start", "last_event", F.col("total_events").alias("events"),
+        seconds_between(F.col("session_start"), F.col("last_event")).alias("duration_seconds"),
     )

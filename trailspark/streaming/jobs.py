@@ -1,7 +1,11 @@
 """Structured Streaming jobs over event files. Each returns the started query;
-a ``read_*`` function turns what the job wrote into a table."""
+a ``read_*`` function turns what the job wrote into a table.
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+Without ``every`` a job handles all files present now and ends; with it, for
+example ``"30 seconds"``, it runs on until it is stopped.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trailspark.functions.ordered import top_n
@@ -10,7 +14,7 @@ from trailspark.operators.sessions import is_agent_call
 from trailspark.schema import POST_TOOL, PRE_TOOL, SESSION_END, SILVER_SCHEMA
 from trailspark.sources.events import (
     BAD_LINE, append_events, normalize_time, raw_reader_schema, split_quarantine, to_silver,
-    with_event_ids,
+    with_event_ids, with_file,
 )
 from trailspark.streaming.parts import read_parts, start_each, start_parts
 
@@ -28,15 +32,16 @@ def unzoned(ts: Column) -> Column:
 
 
 def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Raw rows and their file; ids are made per micro-batch, which holds whole files."""
     reader = spark.readStream.schema(raw_reader_schema()).option("columnNameOfCorruptRecord", BAD_LINE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return with_event_ids(reader.json(path))
+    return with_file(reader.json(path))
 
 
 def stream_silver(
     spark: SparkSession, in_path: str, out_path: str, checkpoint: str,
-    tz: str = "UTC", files_per_batch: int | None = None,
+    tz: str = "UTC", files_per_batch: int | None = None, every: str | None = None,
 ) -> StreamingQuery:
     """Raw files to the typed event table at ``out_path/events``, refused rows to
     ``out_path/rejected``.
@@ -48,11 +53,11 @@ def stream_silver(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        valid, rejected = split_quarantine(normalize_time(batch, tz))
-        append_events(to_silver(valid).dropDuplicates(["event_id"]), f"{out_path}/events")
+        valid, rejected = split_quarantine(normalize_time(with_event_ids(batch), tz))
+        append_events(to_silver(valid), f"{out_path}/events")
         rejected.write.mode("overwrite").parquet(f"{out_path}/rejected/batch_id={batch_id}")
 
-    return start_each(read_raw_stream(spark, in_path, files_per_batch), write, checkpoint)
+    return start_each(read_raw_stream(spark, in_path, files_per_batch), write, checkpoint, every=every)
 
 
 def read_silver_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -66,7 +71,9 @@ def read_silver_stream(spark: SparkSession, path: str, files_per_batch: int | No
 # Live totals ----------------------------------------------------------------
 
 
-def stream_session_rollup(ev: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_session_rollup(
+    ev: DataFrame, path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Totals per session and micro-batch. They merge at read time, so no state
     grows with the number of sessions and no late event is lost."""
 
@@ -78,7 +85,7 @@ def stream_session_rollup(ev: DataFrame, path: str, checkpoint: str) -> Streamin
             F.count_if(F.col("event_name") == SESSION_END).alias("end_events"),
         )
 
-    return start_parts(ev, path, checkpoint, prepare=totals)
+    return start_parts(ev, path, checkpoint, prepare=totals, every=every)
 
 
 def read_session_rollup(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +98,9 @@ def read_session_rollup(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("is_ended", F.col("end_events") > 0)
 
 
-def stream_window_counts(ev: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_window_counts(
+    ev: DataFrame, path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Events per hour and a mergeable sketch of the agents used in it.
 
     The state holds one small row per hour, whatever the number of events, so it
@@ -102,7 +111,7 @@ def stream_window_counts(ev: DataFrame, path: str, checkpoint: str) -> Streaming
         F.hll_sketch_agg(F.when(is_agent_call(), F.col("subagent_type"))).alias("agents"),
     )
     hours = hours.select(unzoned(F.col("w.start")).alias("hour"), "events", "agents")
-    return start_parts(hours, path, checkpoint, mode="update")
+    return start_parts(hours, path, checkpoint, mode="update", every=every)
 
 
 def read_window_counts(spark: SparkSession, path: str, hours: int = 24) -> DataFrame:
@@ -126,41 +135,56 @@ def read_window_counts(spark: SparkSession, path: str, hours: int = 24) -> DataF
     )
 
 
+def _merged(pieces: DataFrame, keys: list[str], gap: str) -> DataFrame:
+    """Periods of the keys: pieces no further apart than ``gap`` become one."""
+    order = Window.partitionBy(*keys).orderBy("period_start", "period_end")
+    reached = F.max("period_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    silence = micros_between(reached, F.col("period_start"))
+    fresh = F.when(silence <= interval_micros(gap), 0).otherwise(1)
+    numbered = pieces.withColumn("__new", fresh).withColumn("__period", F.sum("__new").over(order))
+    return numbered.groupBy(*keys, "__period").agg(
+        F.min("period_start").alias("period_start"),
+        F.max("period_end").alias("period_end"),
+        F.sum("events").alias("events"),
+    ).drop("__period")
+
+
+def merged_periods(pieces: DataFrame, gap: str) -> DataFrame:
+    """Periods of each session, first merged inside each hour: a busy session then is
+    a few rows per hour when its hours meet."""
+    hourly = pieces.withColumn("__hour", F.date_trunc("hour", "period_start"))
+    return _merged(_merged(hourly, ["session_id", "__hour"], gap).drop("__hour"), ["session_id"], gap)
+
+
 def stream_activity_periods(
-    ev: DataFrame, path: str, checkpoint: str, gap: str = "30 seconds",
-    delay: str | None = "1 hour", mode: str = "append",
+    ev: DataFrame, path: str, checkpoint: str, gap: str = "30 seconds", every: str | None = None
 ) -> StreamingQuery:
-    """Periods of a session without a gap longer than ``gap``.
+    """Periods of a session without a gap longer than ``gap``, which is a second or more.
 
-    ``append`` emits a period once the watermark has passed it; ``complete``
-    (no ``delay``) keeps all periods in state and rewrites them.
+    Each micro-batch writes the periods of its own events and they merge at read
+    time, so no state is kept and no late event is refused. Events of one second
+    are counted first.
     """
-    spark = ev.sparkSession
-    # Joins the periods of a hot session inside each partition before the shuffle.
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    rows = ev.filter(F.col("session_id").isNotNull()).select("session_id", zoned("ts").alias("ts"))
-    if delay:
-        rows = rows.withWatermark("ts", delay)
-    periods = rows.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(
-        F.count(F.lit(1)).alias("events")
-    )
-    silent = F.expr(f"INTERVAL '{interval_micros(gap) // MICROS}' SECOND")
-    periods = periods.select(
-        "session_id",
-        unzoned(F.col("w.start")).alias("period_start"),
-        unzoned(F.col("w.end") - silent).alias("period_end"),
-        "events",
-    )
-    return start_parts(periods, path, checkpoint, mode=mode)
+    if interval_micros(gap) < MICROS:
+        raise ValueError("a gap is at least one second")
+
+    def periods(batch: DataFrame) -> DataFrame:
+        known = batch.filter(F.col("session_id").isNotNull() & F.col("ts").isNotNull())
+        seconds = known.groupBy("session_id", F.date_trunc("second", "ts").alias("__second")).agg(
+            F.min("ts").alias("period_start"),
+            F.max("ts").alias("period_end"),
+            F.count(F.lit(1)).alias("events"),
+        )
+        return merged_periods(seconds.drop("__second"), gap)
+
+    return start_parts(ev, path, checkpoint, prepare=periods, every=every)
 
 
-def read_activity_periods(spark: SparkSession, path: str, mode: str = "append") -> DataFrame:
-    parts = read_parts(spark, path)
-    if mode == "complete":
-        newest = parts.agg(F.max("batch_id").alias("batch_id"))
-        parts = parts.join(newest, "batch_id", "left_semi")
+def read_activity_periods(spark: SparkSession, path: str, gap: str = "30 seconds") -> DataFrame:
+    """All periods so far; the last of a session may still grow."""
+    periods = merged_periods(read_parts(spark, path).drop("batch_id"), gap)
     micros = micros_between(F.col("period_start"), F.col("period_end"))
-    return parts.select(
+    return periods.select(
         "session_id", "period_start", "period_end", "events",
         micros_to_seconds(micros).alias("active_seconds"),
     )
@@ -168,38 +192,59 @@ def read_activity_periods(spark: SparkSession, path: str, mode: str = "append")
 
 # Pairing and lateness -------------------------------------------------------
 
+CALL = ("call_key", "session_id", "agent_type")
+
+
+def _both_sides(rows: DataFrame, start: Column, end: Column, tokens: Column) -> DataFrame:
+    return rows.groupBy(*CALL).agg(
+        F.min(start).alias("start_time"), F.min(end).alias("end_time"), F.max(tokens).alias("total_tokens")
+    )
+
 
 def stream_pair_calls(
-    ev: DataFrame, path: str, checkpoint: str, within: str = "1 hour", delay: str = "10 minutes"
+    ev: DataFrame, path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Start and end events with the same ``call_key``, at most ``within`` apart.
-    A start without an end comes out once the watermark has passed it.
+    """What each micro-batch knows of a call: its start, its end, or both.
 
-    State is bounded by time: both sides are kept for ``within`` plus ``delay``.
+    ``call_key`` names one call; session and agent are the same on both sides. The
+    sides meet at read time, so no state is kept and a late side still finds its
+    other one.
     """
-    rows = ev.filter(F.col("call_key").isNotNull()).withColumn("ts", zoned("ts"))
-    starts = rows.filter(F.col("event_name") == PRE_TOOL).select(
-        "call_key", "session_id", F.col("subagent_type").alias("agent_type"),
-        F.col("ts").alias("start_ts"),
-    ).withWatermark("start_ts", delay)
-    ends = rows.filter(F.col("event_name") == POST_TOOL).select(
-        F.col("call_key").alias("end_key"), F.col("ts").alias("end_ts"), "total_tokens"
-    ).withWatermark("end_ts", delay)
-    span = F.expr(f"INTERVAL '{interval_micros(within) // MICROS}' SECOND")
-    near = F.col("end_ts").between(F.col("start_ts") - span, F.col("start_ts") + span)
-    joined = starts.join(ends, (F.col("call_key") == F.col("end_key")) & near, "left_outer")
-    start, end = unzoned(F.col("start_ts")), unzoned(F.col("end_ts"))
-    calls = joined.select(
-        "session_id", "agent_type", "call_key",
-        start.alias("start_time"), end.alias("end_time"),
-        micros_to_seconds(micros_between(start, end)).alias("duration_seconds"),
-        "total_tokens",
+
+    def sides(batch: DataFrame) -> DataFrame:
+        is_start, is_end = F.col("event_name") == PRE_TOOL, F.col("event_name") == POST_TOOL
+        rows = batch.filter(F.col("call_key").isNotNull() & (is_start | is_end))
+        return _both_sides(
+            rows.withColumn("agent_type", F.col("subagent_type")),
+            F.when(is_start, F.col("ts")), F.when(is_end, F.col("ts")), F.when(is_end, F.col("total_tokens")),
+        )
+
+    return start_parts(ev, path, checkpoint, prepare=sides, every=every)
+
+
+def read_pair_calls(spark: SparkSession, path: str, within: str | None = None) -> DataFrame:
+    """One row per call. Starts without an end and ends without a start stay, with
+    nulls for the other side; sides more than ``within`` apart are two such rows."""
+    calls = _both_sides(read_parts(spark, path), F.col("start_time"), F.col("end_time"), F.col("total_tokens"))
+    if within:
+        apart = F.abs(micros_between(F.col("start_time"), F.col("end_time"))) > interval_micros(within)
+        start, end = F.col("start_time"), F.col("end_time")
+        side = lambda s, e, t: F.struct(s.alias("start_time"), e.alias("end_time"), t.alias("total_tokens"))
+        none, tokens = F.lit(None), F.col("total_tokens")
+        rows = F.when(apart, F.array(
+            side(start, none.cast("timestamp_ntz"), none.cast(calls.schema["total_tokens"].dataType)),
+            side(none.cast("timestamp_ntz"), end, tokens),
+        )).otherwise(F.array(side(start, end, tokens)))
+        calls = calls.select(*CALL, F.inline(rows))
+    micros = micros_between(F.col("start_time"), F.col("end_time"))
+    return calls.select(
+        "session_id", "agent_type", "call_key", "start_time", "end_time",
+        micros_to_seconds(micros).alias("duration_seconds"), "total_tokens",
     )
-    return start_parts(calls, path, checkpoint)
 
 
 def stream_late_report(
-    ev: DataFrame, path: str, checkpoint: str, delay: str = "1 hour"
+    ev: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", every: str | None = None
 ) -> StreamingQuery:
     """Events that came in (``ingest_ts``) more than ``delay`` after they happened,
     counted per hour and micro-batch."""
@@ -212,7 +257,7 @@ def stream_late_report(
             F.count(F.lit(1)).alias("late_events"), F.max("__lag").alias("lag_us")
         )
 
-    return start_parts(ev, path, checkpoint, prepare=late)
+    return start_parts(ev, path, checkpoint, prepare=late, every=every)
 
 
 def read_late_report(spark: SparkSession, path: str) -> DataFrame:

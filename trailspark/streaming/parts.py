@@ -16,17 +16,22 @@ def start_parts(
     checkpoint: str,
     mode: str = "append",
     prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+    every: str | None = None,
 ) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
         prepare(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return start_each(stream, write, checkpoint, mode)
+    return start_each(stream, write, checkpoint, mode, every)
 
 
-def start_each(stream: DataFrame, write, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Handle all files present now, in as many micro-batches as the source asks for."""
+def start_each(
+    stream: DataFrame, write, checkpoint: str, mode: str = "append", every: str | None = None
+) -> StreamingQuery:
+    """Handle all files present now, in as many micro-batches as the source asks for, and
+    end; or look for files ``every`` so often until stopped."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     writer = stream.writeStream.foreachBatch(write).outputMode(mode)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
