@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from conftest import T0
-from trailspark.functions import ordered
+from trailspark.functions import ordered, quantiles
 from trailspark.functions.ordered import top_n, with_next, with_rank
 from trailspark.functions.quantiles import exact_percentiles
 
@@ -55,7 +55,6 @@ def test_next_and_rank(rows, width, monkeypatch):
 @pytest.mark.parametrize("crowded", [1, 7, 100])
 def test_crowded_cells_are_split(rows, crowded, monkeypatch):
     """Large inputs: cells beyond the limit are cut along time and event id."""
-    monkeypatch.setattr(ordered, "ONE_TASK_BYTES", 0)
     monkeypatch.setattr(ordered, "CROWDED", crowded)
     both = with_next(rows, ["key"], {"next_ts": "ts", "next_v": "v"})
     assert "__piece" in both._jdf.queryExecution().optimizedPlan().toString()
@@ -73,6 +72,19 @@ def test_crowded_cells_are_split(rows, crowded, monkeypatch):
     same(ranked, one_moment.withColumn("k", F.row_number().over(by_order()).cast("bigint")))
 
 
+def test_a_crowded_moment_among_fine_times_is_split(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CROWDED", 1000)
+    at = F.when(F.col("id") < 19_000, F.lit(300_000_000)).otherwise(F.col("id") * 31_013 % 600_000_000)
+    rows = spark.range(20_000).select(
+        F.lit("s").alias("key"), F.col("id").alias("event_id"), F.timestamp_micros(at).cast("timestamp_ntz").alias("ts")
+    )
+    cut, names = ordered.cut_into_cells(rows, ["key"], ("ts", "event_id"), F.lit(0))
+    largest = cut.groupBy("key", *names).count().agg(F.max("count")).first()[0]
+    assert largest <= 1000
+    ranked = with_rank(rows, ["key"], "k")
+    same(ranked, rows.withColumn("k", F.row_number().over(by_order()).cast("bigint")))
+
+
 @pytest.mark.parametrize("n", [1, 50, 1500])
 def test_top_n(rows, n):
     order = [F.col("ts").desc(), F.col("event_id").desc()]
@@ -96,3 +108,15 @@ def test_percentiles(spark):
         expected = np.percentile(values[row.g], [0, 50, 95, 100])
         assert [row.p0, row.p50, row.p95, row.p100] == pytest.approx(expected.tolist(), abs=1e-9)
     assert found.count() == len(values)
+
+
+def test_percentile_cells_stay_small(spark, monkeypatch):
+    """Distinct fractional values of one group spread over many cells."""
+    seen = []
+    plain = quantiles.in_cells
+    monkeypatch.setattr(quantiles, "in_cells", lambda df, keys, order, *, cell, **more: (
+        seen.append(df.groupBy(cell.alias("c")).count().agg(F.max("count")).first()[0]), plain(df, keys, order, cell=cell, **more)
+    )[1])
+    df = spark.range(100_000).select(F.lit("a").alias("g"), (F.col("id") / 97.0 + 200).alias("x"))
+    found = exact_percentiles(df, ["g"], "x", {"p50": 0.5}).first()
+    assert found.p50 == pytest.approx(200 + 99_999 / 97 / 2) and seen[0] < 100

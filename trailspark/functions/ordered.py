@@ -20,7 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from trailspark.functions.times import MICROS, as_ntz, micros_between, time_cell
+from trailspark.functions.times import micros_between, time_cell
 
 CELL = "__cell"
 CELL_WIDTH = "10 minutes"
@@ -32,8 +32,6 @@ SALTS = 64
 # Rows of one cell beyond which it is split further.
 CROWDED = 1_000_000
 SLICES = 64
-# Estimated input up to which no cell can be too large for one task.
-ONE_TASK_BYTES = 256 << 20
 
 WindowFn = Callable[[WindowSpec], Column]
 before = (Window.unboundedPreceding, -1)
@@ -67,60 +65,46 @@ def in_cells(
     return rows.join(cells, [*keys, *cell_columns], "left").drop(*cell_columns)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (file sizes at the leaves)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def cut_into_cells(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column
 ) -> tuple[DataFrame, list[str]]:
     """The rows with their cell, and the columns that name and order the cells.
 
-    Cells of more than CROWDED rows are cut along (first, last ordering column);
-    rows of other cells keep theirs. At most one cell per CROWDED rows can be
-    crowded, so the broadcast table stays a millionth of the input.
+    Cells of more than CROWDED rows are cut into SLICES time slices per CROWDED rows.
+    Each moment of such a cell that alone has more than CROWDED rows is taken out of
+    its slice (the rows before, at and after it are apart) and cut into equal slices
+    of the last ordering column. Rows of other cells keep theirs.
 
-    Whole-second times, as ingest writes them, are cut per second and then, to
-    tell ties apart, into equal slices of the last column. Finer times are cut
-    into SLICES time slices per CROWDED rows, and at a single moment by the last
-    column as well. Either way the number of pieces is bounded by the rows over
-    CROWDED, times a constant.
-
-    Finding crowded cells is one more aggregation over keys and order. An input
-    that one task could sort whole does not need it.
+    At most one cell or moment per CROWDED rows can be crowded, so the broadcast
+    table stays a millionth of the input. It takes one more aggregation over keys
+    and order; where no cell is crowded, the look for crowded moments ends at once.
     """
     rows = df.withColumn(CELL, cell)
-    if len(order) < 2 or estimated_bytes(rows) <= ONE_TASK_BYTES:
+    if len(order) < 2:
         return rows, [CELL]
     first, tie = F.col(order[0]), F.col(order[-1])
-    fraction = micros_between(as_ntz("1970-01-01 00:00:00"), first) % MICROS
-    crowded = (
-        rows.groupBy(*keys, CELL)
-        .agg(
-            F.count(F.lit(1)).alias("__rows"),
-            F.min(first).alias("__from"),
-            F.max(first).alias("__to"),
-            F.max(fraction).alias("__fraction"),
-            F.min(tie).alias("__low"),
-            F.max(tie).alias("__high"),
-        )
-        .filter(F.col("__rows") > CROWDED)
+    total = {"__rows": F.count(F.lit(1)), "__from": F.min(first), "__to": F.max(first)}
+    crowded = rows.groupBy(*keys, CELL).agg(*[agg.alias(name) for name, agg in total.items()])
+    crowded = crowded.filter(F.col("__rows") > CROWDED)
+    moments = rows.join(F.broadcast(crowded), [*keys, CELL]).groupBy(*keys, CELL, *total, first.alias("__at")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(tie).alias("__low"), F.max(tie).alias("__high")
     )
-    parts = F.ceil(F.col("__rows") / CROWDED)
-    length = micros_between(F.col("__from"), F.col("__to")) + 1
-    step = F.when(F.col("__fraction") == 0, MICROS).otherwise(F.ceil(length / (parts * SLICES)))
-    span = F.col("__high").cast("double") - F.col("__low") + 1
-    piece = F.floor((tie.cast("double") - F.col("__low")) / span * parts)
-    same_moment = (F.col("__fraction") == 0) | (step == 1)
-    split = rows.join(F.broadcast(crowded), [*keys, CELL], "left").withColumns(
-        {
-            "__slice": F.coalesce(F.floor(micros_between(F.col("__from"), first) / step), F.lit(0)),
-            "__piece": F.coalesce(F.when(same_moment, piece), F.lit(0)),
-        }
+    hot = F.when(F.col("__n") > CROWDED, F.struct("__at", "__n", "__low", "__high"))
+    cuts = moments.groupBy(*keys, CELL, *total).agg(F.collect_list(hot).alias("__hot"))
+
+    step = F.ceil((micros_between(F.col("__from"), F.col("__to")) + 1) / (F.ceil(F.col("__rows") / CROWDED) * SLICES))
+    own = F.get(F.filter("__hot", lambda h: h["__at"] == first), F.lit(0))
+    passed = F.size(F.filter("__hot", lambda h: h["__at"] < first))
+    share = (tie.cast("double") - own["__low"]) / (own["__high"].cast("double") - own["__low"] + 1)
+    names = {
+        "__slice": F.floor(micros_between(F.col("__from"), first) / step),
+        "__moment": F.when(F.size("__hot") > 0, 2 * passed + own.isNotNull().cast("int")),
+        "__piece": F.floor(share * F.ceil(own["__n"] / CROWDED)),
+    }
+    split = rows.join(F.broadcast(cuts), [*keys, CELL], "left").withColumns(
+        {name: F.coalesce(value, F.lit(0)) for name, value in names.items()}
     )
-    details = ("__rows", "__from", "__to", "__fraction", "__low", "__high")
-    return split.drop(*details), [CELL, "__slice", "__piece"]
+    return split.drop(*total, "__hot"), [CELL, *names]
 
 
 def with_next(

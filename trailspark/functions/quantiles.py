@@ -7,19 +7,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 from trailspark.functions.ordered import before, in_cells
 
 
+CELLS = 4096
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     points: Mapping[str, float],
-    cell_width: float = 1000.0,
 ) -> DataFrame:
     """``percentile_cont`` per key; ``points`` maps output column to fraction.
 
     The built-in ``percentile`` merges the value counts of a group in one task.
     Here equal values are counted first (map side combined), the distinct
-    values are numbered in slices of ``cell_width``, and only the two rows
-    around each wanted position are kept.
+    values are numbered in cells, and only the two rows around each wanted
+    position are kept. There are CELLS cells per doubling, so fractional values
+    spread out as well, and a key has some ten thousand cells at most.
     """
     keys = list(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
@@ -28,7 +31,7 @@ def exact_percentiles(
     everything = (Window.unboundedPreceding, Window.unboundedFollowing)
     placed = in_cells(
         counted, keys, [value],
-        cell=F.floor(F.col(value) / F.lit(cell_width)),
+        cell=F.floor(F.signum(value) * F.log2(F.abs(F.col(value)) + 1) * CELLS),
         local={"__upto": lambda w: F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))},
         summary={"__cell_n": F.sum("__c")},
         inherited={

@@ -208,6 +208,8 @@ def _start_cells(calls: DataFrame, gap: str) -> tuple[DataFrame, DataFrame, list
         F.min("start_time").alias("__first"),
         F.max("start_time").alias("__last"),
         F.count(F.lit(1)).alias("__n"),
+        F.sum("duration_micros").alias("__micros"),
+        F.count("duration_micros").alias("__timed"),
     )
     order = Window.partitionBy("session_id").orderBy(*cell)
     silence = micros_between(F.lag("__last").over(order), F.col("__first"))
@@ -231,7 +233,7 @@ def parallel_groups(ev: DataFrame, gap: str = "1 second", session_id: str | None
     calls, cells, cell = _start_cells(_agent_calls(ev, session_id), gap)
     inside = Window.partitionBy("session_id", *cell).orderBy("start_time", "call_id")
     placed = calls.withColumn("__rank", F.row_number().over(inside)).join(
-        cells.drop("__first", "__last", "__n", "__new"), ["session_id", *cell]
+        cells.drop("__first", "__last", "__n", "__micros", "__timed", "__new"), ["session_id", *cell]
     )
     placed = placed.withColumn("execution_order", F.col("__before") + F.col("__rank"))
     return placed.select(
@@ -243,7 +245,7 @@ def parallel_groups(ev: DataFrame, gap: str = "1 second", session_id: str | None
 
 
 def session_agent_summary(ev: DataFrame, gap: str = "1 second") -> DataFrame:
-    """Agent summary per session; parallel groups are counted on cells alone."""
+    """Agent summary per session; calls are summed, and parallel groups counted, on cells."""
     seen = of_session(ev, None).filter(
         (F.col("tool_name") == TASK) & F.col("subagent_type").isNotNull()
     ).groupBy("session_id", "subagent_type").agg(
@@ -254,17 +256,15 @@ def session_agent_summary(ev: DataFrame, gap: str = "1 second") -> DataFrame:
         F.count(F.lit(1)).alias("unique_agents"),
         F.sum(F.col("pre") + F.col("post")).alias("distinct_agent_events"),
     )
-    calls = _agent_calls(ev)
-    timing = calls.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("total_invocations"),
-        (micros_to_seconds(F.sum("duration_micros")) / F.count("duration_micros"))
+    calls = _agent_calls(ev).select("session_id", "start_time", "call_id", "duration_micros")
+    _, cells, _ = _start_cells(calls, gap)
+    timing = cells.groupBy("session_id").agg(
+        F.sum("__n").alias("total_invocations"),
+        (micros_to_seconds(F.sum("__micros")) / F.nullif(F.sum("__timed"), F.lit(0)))
         .alias("avg_duration_seconds"),
+        F.count_if((F.col("__new") == 1) & (F.col("group_size") > 1)).alias("parallel_groups"),
     )
-    _, cells, _ = _start_cells(calls.select("session_id", "start_time", "call_id"), gap)
-    groups = cells.groupBy("session_id").agg(
-        F.count_if((F.col("__new") == 1) & (F.col("group_size") > 1)).alias("parallel_groups")
-    )
-    joined = agents.join(timing, "session_id", "left").join(groups, "session_id", "left")
+    joined = agents.join(timing, "session_id", "left")
     return joined.select(
         "session_id", "unique_agents", "distinct_agent_events",
         F.coalesce("total_invocations", F.lit(0)).alias("total_invocations"),
