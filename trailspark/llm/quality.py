@@ -162,7 +162,9 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     names = ["lang", "source", *[c for c in (keep or []) if c not in ("lang", "source")]]
     rows = stored(with_stats(docs, names), "stats")
-    limits = thresholds(rows)
+    # Written first, the table of thresholds has a known size: while that is small Spark broadcasts
+    # it and the rows stay where they are; a larger one is joined by a shuffle with skew handling.
+    limits = stored(thresholds(rows).coalesce(4), "limits")
     joined = rows.join(limits, same(rows, limits, ["lang", "source"]), "left").select(rows["*"], limits["limits"].alias("__limits"))
     inside = F.lit(True)
     for name, value in measures().items():
