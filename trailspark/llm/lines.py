@@ -16,8 +16,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``chunks``: the text's lines as (text, lines, words) in order.
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def chunks_of(text: Column) -> Column:
+    """The text's lines in chunks of (text, lines, words), in order.
 
     Joined by newlines, the chunks are the text. A rolling hash over the hashes of a line
     and the one before decides whether the line ends a chunk, so the same passage is cut at
@@ -48,15 +52,14 @@ def with_chunks(docs: DataFrame) -> DataFrame:
 
         return F.transform(stops, piece)
 
-    chunks = let(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda lines: let(
+    return let(lines_of(text), lambda lines: let(
         F.transform(lines, fact_of), lambda facts: let(
             stops_of(facts), lambda stops: pieces(lines, facts, stops)
         )
     ))
-    return docs.withColumn("chunks", chunks)
 
 
-def repeated_chunks(chunked: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, places): the numbers of the chunks to remove from each document.
 
     ``mark`` is a hash of the text. Chunks count if they have a word and two lines, or a
@@ -64,9 +67,9 @@ def repeated_chunks(chunked: DataFrame) -> DataFrame:
     hash are shuffled, grouped by the bytes themselves, and the first by (doc_id, mark,
     number) stays. Counts are added up in each task before the shuffle.
     """
-    listed = chunked.select("doc_id", "mark", F.posexplode("chunks").alias("place", "chunk")).select(
-        "doc_id", "mark", "place", "chunk.*"
-    )
+    listed = docs.select(
+        "doc_id", "mark", F.posexplode(chunks_of(F.col("text"))).alias("place", "chunk")
+    ).select("doc_id", "mark", "place", "chunk.*")
     able = listed.filter((F.col("words") > 0) & ((F.col("lines") > 1) | (F.col("words") >= LONG)))
     hashed = able.withColumn("hash", F.xxhash64("text"))
     often = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
@@ -105,20 +108,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "doc_id", "text", F.xxhash64("text").alias("mark"),
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names) if c != "text"],
     )
-    parts = with_chunks(given)
-    gone = repeated_chunks(with_chunks(given.select("doc_id", "mark", "text")))
-    joined = parts.join(gone, same(parts, gone, ["doc_id", "mark"]), "left").select(parts["*"], "places")
-    total = lambda chunks: F.aggregate(chunks, F.lit(0), lambda n, c: n + c["lines"]).cast("long")
-    left = joined.withColumn("left", without(F.col("chunks"), F.col("places")))
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(
+    gone = repeated_chunks(given.select("doc_id", "mark", "text"))
+    joined = given.join(gone, same(given, gone, ["doc_id", "mark"]), "left").select(given["*"], "places")
+    # Whole texts meet the places; only those that lose a chunk are cut again.
+    places = F.col("places")
+    left = joined.withColumn("left", F.when(
+        places.isNotNull(), let(chunks_of(F.col("text")), lambda chunks: without(chunks, places))
+    ))
+    text = F.when(F.col("left").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform("left", lambda c: c["text"]), "\n")
     )
-    removed = F.when(F.col("places").isNull(), F.lit(0).cast("long")).otherwise(
-        total(F.col("chunks")) - total(F.col("left"))
-    )
+    n_lines = F.size(lines_of(F.col("text"))).cast("long")
+    n_left = F.aggregate("left", F.lit(0), lambda n, c: n + c["lines"]).cast("long")
     return left.select(
         *[text.alias(c) if c == "text" else F.col(f"k{i}").alias(c) for i, c in enumerate(names)],
-        total(F.col("chunks")).alias("n_lines"), removed.alias("n_removed"),
+        n_lines.alias("n_lines"), F.coalesce(n_lines - n_left, F.lit(0).cast("long")).alias("n_removed"),
     )
 
 
