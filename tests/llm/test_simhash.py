@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from trailspark.llm.components import component_roots
-from trailspark.llm.simhash import ball_links, fingerprint, keep_one, near_duplicates, op5_simhash
+from trailspark.llm.simhash import ball_links, colliding, fingerprint, keep_one, masks, near_duplicates, op5_simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,6 +70,31 @@ def test_links_reach_what_comparing_all_pairs_reaches(spark, distance):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_parts_of_a_crowded_bucket_have_all_collisions():
+    rng = random.Random(5)
+    values = np.unique(np.array([(0xABCDEF << 40) ^ (1 << rng.randrange(24)) ^ rng.getrandbits(12) for _ in range(5000)], np.uint64))
+    spent = np.bitwise_count((values ^ np.uint64(0b1011)) & np.uint64(0xFF))
+    high = [masks(20, r) for r in range(3)]
+    whole = set(zip(*map(np.ndarray.tolist, colliding(values, spent, 8, high, 0, 1))))
+    parts = [set(zip(*map(np.ndarray.tolist, colliding(values, spent, 8, high, p, 7)))) for p in range(7)]
+    roots = lambda pairs: plain_roots(len(values), pairs)
+    assert len(whole) > 1000 and all(parts)
+    assert roots(whole) == roots(set().union(*parts))
+
+
+def plain_roots(n, pairs):
+    root = list(range(n))
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            low = min(root[a], root[b])
+            if root[a] != low or root[b] != low:
+                root[a] = root[b] = low
+                moved = True
+    return root
+
+
 def test_long_chain_and_loops_in_components(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     edges = edges.union(spark.createDataFrame([(1000, 1000), (1002, 1001)], "a long, b long"))

@@ -15,6 +15,8 @@ from trailspark.llm.shared import load, stored
 BITS = 64
 SEED = 42
 SHINGLE_BLOCK = 65_536  # Hashes whose bits are counted at once.
+VARIANTS = 1 << 22  # Variants that a task holds at once.
+OWNERS = 4096  # Values whose variants are made at once.
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -75,6 +77,30 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def colliding(values: np.ndarray, spent: np.ndarray, shift: int, high_masks: list[np.ndarray], part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices of ``values`` that are neighbours at a variant of their bits above
+    ``shift``; only variants that a hash puts into ``part`` of ``parts``."""
+    variants, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+    radius = len(high_masks) - 1
+    for r, flips in enumerate(high_masks):
+        own = np.flatnonzero(spent == radius - r).astype(np.int32)
+        for at in range(0, len(own), OWNERS):
+            block = own[at : at + OWNERS]
+            variant = ((values[block] >> np.uint64(shift))[:, None] ^ flips[None, :]).ravel()
+            owner = np.repeat(block, len(flips))
+            if parts > 1:
+                mixed = (variant * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                here = mixed % np.uint64(parts) == part
+                variant, owner = variant[here], owner[here]
+            variants.append(variant)
+            owners.append(owner)
+    variant, owner = np.concatenate(variants), np.concatenate(owners)
+    order = np.argsort(variant)
+    variant, owner = variant[order], owner[order]
+    alike = np.flatnonzero(variant[1:] == variant[:-1])
+    return owner[alike], owner[alike + 1]
+
+
 def ball_links(prints: DataFrame, distance: int, bucket_bits: int) -> DataFrame:
     """Links (a, b) that connect all distinct values of ``fp`` with at most ``distance``
     differing bits; not every pair, but a path of true pairs for each.
@@ -84,6 +110,8 @@ def ball_links(prints: DataFrame, distance: int, bucket_bits: int) -> DataFrame:
     each bucket in which it has variants, and its variants there are written out in the
     task of the bucket. Variants alike bring values together; each collision is verified
     by its bits. Per variant only neighbours are linked, and a bucket returns a forest.
+    A crowded bucket writes its variants out in parts, so its memory grows with its values
+    alone.
     """
     radius = (distance + 1) // 2
     low = (1 << bucket_bits) - 1
@@ -96,19 +124,14 @@ def ball_links(prints: DataFrame, distance: int, bucket_bits: int) -> DataFrame:
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         values = np.sort(rows["fp"].to_numpy().view(np.uint64))
         spent = np.bitwise_count((values ^ np.uint64(key[0])) & np.uint64(low))
-        variants, owners = [], []
-        for r in range(radius + 1):
-            own = np.flatnonzero(spent == radius - r)
-            variants.append(((values[own] >> np.uint64(bucket_bits))[:, None] ^ high_masks[r][None, :]).ravel())
-            owners.append(np.repeat(own.astype(np.int32), len(high_masks[r])))
-        variant, owner = np.concatenate(variants), np.concatenate(owners)
-        order = np.argsort(variant)
-        variant, owner = variant[order], owner[order]
-        alike = np.flatnonzero(variant[1:] == variant[:-1])
-        pairs = np.unique(np.stack([owner[alike], owner[alike + 1]], 1), axis=0) if len(alike) else np.empty((0, 2), np.int32)
-        a, b = pairs[:, 0], pairs[:, 1]
-        true = np.bitwise_count(values[a] ^ values[b]) <= distance
-        root = local_roots(len(values), a[true], b[true])
+        total = sum(int((spent == radius - r).sum()) * len(m) for r, m in enumerate(high_masks))
+        parts = -(-total // VARIANTS)
+        root = np.arange(len(values))
+        for part in range(parts):
+            a, b = colliding(values, spent, bucket_bits, high_masks, part, parts)
+            true = np.bitwise_count(values[a] ^ values[b]) <= distance
+            # What the parts before have tied together stays so.
+            root = local_roots(len(values), np.append(a[true], np.arange(len(root))), np.append(b[true], root))
         moved = np.flatnonzero(root != np.arange(len(values)))
         return pd.DataFrame({"a": values[moved].view(np.int64), "b": values[root[moved]].view(np.int64)})
 
