@@ -61,3 +61,5 @@ def test_combinations_judge_other_pages(spark):
     verdicts = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(df).collect()}
     assert verdicts[500] == (None, "block")
     assert verdicts[501] == verdicts[502] == (None, "allow")
+    from_others = urls.judge_urls(df.selectExpr("*", "'own' AS tokens"))
+    assert {r.tokens for r in from_others.collect()} == {"own"}

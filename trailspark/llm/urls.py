@@ -110,9 +110,9 @@ def match_rules(pages: DataFrame, rules: DataFrame, fallback: str) -> Column:
         x for token, rs in sorted(by_token.items()) for x in (F.lit(token), F.array(*map(entry, rs)))
     ])
     hits = F.flatten(F.filter(
-        F.transform("tokens", lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()
+        F.transform("__tokens", lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()
     ))
-    fits = F.filter(hits, lambda r: F.size(F.array_except(r["items"], F.col("tokens"))) == 0)
+    fits = F.filter(hits, lambda r: F.size(F.array_except(r["items"], F.col("__tokens"))) == 0)
     best = F.array_max(fits)
     return F.coalesce(best["verdict"], F.lit(fallback))
 
@@ -132,12 +132,12 @@ def judge_urls(
     host, path, rest = parts(F.col("url"))
     named = pages.withColumns({"host": host, "path": path, "__rest": rest})
     ruled = named.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = ruled.withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("__rest")))
-    labelled = ruled.filter(F.col("__rule").isNotNull()).select("tokens", F.col("__rule.verdict").alias("verdict"))
+    ruled = ruled.withColumn("__tokens", tokens(F.col("host"), F.col("path"), F.col("__rest")))
+    labelled = ruled.filter(F.col("__rule").isNotNull()).select(F.col("__tokens").alias("tokens"), F.col("__rule.verdict").alias("verdict"))
     mined = mine_rules(labelled, min_support, min_confidence, max_items)
     verdict = F.coalesce(F.col("__rule.verdict"), match_rules(ruled, mined, fallback))
     judged = ruled.withColumns({"verdict": verdict, "rule": F.col("__rule.rule")})
-    return judged.drop("__rule", "__rest", "tokens")
+    return judged.drop("__rule", "__rest", "__tokens")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
