@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trailspark.llm.embedding import (
-    CLASSES, PERIOD, SAMPLES, WALKS, Embedding, edited, embed, likeness, mixed, op1_fingerprints,
+    BAND, CLASSES, PERIOD, SAMPLES, WALKS, Embedding, edited, embed, likeness, mixed, nearest_known, op1_fingerprints,
 )
 
 SF = "/root/testdata/sf0.01"
@@ -98,3 +98,35 @@ def test_order_with_nulls_ties_repeats_and_few_rows(spark, documents):
     one = embed(documents((3, "abcdef")), 4).collect()
     assert [r.edited_sha256 for r in one] == [hashlib.sha256(b"abcabc").hexdigest()]
     assert embed(docs.limit(0), 4).count() == 0
+
+
+def test_all_pairs_of_a_crowded_band_are_verified(spark):
+    rng = random.Random(8)
+    size = WALKS * SAMPLES
+    template = bytes(rng.randrange(256) for _ in range(size))
+    fresh = lambda n: bytes(rng.randrange(256) for _ in range(n))
+
+    def form():
+        """Five bands of eight in each walk are those of the template: 0.63 alike."""
+        kept = {8 * w + i for w in range(WALKS) for i in rng.sample(range(8), 5)}
+        return [template[i * BAND : (i + 1) * BAND] if i in kept else fresh(BAND) for i in range(size // BAND)], kept
+
+    rows = []
+    for i in range(150):
+        base, kept = form()
+        near = [b if k in kept else b[:-1] + fresh(1) for k, b in enumerate(base)]
+        rows += [(2 * i, b"".join(base)), (None if i % 9 == 0 else 2 * i + 1, b"".join(near))]
+    rng.shuffle(rows)
+    bands = lambda p: {(i, p[i : i + BAND]) for i in range(0, size, BAND)}
+    keys = [bands(p) for _, p in rows]
+    plain, led = {}, 0
+    for (own, p), mine in zip(rows, keys):
+        near = [i for (i, q), theirs in zip(rows, keys) if i is not None and mine & theirs and likeness(p, q) >= 0.8]
+        plain[p] = min(near, default=own)
+        leads = {min((i for (i, _), theirs in zip(rows, keys) if i is not None and key in theirs), default=own) for key in mine}
+        led += plain[p] not in leads
+    assert led > 100  # the least doc_id of a band alone would miss these
+    prints = spark.createDataFrame(rows, "doc_id long, fingerprint binary").withColumn("mark", F.xxhash64("fingerprint"))
+    for block in (7, 1 << 14):
+        got = prints.join(nearest_known(prints.select("doc_id", "mark", "fingerprint"), block=block), "mark")
+        assert {bytes(r.fingerprint): r.near_id for r in got.collect()} == plain

@@ -14,9 +14,10 @@ WALKS = 2
 SAMPLES = 64  # Of each walk.
 CLASSES = 256  # Characters are told apart by this many classes in the walks.
 PERIOD = 1 << 14  # Steps after which the shared random bits repeat.
-BLOCK = 1 << 20  # Characters that are walked at once.
+BLOCK = 1 << 19  # Characters that are walked at once.
 BAND = 8  # Samples in a band.
-TEXTS = 2000  # Rows whose texts are walked together.
+BLOCK_ROWS = 1 << 14  # Fingerprints of a band that are compared in one task.
+TEXTS = 1000  # Rows whose texts are walked together.
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
@@ -211,41 +212,103 @@ def fingerprint_pairs(pairs: DataFrame) -> DataFrame:
     ))
 
 
-def nearest_known(prints: DataFrame, least: float = 0.8) -> DataFrame:
+def _first_alike(rows: np.ndarray, below: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """For each row, the first of ``others`` that is alike among as many as ``below`` says, or -1."""
+    out = np.full(len(rows), -1, np.int64)
+    for i, most in enumerate(below.tolist()):
+        start, size = 0, 64
+        while start < most:
+            part = others[start : min(start + size, most)]
+            equal = np.bitwise_count(np.packbits(part == rows[i], axis=1).view(np.uint64))
+            hits = np.flatnonzero((equal >= least * SAMPLES).any(axis=1))
+            if len(hits):
+                out[i] = start + hits[0]
+                break
+            start, size = start + size, min(4 * size, 4096)
+    return out
+
+
+def nearest_known(prints: DataFrame, least: float = 0.8, block: int = BLOCK_ROWS) -> DataFrame:
     """(mark, near_id): the least doc_id among the verified partners of a fingerprint, its own
     included; ``mark`` is a hash of the fingerprint.
 
-    Equal fingerprints are one. Each is cut into bands of BAND samples; of the fingerprints
-    that share a band the one with the least doc_id is the candidate of all, so a crowded
-    band costs one candidate each, and likeness of the whole fingerprints decides. Bands
-    are shuffled as pairs of numbers.
+    Equal fingerprints are one. Each is cut into bands of BAND samples, and likeness of the
+    whole fingerprints decides for all pairs that share a band, however many do. A band of
+    more than ``block`` rows is dealt into blocks, and each pair of blocks is a cell of its
+    own, so a task holds two blocks at most. In a cell rows go by doc_id and look for the
+    first before them that is alike. Fingerprints are shuffled only for bands that two share.
     """
     own = prints.groupBy("mark", "fingerprint").agg(F.min("doc_id").alias("own_id"))
     bands = F.array(*[
         F.xxhash64(F.lit(i), F.substring("fingerprint", i * BAND + 1, BAND)) for i in range(WALKS * SAMPLES // BAND)
     ])
-    cut = own.select("mark", "own_id", F.explode(bands).alias("key"))
-    leads = cut.groupBy("key").agg(F.min_by("mark", "own_id").alias("lead"), F.count(F.lit(1)).alias("n")).filter(
-        (F.col("n") > 1) & F.col("lead").isNotNull()
+    cut = own.select("mark", F.explode(bands).alias("key"))
+    shared = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = cut.join(shared, "key")
+    blocks = F.ceil(F.col("n") / block)
+    mine = F.pmod(F.xxhash64("mark", "fingerprint"), F.col("blocks"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(
+        F.least(k, F.col("mine")).alias("low"), F.greatest(k, F.col("mine")).alias("high")
+    ))
+    placed = (
+        own.join(met, "mark").withColumn("blocks", blocks).withColumn("mine", mine).withColumn("cell", F.explode(cells))
+        .select("key", "cell.low", "cell.high", (F.col("mine") > F.col("cell.low")).alias("side"), "own_id", "mark", "fingerprint")
+        .repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high", F.col("own_id").asc_nulls_last(), "mark", "fingerprint")
     )
-    met = cut.select("mark", "key").join(leads.select("key", "lead"), "key").filter(
-        F.col("lead") != F.col("mark")
-    ).select("mark", "lead").distinct()
-    theirs = own.select(F.col("mark").alias("lead"), F.col("fingerprint").alias("other"), F.col("own_id").alias("lead_id"))
-    pairs = met.join(own.select("mark", "fingerprint"), "mark").join(theirs, "lead").select("mark", "fingerprint", "other", "lead_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            yield batch.filter(pa.array([likeness(a, b) >= least for a, b in both], pa.bool_()))
-
-    true = pairs.mapInArrow(verify, pairs.schema).groupBy("mark").agg(F.min("lead_id").alias("lead_id"))
+        names = ["mark", "lead_id"]
+
+        def found(run: pa.Table) -> list[tuple[pa.Array, pa.Array]]:
+            rows = np.frombuffer(b"".join(run["fingerprint"].to_pylist()), np.uint8).reshape(-1, WALKS * SAMPLES)
+            ids, marks = run["own_id"].combine_chunks(), run["mark"].combine_chunks()
+            known = len(ids) - ids.null_count
+            parts = [(np.arange(len(rows)),) * 2]
+            if run["low"][0] != run["high"][0]:
+                side = run["side"].to_numpy()
+                one, other = np.flatnonzero(~side), np.flatnonzero(side)
+                parts = [(one, other), (other, one)]
+            out = []
+            for at, against in parts:
+                below = np.searchsorted(against, np.minimum(at, known))
+                hit = _first_alike(rows[at], below, rows[against], least)
+                yes = hit >= 0
+                if yes.any():
+                    out.append((marks.take(pa.array(at[yes])), ids.take(pa.array(against[hit[yes]]))))
+            return out
+
+        def runs() -> Iterator[pa.Table]:
+            """Rows of one cell at a time; a cell may go over several batches."""
+            held: list[pa.RecordBatch] = []
+            last = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+                starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+                for a, b in zip(starts, starts[1:]):
+                    cell = keys[a].tolist()
+                    if held and cell != last:
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    last = cell
+                    held.append(batch.slice(a, b - a))
+            if held:
+                yield pa.Table.from_batches(held)
+
+        for run in runs():
+            for marks, ids in found(run):
+                yield pa.RecordBatch.from_arrays([marks, ids], names)
+
+    kind = prints.schema["doc_id"].dataType.simpleString()
+    true = placed.mapInArrow(verify, f"mark long, lead_id {kind}").groupBy("mark").agg(F.min("lead_id").alias("lead_id"))
     return own.join(true, "mark", "left").groupBy("mark").agg(F.min(F.least("own_id", "lead_id")).alias("near_id"))
 
 
 def embed(docs: DataFrame, cells: int | None = None) -> DataFrame:
     """One row per row of ``docs``: NAMES, and ``near_id``, the least doc_id of a text that is
-    alike by its fingerprint (``nearest_known``).
+    alike by its fingerprint and shares a band with it (``nearest_known``).
 
     Null texts are empty; an empty text has a fingerprint of zeros and is like empty texts
     only. Null doc_ids and repeated rows are rows like others. A single row is its own
