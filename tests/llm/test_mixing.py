@@ -93,3 +93,9 @@ def test_rows_come_out_as_often_as_they_are_taken(spark, documents):
     for s, target in plain_targets(sizes).items():
         assert abs(taken[s] - target) <= 12
     assert mixed(docs.limit(0)).count() == 0
+
+
+def test_rows_that_differ_in_which_column_is_null_stay_apart(spark, documents):
+    rows = [(1, "a b", None, "en"), (1, "a b", "en", None)]
+    out = mixed(documents(*rows), weights=(1,)).collect()
+    assert {(r.lang, r.source) for r in out} == {(None, "en"), ("en", None)}

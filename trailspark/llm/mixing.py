@@ -165,7 +165,9 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     mix takes of all. The texts are shuffled once.
     """
     names = docs.columns
-    both = [F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in names])]
+    # A hash skips nulls, so which columns are null goes in too.
+    told = [x for c in names for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    both = [F.xxhash64(*told), F.xxhash64(F.lit(1), *told)]
     given = docs.select(
         both[0].alias("mark"), both[1].alias("doc_id"), "source", words_of("text").alias("size")
     )
