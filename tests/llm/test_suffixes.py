@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from trailspark.llm import suffixes
 from trailspark.llm.suffixes import LENGTH, OWNER, anchors, front_coded, merged, op4_suffixes, read_run, remove_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +104,11 @@ def test_nulls_repeats_and_no_rows(spark, documents):
     expected = sorted((str(i), *e) for (i, _), e in zip(rows, plain([(t or "").encode() for _, t in rows])))
     assert result(remove_repeats(docs)) == expected
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_a_collision_of_core_hashes_removes_nothing(spark, documents, monkeypatch):
+    own = suffixes.anchor_rows
+    monkeypatch.setattr(suffixes, "anchor_rows", lambda docs: own(docs).withColumn("core", F.lit(1).cast(own(docs).schema["core"].dataType)))
+    rng = random.Random(11)
+    docs = documents(*[(i, "".join(rng.choice("abcdefghij") for _ in range(600))) for i in range(3)])
+    assert [r.n_removed for r in suffixes.remove_repeats(docs).collect()] == [0] * 3

@@ -382,8 +382,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     not read.
 
     Anchors whose surroundings are unique leave first, by counting hashes. Of the others,
-    equal contexts are one class. A class that stands alone among those with its core is
-    repeated as a whole. All other classes are sorted in each task, exchanged as
+    equal contexts are one class. A class of several that stands alone among those with its
+    core is repeated as a whole. All other classes are sorted in each task, exchanged as
     front-coded runs and merged with the lengths they share: whole contexts from their core
     on, or, where a core has very many, their strings one by one.
     """
@@ -393,7 +393,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     often = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
     places = rows.join(often, "core", "left_semi").groupBy("mark").agg(F.collect_set("place").alias("places"))
     found = stored(contexts(given.select("mark", "text").join(places, "mark")), "contexts")
-    mixed_cores = found.groupBy("core").agg(F.min("context").alias("a"), F.max("context").alias("b")).filter("a != b").select("core")
+    # A core that stands once here came by a collision of the first hash: nothing is known to repeat it.
+    mixed_cores = found.groupBy("core").agg(
+        F.min("context").alias("a"), F.max("context").alias("b"), F.count(F.lit(1)).alias("n")
+    ).filter("a != b OR n = 1").select("core")
     classes = stored(
         found.join(mixed_cores, "core", "left_semi").groupBy("core", "context").agg(
             F.count(F.lit(1)).alias("n"), F.min("bytes").alias("bytes"),
