@@ -1,19 +1,16 @@
 import os
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 
+from fixtures import T0  # noqa: E402
 from trailspark.schema import SILVER_COLUMNS, SILVER_SCHEMA  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MIDDLE = "/root/testdata/sf0.01"
-T0 = datetime(2025, 9, 1, 10, 0, 0)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -46,13 +43,3 @@ def events(spark):
         return spark.createDataFrame(full, SILVER_SCHEMA)
 
     return build
-
-
-def at(seconds):
-    return T0 + timedelta(seconds=seconds)
-
-
-def task(side, agent="a", **more):
-    return {
-        "event_name": f"{side}ToolUse", "tool_name": "Task", "subagent_type": agent, **more,
-    }

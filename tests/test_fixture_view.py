@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MIDDLE, SF_SMALL
+from fixtures import SF_MIDDLE, SF_SMALL
 from trailspark.operators import activity, agents, sessions, workspaces
 from trailspark.plans import parameters as P
 from trailspark.plans.fixture_view import load_silver, load_typed

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0, at, task
+from fixtures import T0, at, task
 from trailspark.operators import activity, agents, sessions, tools, workspaces
 
 

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import duck_rows, spark_rows
-from conftest import SF_SMALL
+from fixtures import SF_SMALL
 
 QUERIES = contract.queries()
 ORACLE = contract.oracle_sql()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from conftest import T0
+from fixtures import T0
 from trailspark.functions import ordered, quantiles
 from trailspark.functions.ordered import top_n, with_next, with_rank
 from trailspark.functions.quantiles import exact_percentiles

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
-from conftest import SF_SMALL
+from fixtures import SF_SMALL
 from trailspark.plans.registry import BATCH
 
 QUERIES = contract.queries()

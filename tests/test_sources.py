@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, T0, at, task
+from fixtures import SF_SMALL, T0, at, task
 from trailspark.operators.agents import window_stats
 from trailspark.operators.sessions import events_between, session_rollup
 from trailspark.plans.fixture_view import load_silver

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, at
+from fixtures import SF_SMALL, at
 from trailspark.plans.fixture_view import load_silver, raw_from_silver
 from trailspark.schema import SILVER_COLUMNS, SILVER_SCHEMA
 from trailspark.session import scratch_path
