@@ -48,10 +48,11 @@ def test_fingerprints():
         assert fingerprint(text, 4) == signed(plain_print(text, 4) if len(text or "") < 1000 else plain_print("long long long long", 4))
 
 
-@pytest.mark.parametrize("distance", [1, 2, 3, 4])
-def test_links_reach_what_comparing_all_pairs_reaches(spark, distance):
-    rng = random.Random(distance)
-    prints = [rng.getrandbits(64) for _ in range(60)]
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("distance", [1, 2, 3, 4, 5])
+def test_links_reach_what_comparing_all_pairs_reaches(spark, distance, seed):
+    rng = random.Random(distance + 100 * (seed - 1))
+    prints = [rng.getrandbits(64) for _ in range(60 if distance < 4 else 15)]
     for value in list(prints):  # chains of small steps
         for _ in range(4):
             for bit in rng.sample(range(64), rng.randint(1, 6)):

@@ -78,9 +78,10 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def colliding(values: np.ndarray, spent: np.ndarray, shift: int, high_masks: list[np.ndarray], part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indices of ``values`` that are neighbours at a variant of their bits above
-    ``shift``; only variants that a hash puts into ``part`` of ``parts``."""
-    variants, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+    """Pairs of indices of ``values`` that share a variant of their bits above ``shift``: each
+    owner with the one that flips least for it. Only variants that a hash puts into ``part``
+    of ``parts``."""
+    variants, owners, flipped = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.uint8)]
     radius = len(high_masks) - 1
     for r, flips in enumerate(high_masks):
         own = np.flatnonzero(spent == radius - r).astype(np.int32)
@@ -88,28 +89,42 @@ def colliding(values: np.ndarray, spent: np.ndarray, shift: int, high_masks: lis
             block = own[at : at + OWNERS]
             variant = ((values[block] >> np.uint64(shift))[:, None] ^ flips[None, :]).ravel()
             owner = np.repeat(block, len(flips))
+            cost = np.tile(np.bitwise_count(flips) + np.uint8(radius - r), len(block))
             if parts > 1:
                 mixed = (variant * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
                 here = mixed % np.uint64(parts) == part
-                variant, owner = variant[here], owner[here]
+                variant, owner, cost = variant[here], owner[here], cost[here]
             variants.append(variant)
             owners.append(owner)
-    variant, owner = np.concatenate(variants), np.concatenate(owners)
+            flipped.append(cost)
+    variant = np.concatenate(variants)
     order = np.argsort(variant)
-    variant, owner = variant[order], owner[order]
-    alike = np.flatnonzero(variant[1:] == variant[:-1])
-    return owner[alike], owner[alike + 1]
+    variant = variant[order]
+    alike = variant[1:] == variant[:-1]
+    shared = np.append(alike, False) | np.append(False, alike)
+    variant, order = variant[shared], order[shared]
+    if not len(order):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    owner = np.concatenate(owners)[order].astype(np.int64)
+    cost = np.concatenate(flipped)[order].astype(np.int64)
+    first = np.append(True, variant[1:] != variant[:-1])
+    least = np.minimum.reduceat(cost << 32 | owner, np.flatnonzero(first)) & 0xFFFFFFFF
+    lead = least[np.cumsum(first) - 1]
+    other = lead != owner
+    return lead[other], owner[other]
 
 
 def ball_links(prints: DataFrame, distance: int, bucket_bits: int) -> DataFrame:
     """Links (a, b) that connect all distinct values of ``fp`` with at most ``distance``
     differing bits; not every pair, but a path of true pairs for each.
 
-    Two such values have a variant in common that differs from each by half the distance
-    at most. Variants are shuffled by their low ``bucket_bits`` bits: a value goes once to
+    Two such values have a variant in common that differs from one by half the distance
+    rounded down at most, from the other by half rounded up. The owner that flips least for a
+    variant is therefore within the distance of both, and every owner is tied to that one.
+    Variants are shuffled by their low ``bucket_bits`` bits: a value goes once to
     each bucket in which it has variants, and its variants there are written out in the
     task of the bucket. Variants alike bring values together; each collision is verified
-    by its bits. Per variant only neighbours are linked, and a bucket returns a forest.
+    by its bits. A bucket returns a forest.
     A crowded bucket writes its variants out in parts, so its memory grows with its values
     alone.
     """
