@@ -156,8 +156,8 @@ def first_of(slot: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int) -> np
 class Best:
     """The first n rows of each slot found so far, and the score from which a row can enter."""
 
-    def __init__(self, n: int, least: np.ndarray):
-        self.n, self.floor = n, least.copy()
+    def __init__(self, n: int, least: np.ndarray, patience: int):
+        self.n, self.floor, self.patience = n, least.copy(), patience
         self.kept = [np.empty(0, np.int64)] * 4  # Slot, score, id, row.
         self.waiting: list[list[np.ndarray]] = []
         self.count = 0
@@ -165,7 +165,7 @@ class Best:
     def add(self, *found: np.ndarray) -> None:
         self.waiting.append(found)
         self.count += len(found[0])
-        if self.count > max(PENDING, len(self.kept[0])):
+        if self.count > max(self.patience, len(self.kept[0])):
             self.settle()
 
     def settle(self) -> list[np.ndarray]:
@@ -188,7 +188,7 @@ def search(rows: DataFrame, shared: Broadcast, n: int, alike: bool) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, owner, least, most = shared.value
-        best = Best(n, least)
+        best = Best(n, least, PENDING)
         slots = np.argsort(owner, kind="stable")
         starts = np.searchsorted(owner[slots], np.arange(len(anchors) + 1))
         most_of = np.full(len(anchors), np.iinfo(np.int64).min)
