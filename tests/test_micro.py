@@ -1,10 +1,14 @@
 """Hand-written rows for default thresholds, ties, orphans, nulls and rounding."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from fixtures import T0, at, task
+from trailspark.functions import ordered
 from trailspark.operators import activity, agents, sessions, tools, workspaces
+from trailspark.schema import SILVER_SCHEMA
 
 
 def rows(df, *columns):
@@ -271,3 +275,41 @@ def test_summary_counts(events):
     assert tuple(agents.summary(ev).first()) == (3, 1, 1)
     assert tuple(agents.summary(ev, approximate=True).first()) == (3, 1, 1)
     assert tuple(agents.summary(ev.limit(0)).first()) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("rate, step", [(1, 1), (1, 2), (2, 3)])
+def test_islands_across_pieces(spark, events, monkeypatch, rate, step):
+    """Cut sessions have the groups of uncut ones: plain windows see them whole."""
+    rng = random.Random(rate * 10 + step)
+    seconds, rows = 0, []
+    for _ in range(150):
+        seconds += rng.choice([0, 0.5, 1, 1, 3])
+        rows.append(task(rng.choice(["Pre", "Pre", "Post"]), rng.choice("ab"), at=seconds, session_id=rng.choice(["s", "s", "t"])))
+    ev = events(*rows)
+    groups, summary = agents.parallel_groups(ev).collect(), agents.session_agent_summary(ev).collect()
+    monkeypatch.setattr(ordered, "RATE", rate)
+    monkeypatch.setattr(ordered, "STEP", step)
+    assert sorted(agents.parallel_groups(ev).collect(), key=str) == sorted(groups, key=str)
+    assert sorted(agents.session_agent_summary(ev).collect(), key=str) == sorted(summary, key=str)
+    assert {r.group_size for r in groups} > {1, 2}
+
+
+def test_a_session_of_a_million_calls_spreads(spark, tmp_path, monkeypatch):
+    """One start a second at a gap of one second: one island over all pieces."""
+    monkeypatch.setattr(ordered, "RATE", 1 << 10)
+    n, path = 1_000_000, str(tmp_path / "events")
+    made = {
+        "event_id": F.col("id"), "ts": F.timestamp_seconds("id").cast("timestamp_ntz"), "session_id": F.lit("s"),
+        "event_name": F.lit("PreToolUse"), "tool_name": F.lit("Task"), "subagent_type": F.lit("a"),
+    }
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in SILVER_SCHEMA if f.name not in made]
+    spark.range(n).select(*[c.alias(k) for k, c in made.items()], *empty).write.parquet(path)
+    ev = spark.read.parquet(path)
+    starts = agents._numbered_starts(ev, "1 second")
+    assert starts.groupBy("session_id", ordered.PIECE).count().agg(F.max("count")).first()[0] < 80_000
+    groups = agents.parallel_groups(ev).agg(
+        F.min("group_size"), F.max("group_size"), F.max("group_id"), F.max("execution_order"),
+        F.count_if(F.col("position_in_group") != F.col("execution_order")),
+    )
+    assert groups.first() == (n, n, 1, n, 0)
+    assert agents.session_agent_summary(ev).first().parallel_groups == 1

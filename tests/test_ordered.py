@@ -37,52 +37,70 @@ def by_order():
     return Window.partitionBy("key").orderBy("ts", "event_id")
 
 
-@pytest.mark.parametrize("width", ["1 second", "10 minutes", "10 days"])
-def test_next_and_rank(rows, width, monkeypatch):
-    monkeypatch.setattr(ordered, "CELL_WIDTH", width)
-    both = with_next(rows, ["key"], {"next_ts": "ts", "next_v": "v"})
-    same(both, rows.withColumns({"next_ts": F.lead("ts").over(by_order()), "next_v": F.lead("v").over(by_order())}))
-    only = with_next(rows, ["key"], {"next_ts": "ts"})
-    same(only, rows.withColumn("next_ts", F.lead("ts").over(by_order())))
-    ranked = with_rank(rows, ["key"], "k", first="start")
-    plain = rows.withColumns(
-        {"k": F.row_number().over(by_order()).cast("bigint"),
-         "start": F.min("ts").over(Window.partitionBy("key"))}
-    )
-    same(ranked, plain)
-
-
-@pytest.mark.parametrize("crowded", [1, 7, 100])
-def test_crowded_cells_are_split(rows, crowded, monkeypatch):
-    """Large inputs: cells beyond the limit are cut along time and event id."""
-    monkeypatch.setattr(ordered, "CROWDED", crowded)
-    both = with_next(rows, ["key"], {"next_ts": "ts", "next_v": "v"})
-    assert "__piece" in both._jdf.queryExecution().optimizedPlan().toString()
-    same(both, rows.withColumns({"next_ts": F.lead("ts").over(by_order()), "next_v": F.lead("v").over(by_order())}))
-    ranked = with_rank(rows, ["key"], "k")
-    same(ranked, rows.withColumn("k", F.row_number().over(by_order()).cast("bigint")))
-    fine = rows.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 97 / 1000))
-    same(with_next(fine, ["key"], {"n": "ts"}), fine.withColumn("n", F.lead("ts").over(by_order())))
-    same(
-        with_rank(fine, ["key"], "k"),
-        fine.withColumn("k", F.row_number().over(by_order()).cast("bigint")),
-    )
-    one_moment = rows.withColumn("ts", F.lit("2025-01-01").cast("timestamp_ntz"))
-    ranked = with_rank(one_moment, ["key"], "k")
-    same(ranked, one_moment.withColumn("k", F.row_number().over(by_order()).cast("bigint")))
-
-
-def test_a_crowded_moment_among_fine_times_is_split(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "CROWDED", 1000)
-    at = F.when(F.col("id") < 19_000, F.lit(300_000_000)).otherwise(F.col("id") * 31_013 % 600_000_000)
-    rows = spark.range(20_000).select(
-        F.lit("s").alias("key"), F.col("id").alias("event_id"), F.timestamp_micros(at).cast("timestamp_ntz").alias("ts")
-    )
-    cut, names = ordered.cut_into_cells(rows, ["key"], ("ts", "event_id"), F.lit(0))
-    largest = cut.groupBy("key", *names).count().agg(F.max("count")).first()[0]
-    assert largest <= 1000
+def cut_at(monkeypatch, rate, step):
+    monkeypatch.setattr(ordered, "RATE", rate)
+    monkeypatch.setattr(ordered, "STEP", step)
+
+
+@pytest.mark.parametrize("rate, step", [(1 << 16, 16), (1, 1), (1, 3), (4, 2)])
+def test_next_and_rank(rows, rate, step, monkeypatch):
+    """Uncut, cut at every row, and cut at some rows of keys."""
+    cut_at(monkeypatch, rate, step)
+    for data in (rows, rows.withColumn("ts", F.lit("2025-01-01").cast("timestamp_ntz"))):
+        both = with_next(data, ["key"], {"next_ts": "ts", "next_v": "v"})
+        same(both, data.withColumns({"next_ts": F.lead("ts").over(by_order()), "next_v": F.lead("v").over(by_order())}))
+        ranked = with_rank(data, ["key"], "k", first="start")
+        plain = data.withColumns(
+            {"k": F.row_number().over(by_order()).cast("bigint"),
+             "start": F.min("ts").over(Window.partitionBy("key"))}
+        )
+        same(ranked, plain)
+
+
+def test_rows_alike_in_order_stay_together(rows, monkeypatch):
+    cut_at(monkeypatch, 1, 2)
+    twice = rows.union(rows).withColumn("w", F.lit(1))
+    ranked = with_rank(twice, ["key"], "k")
+    order = Window.partitionBy("key").orderBy("ts", "event_id")
+    same(ranked.drop("v"), twice.withColumn("k", F.row_number().over(order).cast("bigint")).drop("v"))
+    led = with_next(twice, ["key"], {"n": "event_id"})
+    same(led.drop("v"), twice.withColumn("n", F.lead("event_id").over(order)).drop("v"))
+
+
+@pytest.mark.parametrize("moments", [1, 7, 600_000_000])
+def test_a_hot_key_and_a_hot_moment_spread_evenly(spark, moments, monkeypatch):
+    cut_at(monkeypatch, 16, 8)
+    at = F.timestamp_micros(F.col("id") * 31_013 % moments).cast("timestamp_ntz")
+    rows = spark.range(100_000).select(F.lit("s").alias("key"), F.col("id").alias("event_id"), at.alias("ts"))
+    cut = ordered.borders(rows, ["key"], ("ts", "event_id"))
+    assert 500 < cut.select(F.size(ordered.BORDERS)).first()[0] < 1100
+    pieces = ordered.in_pieces(rows, ["key"], ("ts", "event_id"), cut).groupBy(ordered.PIECE).count()
+    assert pieces.agg(F.max("count")).first()[0] < 600
     ranked = with_rank(rows, ["key"], "k")
-    same(ranked, rows.withColumn("k", F.row_number().over(by_order()).cast("bigint")))
+    assert ranked.filter(F.col("k") == 100_000).count() == 1
+    order = F.struct("ts", "event_id")
+    assert ranked.agg(F.max(F.struct("k", order.alias("o")))).first()[0]["o"] == rows.agg(F.max(order)).first()[0]
+    led = with_next(rows, ["key"], {"n": "event_id"})
+    assert led.filter("n IS NULL").count() == 1 and led.select("n").distinct().count() == 100_000
+
+
+def scans(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    reused = final.count("ReusedExchange")
+    return final.count("FileScan parquet"), final.count("Exchange hashpartitioning") - reused, reused
+
+
+def test_one_scan_of_the_data_and_one_of_the_borders(spark, rows, tmp_path, monkeypatch):
+    cut_at(monkeypatch, 4, 4)
+    path = str(tmp_path / "rows")
+    rows.withColumn("big", F.repeat("v", 50)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    led = with_next(stored, ["key"], {"next_ts": "ts"}).filter("next_ts > ts")
+    assert scans(led) == (2, 2, 1)
+    ranked = with_rank(stored, ["key"], "k")
+    assert scans(ranked)[0] <= 3  # and the count of the rows of cut keys
 
 
 @pytest.mark.parametrize("n", [1, 50, 1500])

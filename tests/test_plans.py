@@ -42,14 +42,14 @@ def test_no_pairwise_joins_and_no_python(plans, name):
 
 
 @pytest.mark.parametrize("name", sorted(BATCH))
-def test_every_event_window_is_cut_into_cells_or_limited(plans, name):
-    """A window over events is partitioned by a cell, runs over cell summaries,
-    or has a group limit below it."""
+def test_every_event_window_is_cut_or_limited(plans, name):
+    """A window over events is partitioned by a piece or cell, runs over rows that stand for
+    pieces or cells, or has a group limit below it."""
     for line in plans[name].splitlines():
         window = re.search(r"Window \[(.*)\]", line)
         if not window or "WindowGroupLimit" in line:
             continue
-        over_cells = "__cell" in line or "sum(__n#" in line
+        over_cells = any(mark in line for mark in ("__piece#", "__cell", "sum(__n#", "min(__first#", "__group#"))
         limited = "row_number()" in line and "WindowGroupLimit" in plans[name]
         assert over_cells or limited, line
 
@@ -59,10 +59,15 @@ def test_top_n_cuts_before_the_shuffle(plans, name):
     assert plans[name].count("WindowGroupLimit") == 2
 
 
-def test_roll_up_has_no_join(plans):
-    for name in ("session_rollup", "agent_sessions", "work_wait_split"):
-        joins = plans[name].count("SortMergeJoin")
-        assert joins == (1 if name == "work_wait_split" else 0)
+def test_roll_up_and_ordered_queries_have_no_shuffled_join(plans):
+    for name in ("session_rollup", "agent_sessions", "work_wait_split", "activity_states", "pair_agent_calls", "parallel_groups"):
+        assert "SortMergeJoin" not in plans[name]
+
+
+# As planned, before equal exchanges are found and empty borders leave.
+@pytest.mark.parametrize("name, most", [("activity_states", 3), ("session_replay", 4), ("pair_agent_calls", 4), ("work_wait_split", 3), ("parallel_groups", 10), ("session_agent_summary", 6)])
+def test_ordered_queries_scan_little(plans, name, most):
+    assert len(re.findall("FileScan parquet", plans[name])) <= most
 
 
 def test_scans_read_only_what_is_needed(plans):

@@ -1,110 +1,108 @@
 """Ordered per-key computations that survive a hot key.
 
 A plain ``Window.partitionBy(session)`` sends a whole session to one task. Here
-the order of a key is cut into *cells* (fixed slices of the ordering column):
-
-1. the window runs per (key, cell), so a session spreads over as many tasks as
-   it has cells;
-2. each cell is summarised with a map-side combined aggregate, and a second
-   window over the summaries (one row per cell, bounded by time span / width,
-   whatever the number of events) works out what each cell inherits from its
-   neighbours;
-3. the summaries are joined back on (key, cell), where the rows already are
-   partitioned and sorted that way.
-
-Cells must be a non-decreasing function of the ordering columns, so equal
-timestamps always share a cell. Keys must not be null.
+keys with very many rows are cut into *pieces*:
+
+1. one scan of keys and order keeps the rows whose hash ends in zeros, a fixed
+   share of them, and takes every STEP-th of a key as a *border* of that key;
+2. the rows are exchanged once, by (key, piece), and the window runs inside the
+   piece: a session spreads over as many tasks as it has pieces;
+3. borders are rows of the table, so the first row of every piece is known before
+   the exchange: ``with_next`` adds it to the piece before, and ``with_rank`` adds the
+   number of rows up to it.
+
+Most keys have no border and are one piece. The share is of rows and not of
+moments, so many events of one moment are cut by event id like others. Equal
+rows of keys and order stay together. Keys must not be null.
 """
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from trailspark.functions.times import micros_between, time_cell
-
 CELL = "__cell"
-CELL_WIDTH = "10 minutes"
+PIECE = "__piece"
+BORDERS = "__borders"
 EVENT_ORDER = ("ts", "event_id")
+# One row in so many is sampled (a power of two), and a piece has about STEP sampled rows: a million rows.
+RATE = 1 << 16
+STEP = 16
 # Largest n for which Spark cuts each input partition to n rows per key
 # before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 SALTS = 64
-# Rows of one cell beyond which it is split further.
-CROWDED = 1_000_000
-SLICES = 64
 
 WindowFn = Callable[[WindowSpec], Column]
 before = (Window.unboundedPreceding, -1)
 
 
+def borders(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], carried: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, BORDERS): the rows at which keys with many rows are cut, in order.
+
+    A border holds the ordering columns and the ``carried`` ones. There is about one
+    border per RATE * STEP rows of the table, so it stays small enough to be broadcast.
+    """
+    names = [*order, *[c for c in carried if c not in order]]
+    sampled = F.xxhash64(*keys, *order).bitwiseAND(F.lit(RATE - 1)) == 0
+    # Known keys are asked for here, or a join would ask and the uses would not share one exchange.
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    rows = df.filter(sampled & known).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(*names))).alias("__rows")
+    )
+    picked = F.filter("__rows", lambda _, i: (i > 0) & (i % STEP == 0))
+    place = lambda row: F.struct(*[row[c] for c in order])
+    fresh = lambda row, i: (i == 0) | (place(F.get("__picked", i - 1)) < place(row))
+    some = rows.filter(F.size("__rows") > STEP).withColumn("__picked", picked)
+    return some.select(*keys, F.filter("__picked", fresh).alias(BORDERS))
+
+
+def in_pieces(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: DataFrame, how: str = "left"
+) -> DataFrame:
+    """The rows with BORDERS of their key and PIECE: the number of borders up to the row,
+    found by halving."""
+    at = F.struct(*order)
+
+    def halve(seen: Column, _: Column) -> Column:
+        middle = F.shiftright(seen["low"] + seen["high"], 1)
+        border = F.get(BORDERS, middle)
+        below = F.coalesce(F.struct(*[border[c] for c in order]) <= at, F.lit(False))
+        unsure = seen["low"] < seen["high"]
+        return F.struct(
+            F.when(unsure & below, middle + 1).otherwise(seen["low"]).alias("low"),
+            F.when(unsure & ~below, middle).otherwise(seen["high"]).alias("high"),
+        )
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(BORDERS) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(BORDERS).alias("high"))
+    piece = F.when(F.col(BORDERS).isNull(), 0).otherwise(F.aggregate(rounds, start, halve)["low"])
+    return df.join(F.broadcast(cut), list(keys), how).withColumn(PIECE, piece)
+
+
 def in_cells(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     *,
-    cell: Column | None = None,
+    cell: Column,
     local: Mapping[str, WindowFn],
     summary: Mapping[str, Column],
     inherited: Mapping[str, WindowFn],
 ) -> DataFrame:
-    """Add ``local`` columns (window inside the cell) and ``inherited`` columns
-    (window over the ``summary`` rows of the key)."""
+    """Add ``local`` columns (window inside the cell of a key) and ``inherited`` columns
+    (window over the ``summary`` rows of the key, one per cell). Cells must not fall where
+    the order rises."""
     keys = list(keys)
-    if cell is None:
-        cell = time_cell(F.col(order[0]), CELL_WIDTH)
-    rows, cell_columns = cut_into_cells(df, keys, order, cell)
-    inside = Window.partitionBy(*keys, *cell_columns).orderBy(*order)
-    cells = rows.groupBy(*keys, *cell_columns).agg(
-        *[agg.alias(name) for name, agg in summary.items()]
-    )
-    across = Window.partitionBy(*keys).orderBy(*cell_columns)
-    cells = cells.select(
-        *keys, *cell_columns, *[fn(across).alias(name) for name, fn in inherited.items()]
-    )
-    rows = rows.withColumns({name: fn(inside) for name, fn in local.items()})
-    return rows.join(cells, [*keys, *cell_columns], "left").drop(*cell_columns)
-
-
-def cut_into_cells(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column
-) -> tuple[DataFrame, list[str]]:
-    """The rows with their cell, and the columns that name and order the cells.
-
-    Cells of more than CROWDED rows are cut into SLICES time slices per CROWDED rows.
-    Each moment of such a cell that alone has more than CROWDED rows is taken out of
-    its slice (the rows before, at and after it are apart) and cut into equal slices
-    of the last ordering column. Rows of other cells keep theirs.
-
-    At most one cell or moment per CROWDED rows can be crowded, so the broadcast
-    table stays a millionth of the input. It takes one more aggregation over keys
-    and order; where no cell is crowded, the look for crowded moments ends at once.
-    """
     rows = df.withColumn(CELL, cell)
-    if len(order) < 2:
-        return rows, [CELL]
-    first, tie = F.col(order[0]), F.col(order[-1])
-    total = {"__rows": F.count(F.lit(1)), "__from": F.min(first), "__to": F.max(first)}
-    crowded = rows.groupBy(*keys, CELL).agg(*[agg.alias(name) for name, agg in total.items()])
-    crowded = crowded.filter(F.col("__rows") > CROWDED)
-    moments = rows.join(F.broadcast(crowded), [*keys, CELL]).groupBy(*keys, CELL, *total, first.alias("__at")).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(tie).alias("__low"), F.max(tie).alias("__high")
-    )
-    hot = F.when(F.col("__n") > CROWDED, F.struct("__at", "__n", "__low", "__high"))
-    cuts = moments.groupBy(*keys, CELL, *total).agg(F.collect_list(hot).alias("__hot"))
-
-    step = F.ceil((micros_between(F.col("__from"), F.col("__to")) + 1) / (F.ceil(F.col("__rows") / CROWDED) * SLICES))
-    own = F.get(F.filter("__hot", lambda h: h["__at"] == first), F.lit(0))
-    passed = F.size(F.filter("__hot", lambda h: h["__at"] < first))
-    share = (tie.cast("double") - own["__low"]) / (own["__high"].cast("double") - own["__low"] + 1)
-    names = {
-        "__slice": F.floor(micros_between(F.col("__from"), first) / step),
-        "__moment": F.when(F.size("__hot") > 0, 2 * passed + own.isNotNull().cast("int")),
-        "__piece": F.floor(share * F.ceil(own["__n"] / CROWDED)),
-    }
-    split = rows.join(F.broadcast(cuts), [*keys, CELL], "left").withColumns(
-        {name: F.coalesce(value, F.lit(0)) for name, value in names.items()}
-    )
-    return split.drop(*total, "__hot"), [CELL, *names]
+    inside = Window.partitionBy(*keys, CELL).orderBy(*order)
+    cells = rows.groupBy(*keys, CELL).agg(*[agg.alias(name) for name, agg in summary.items()])
+    across = Window.partitionBy(*keys).orderBy(CELL)
+    cells = cells.select(*keys, CELL, *[fn(across).alias(name) for name, fn in inherited.items()])
+    rows = rows.withColumns({name: fn(inside) for name, fn in local.items()})
+    return rows.join(cells, [*keys, CELL], "left").drop(CELL)
 
 
 def with_next(
@@ -113,25 +111,22 @@ def with_next(
     columns: Mapping[str, str],
     order: Sequence[str] = EVENT_ORDER,
 ) -> DataFrame:
-    """``lead`` within the keys: ``columns`` maps output name to source column."""
-    source = list(columns.values())
-    if source == [order[0]]:
-        # The first ordering value of a cell is its minimum: a plain hash aggregate.
-        picked, head = F.col(order[0]), F.min(order[0])
-        fields = {name: F.coalesce("__inside", "__carried") for name in columns}
-    else:
-        picked = F.struct(*order, *[c for c in source if c not in order])
-        head = F.min(picked)
-        fields = {
-            name: F.coalesce("__inside", "__carried")[col] for name, col in columns.items()
-        }
-    out = in_cells(
-        df, keys, order,
-        local={"__inside": lambda w: F.lead(picked).over(w)},
-        summary={"__head": head},
-        inherited={"__carried": lambda w: F.lead("__head").over(w)},
+    """``lead`` within the keys: ``columns`` maps output name to source column.
+
+    The border behind a piece is added to it as a row of its own, which the window
+    sees and the result does not: no summary and no join behind the window.
+    """
+    keys = list(keys)
+    cut = borders(df, keys, order, list(columns.values()))
+    rows = in_pieces(df, keys, order, cut).drop(BORDERS).withColumn("__border", F.lit(False))
+    behind = cut.select(*keys, F.posexplode(BORDERS).alias(PIECE, "__row")).select(
+        *keys, PIECE, "__row.*", F.lit(True).alias("__border")
     )
-    return out.withColumns(fields).drop("__inside", "__carried")
+    inside = Window.partitionBy(*keys, PIECE).orderBy(*order)
+    led = rows.unionByName(behind, allowMissingColumns=True).withColumns(
+        {name: F.lead(column).over(inside) for name, column in columns.items()}
+    )
+    return led.filter(~F.col("__border")).select(*df.columns, *columns)
 
 
 def with_rank(
@@ -141,24 +136,31 @@ def with_rank(
     order: Sequence[str] = EVENT_ORDER,
     *,
     first: str | None = None,
-    cell_width: str | None = None,
 ) -> DataFrame:
-    """``row_number`` within the keys; ``first`` also adds the key's first ordering value."""
-    cell = time_cell(F.col(order[0]), cell_width) if cell_width else None
-    summary = {"__n": F.count(F.lit(1))}
-    inherited = {"__before": lambda w: F.sum("__n").over(w.rowsBetween(*before))}
-    if first:
-        summary["__first"] = F.min(order[0])
-        everything = (Window.unboundedPreceding, Window.unboundedFollowing)
-        inherited[first] = lambda w: F.min("__first").over(w.rowsBetween(*everything))
-    out = in_cells(
-        df, keys, order, cell=cell,
-        local={"__rank": lambda w: F.row_number().over(w)},
-        summary=summary,
-        inherited=inherited,
+    """``row_number`` within the keys; ``first`` also adds the key's first ordering value.
+
+    Rows up to a border are counted in a scan of the cut keys alone, one number per piece.
+    """
+    keys = list(keys)
+    cut = borders(df, keys, order)
+    counted = in_pieces(df.select(*dict.fromkeys([*keys, *order])), keys, order, cut, "inner").groupBy(*keys, PIECE).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(order[0]).alias("__first")
+    )
+    key = Window.partitionBy(*keys)
+    carried = counted.select(
+        *keys, PIECE,
+        F.sum("__n").over(key.orderBy(PIECE).rowsBetween(*before)).alias("__before"),
+        F.min("__first").over(key).alias("__first"),
     )
-    rank = F.col("__rank").cast("bigint") + F.coalesce("__before", F.lit(0))
-    return out.withColumn(name, rank).drop("__rank", "__before")
+    inside = Window.partitionBy(*keys, PIECE)
+    rows = in_pieces(df, keys, order, cut).drop(BORDERS).withColumn("__rank", F.row_number().over(inside.orderBy(*order)))
+    if first:
+        rows = rows.withColumn("__least", F.min(order[0]).over(inside))
+    out = rows.join(F.broadcast(carried), [*keys, PIECE], "left")
+    more = {name: F.col("__rank").cast("bigint") + F.coalesce("__before", F.lit(0))}
+    if first:
+        more[first] = F.coalesce("__first", "__least")
+    return out.withColumns(more).select(*df.columns, *more)
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

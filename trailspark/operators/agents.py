@@ -4,10 +4,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trailspark.functions.ordered import CELL_WIDTH, before, cut_into_cells, top_n
+from trailspark.functions.ordered import BORDERS, PIECE, before, borders, in_pieces, top_n
 from trailspark.functions.quantiles import exact_percentiles
 from trailspark.functions.times import (
-    as_ntz, interval, interval_micros, micros_between, micros_to_seconds, seconds_between, time_cell,
+    as_ntz, interval, interval_micros, micros_between, micros_to_seconds, seconds_between,
 )
 from trailspark.operators.pairing import pair_kth
 from trailspark.operators.sessions import events_since, is_agent_call, newest_first, of_session
@@ -172,14 +172,18 @@ def agent_sessions(ev: DataFrame, n: int = 20, agent_type: str | None = None) ->
     )
 
 
-def _agent_calls(ev: DataFrame, session_id: str | None = None) -> DataFrame:
-    calls = of_session(ev, session_id).filter(
+def _call_events(ev: DataFrame, session_id: str | None = None) -> DataFrame:
+    return of_session(ev, session_id).filter(
         (F.col("tool_name") == TASK)
         & F.col("subagent_type").isNotNull()
         & F.col("event_name").isin(PRE_TOOL, POST_TOOL)
     ).withColumn("agent_type", F.col("subagent_type"))
+
+
+def _agent_calls(ev: DataFrame, session_id: str | None = None) -> DataFrame:
     return pair_kth(
-        calls, ["session_id", "agent_type"], first_of=("description",), end_only=("total_tokens",)
+        _call_events(ev, session_id), ["session_id", "agent_type"],
+        first_of=("description",), end_only=("total_tokens",),
     )
 
 
@@ -193,59 +197,123 @@ def pair_agent_calls(ev: DataFrame, session_id: str | None = None) -> DataFrame:
     return _agent_calls(ev, session_id).select(*CALL_COLUMNS, "call_no", "is_out_of_order")
 
 
-def _start_cells(calls: DataFrame, gap: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Calls with their time cell, the cells with the island they belong to, and
-    the columns that name a cell.
+def _numbered_starts(ev: DataFrame, gap: str, session_id: str | None = None) -> DataFrame:
+    """Calls with their piece of the session, and inside it their number and that of their
+    island: starts no further apart than ``gap``.
 
-    No cell is wider than the gap, so starts inside one cell always belong
-    together and islands can be found on one summary row per cell.
+    A call starts when one of its events happened, so borders of the events cut the
+    calls as well, and the pairing runs once.
+    """
+    order = ("start_time", "call_id")
+    events = _call_events(ev, session_id).select(
+        "session_id", F.col("ts").alias("start_time"), F.col("event_id").alias("call_id")
+    )
+    cut = borders(events, ["session_id"], order)
+    calls = in_pieces(_agent_calls(ev, session_id), ["session_id"], order, cut)
+    calls = calls.withColumn("__cut", F.col(BORDERS).isNotNull()).drop(BORDERS)
+    inside = Window.partitionBy("session_id", PIECE).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    silence = micros_between(F.lag("start_time").over(inside), F.col("start_time"))
+    return calls.withColumns(
+        {"__rank": F.row_number().over(inside), "__new": F.when(silence <= interval_micros(gap), 0).otherwise(1)}
+    ).withColumn("__island", F.sum("__new").over(so_far)).drop("__new")
+
+
+def _pieces(starts: DataFrame, whole: bool) -> DataFrame:
+    """One row per piece: its calls and islands, its first and last start, and the sizes of
+    the first and the last island, which may go on in the pieces beside it.
+
+    With ``whole`` all columns of the calls are looked at, so that Spark finds the exchange
+    of the calls themselves below and does it once.
     """
-    width = min(gap, CELL_WIDTH, key=interval_micros)
-    calls, cell = cut_into_cells(
-        calls, ["session_id"], ("start_time", "call_id"), time_cell(F.col("start_time"), width)
-    )
-    cells = calls.groupBy("session_id", *cell).agg(
-        F.min("start_time").alias("__first"),
-        F.max("start_time").alias("__last"),
-        F.count(F.lit(1)).alias("__n"),
-        F.sum("duration_micros").alias("__micros"),
-        F.count("duration_micros").alias("__timed"),
-    )
-    order = Window.partitionBy("session_id").orderBy(*cell)
-    silence = micros_between(F.lag("__last").over(order), F.col("__first"))
-    cells = cells.withColumn("__new", F.when(silence <= interval_micros(gap), 0).otherwise(1))
-    cells = cells.withColumns(
+    seen = F.bit_xor(F.xxhash64(*[c for c in starts.columns if c not in ("__rank", "__island")])) if whole else F.lit(0)
+    islands = starts.groupBy("session_id", PIECE, "__island").agg(
+        F.count(F.lit(1)).alias("n"), F.min("start_time").alias("first"), F.max("start_time").alias("last"),
+        F.sum("duration_micros").alias("micros"), F.count("duration_micros").alias("timed"),
+        F.max("__cut").alias("cut"), seen.alias("seen"),
+    )
+    return islands.groupBy("session_id", PIECE).agg(
+        F.sum("n").alias("n"), F.max("__island").alias("islands"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        F.max(F.when(F.col("__island") == 1, F.col("n"))).alias("left"), F.max_by("n", "__island").alias("right"),
+        F.count_if(F.col("n") > 1).alias("parallel"), F.sum("micros").alias("micros"), F.sum("timed").alias("timed"),
+        F.max("cut").alias("cut"), F.bit_xor("seen").alias("seen"),
+    )
+
+
+def _joined(pieces: DataFrame, gap: str) -> DataFrame:
+    """Pieces with what they inherit: ``groups`` and ``calls`` before them, and for their first
+    and last island the size over all pieces, the calls before it, and whether it starts here."""
+    order = Window.partitionBy("session_id").orderBy(PIECE)
+    silence = micros_between(F.lag("last").over(order), F.col("first"))
+    goes_on = F.when(silence <= interval_micros(gap), 1).otherwise(0)
+    numbered = pieces.withColumn("goes_on", goes_on).withColumns(
         {
-            "group_id": F.sum("__new").over(order),
-            "__before": F.coalesce(F.sum("__n").over(order.rowsBetween(*before)), F.lit(0)),
+            "groups": F.coalesce(F.sum("islands").over(order.rowsBetween(*before)), F.lit(0))
+            - F.sum("goes_on").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "calls": F.coalesce(F.sum("n").over(order.rowsBetween(*before)), F.lit(0)),
         }
     )
-    island = Window.partitionBy("session_id", "group_id")
-    cells = cells.withColumns(
-        {"group_size": F.sum("__n").over(island), "__group_before": F.min("__before").over(island)}
+    edge = lambda side, island, size, start: F.struct(
+        F.lit(side).alias("__side"), (F.col("groups") + island).alias("__group"), size.alias("__size"), start.alias("__start")
+    )
+    left = edge("left", F.lit(1), F.col("left"), F.col("calls"))
+    right = edge("right", F.col("islands"), F.col("right"), F.col("calls") + F.col("n") - F.col("right"))
+    edges = numbered.select("*", F.inline(F.when(F.col("islands") > 1, F.array(left, right)).otherwise(F.array(left))))
+    group = Window.partitionBy("session_id", "__group")
+    edges = edges.withColumns(
+        {"size": F.sum("__size").over(group), "start": F.min("__start").over(group)}
+    )
+    of = lambda side, value: F.max(F.when(F.col("__side") == side, value))
+    here = F.col("__start") == F.col("start")
+    return edges.groupBy("session_id", PIECE).agg(
+        *[F.max(c).alias(c) for c in ("groups", "calls", "n", "islands", "left", "right", "parallel", "micros", "timed", "cut", "seen")],
+        of("left", F.col("size")).alias("left_size"), of("right", F.col("size")).alias("right_size"),
+        of("left", F.col("start")).alias("left_start"),
+        F.count_if(here & (F.col("size") > 1)).alias("parallel_edges"),
     )
-    return calls, cells, cell
 
 
 def parallel_groups(ev: DataFrame, gap: str = "1 second", session_id: str | None = None) -> DataFrame:
     """Gaps and islands: a call that starts at most ``gap`` after the one before
-    it belongs to the same parallel group."""
-    calls, cells, cell = _start_cells(_agent_calls(ev, session_id), gap)
-    inside = Window.partitionBy("session_id", *cell).orderBy("start_time", "call_id")
-    placed = calls.withColumn("__rank", F.row_number().over(inside)).join(
-        cells.drop("__first", "__last", "__n", "__micros", "__timed", "__new"), ["session_id", *cell]
+    it belongs to the same parallel group.
+
+    Islands are found inside pieces of a session. Pieces are then one row each, and what
+    their first and last islands have in common with the pieces beside them is joined
+    back to the calls of sessions that are cut; a session's window sees pieces, not calls.
+    """
+    starts = _numbered_starts(ev, gap, session_id)
+    carried = _joined(_pieces(starts, whole=True).filter(F.col("cut") & F.col("seen").isNotNull()), gap).select(
+        "session_id", PIECE, "groups", "calls", "islands", "left_size", "right_size", "left_start"
+    )
+    island = Window.partitionBy("session_id", PIECE, "__island")
+    placed = starts.withColumns(
+        {"__size": F.count(F.lit(1)).over(island), "__first": F.min("__rank").over(island)}
+    ).join(F.broadcast(carried), ["session_id", PIECE], "left")
+    before_piece = F.coalesce("calls", F.lit(0))
+    opens = F.col("__island") == 1
+    group_before = F.when(opens & F.col("calls").isNotNull(), F.col("left_start")).otherwise(before_piece + F.col("__first") - 1)
+    size = (
+        F.when(F.col("calls").isNull(), F.col("__size")).when(opens, F.col("left_size"))
+        .when(F.col("__island") == F.col("islands"), F.col("right_size")).otherwise(F.col("__size"))
+    )
+    placed = placed.withColumns(
+        {
+            "execution_order": (before_piece + F.col("__rank")).cast("bigint"),
+            "group_id": (F.col("__island") + F.coalesce("groups", F.lit(0))).cast("bigint"),
+            "group_size": size,
+        }
     )
-    placed = placed.withColumn("execution_order", F.col("__before") + F.col("__rank"))
     return placed.select(
         *CALL_COLUMNS,
         "execution_order", "group_id", "group_size",
-        (F.col("execution_order") - F.col("__group_before")).alias("position_in_group"),
+        (F.col("execution_order") - group_before).alias("position_in_group"),
         (F.col("group_size") > 1).alias("is_parallel"),
     )
 
 
 def session_agent_summary(ev: DataFrame, gap: str = "1 second") -> DataFrame:
-    """Agent summary per session; calls are summed, and parallel groups counted, on cells."""
+    """Agent summary per session; calls are summed, and parallel groups counted, on pieces."""
     seen = of_session(ev, None).filter(
         (F.col("tool_name") == TASK) & F.col("subagent_type").isNotNull()
     ).groupBy("session_id", "subagent_type").agg(
@@ -256,13 +324,16 @@ def session_agent_summary(ev: DataFrame, gap: str = "1 second") -> DataFrame:
         F.count(F.lit(1)).alias("unique_agents"),
         F.sum(F.col("pre") + F.col("post")).alias("distinct_agent_events"),
     )
-    calls = _agent_calls(ev).select("session_id", "start_time", "call_id", "duration_micros")
-    _, cells, _ = _start_cells(calls, gap)
-    timing = cells.groupBy("session_id").agg(
-        F.sum("__n").alias("total_invocations"),
-        (micros_to_seconds(F.sum("__micros")) / F.nullif(F.sum("__timed"), F.lit(0)))
+    # Islands inside a piece count there, those at its edges where they start.
+    inner = (
+        F.col("parallel") - F.when(F.col("left") > 1, 1).otherwise(0)
+        - F.when((F.col("islands") > 1) & (F.col("right") > 1), 1).otherwise(0)
+    )
+    timing = _joined(_pieces(_numbered_starts(ev, gap), whole=False), gap).groupBy("session_id").agg(
+        F.sum("n").alias("total_invocations"),
+        (micros_to_seconds(F.sum("micros")) / F.nullif(F.sum("timed"), F.lit(0)))
         .alias("avg_duration_seconds"),
-        F.count_if((F.col("__new") == 1) & (F.col("group_size") > 1)).alias("parallel_groups"),
+        F.sum(inner + F.col("parallel_edges")).alias("parallel_groups"),
     )
     joined = agents.join(timing, "session_id", "left")
     return joined.select(
