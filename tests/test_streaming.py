@@ -10,7 +10,7 @@ from trailspark.plans.fixture_view import load_silver, raw_from_silver
 from trailspark.schema import SILVER_COLUMNS, SILVER_SCHEMA
 from trailspark.session import scratch_path
 from trailspark.sources.events import read_events
-from trailspark.streaming import active, jobs
+from trailspark.streaming import active, jobs, parts
 
 
 @pytest.fixture(scope="module")
@@ -202,3 +202,79 @@ def test_late_report(spark, silver_files):
     jobs.stream_late_report(arrived, out, progress(spark)).awaitTermination()
     report = jobs.read_late_report(spark, out)
     assert report.agg(F.sum("late_events"), F.max("longest_delay_seconds")).first() == (10, 7200.0)
+
+
+def write_part(spark, path, number, repeat=1):
+    rows = [(f"s{(number * 7 + i) % 5}", at(number * 10 + i), at(number * 10 + i + repeat), 1, 0) for i in range(3)]
+    schema = "session_id string, session_start timestamp_ntz, last_event timestamp_ntz, total_events long, end_events long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+
+def totals(spark, path):
+    return sorted(tuple(r) for r in jobs.read_session_rollup(spark, path).collect())
+
+
+def test_parts_are_folded_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(parts, "FAN", 3)
+    plain, folded = scratch_path(spark, "plain"), scratch_path(spark, "folded")
+    for number in range(31):
+        write_part(spark, plain, number)
+        write_part(spark, folded, number)
+        parts.fold(spark, folded, jobs.merged_totals)
+        if number % 10 == 0:
+            assert totals(spark, folded) == totals(spark, plain)
+    manifest = parts.read_manifest(spark, folded)
+    assert [(f["first"], f["last"], f["level"]) for f in manifest["folds"]] == [(0, 26, 3), (27, 29, 1)]
+    assert len(parts._names(spark, folded, parts.FOLDS)) <= 2 + 3 + 3 and len(parts._names(spark, folded)) <= 3 + 3 + 4
+    write_part(spark, folded, 30)  # The newest batch is run again.
+    parts.fold(spark, folded, jobs.merged_totals)
+    assert totals(spark, folded) == totals(spark, plain)
+
+
+def test_a_fold_that_dies_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(parts, "FAN", 2)
+    path = scratch_path(spark, "parts")
+    for number in range(6):
+        write_part(spark, path, number)
+    expected = totals(spark, path)
+    whole, swap = parts.read_parts(spark, path), parts.swap_manifest
+    calls = []
+
+    def dies(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        swap(*args)
+
+    monkeypatch.setattr(parts, "swap_manifest", dies)
+    with pytest.raises(RuntimeError):
+        parts.fold(spark, path, jobs.merged_totals)
+    assert parts.read_manifest(spark, path)["version"] == 1 and len(parts._names(spark, path, parts.FOLDS)) == 2
+    assert totals(spark, path) == expected
+    assert whole.count() == 18  # A reader from before the fold.
+    monkeypatch.setattr(parts, "swap_manifest", swap)
+    parts.fold(spark, path, jobs.merged_totals)
+    assert totals(spark, path) == expected
+    used = {f["folder"] for f in parts.read_manifest(spark, path)["folds"]}
+    assert used <= set(parts._names(spark, path, parts.FOLDS))
+    with pytest.raises(RuntimeError):
+        parts.swap_manifest(spark, path, parts.read_manifest(spark, path))
+
+
+@pytest.mark.parametrize("job", ["session_rollup", "window_counts", "activity_periods", "pair_calls", "late_report"])
+def test_folded_streams_read_like_unfolded_ones(spark, silver, silver_files, monkeypatch, job):
+    found = []
+    for fan in (2, 1000):
+        monkeypatch.setattr(parts, "FAN", fan)
+        out = scratch_path(spark, "out")
+        ev = jobs.read_silver_stream(spark, silver_files, files_per_batch=1)
+        if job == "pair_calls":
+            ev = ev.withColumn("call_key", F.concat("session_id", F.lit("|"), (F.col("event_id") % 40).cast("string")))
+        if job == "late_report":
+            ev = ev.withColumn("ingest_ts", F.col("ts") + F.make_dt_interval(hours=F.col("event_id") % 5))
+        getattr(jobs, f"stream_{job}")(ev, out, progress(spark)).awaitTermination()
+        rows = getattr(jobs, f"read_{job}")(spark, out)
+        found.append(sorted((tuple(r) for r in rows.collect()), key=str))
+        folds = parts.read_manifest(spark, out)["folds"]
+        assert bool(folds) == (fan == 2)
+    assert found[0] == found[1] and found[0]

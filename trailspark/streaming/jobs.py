@@ -85,17 +85,21 @@ def stream_session_rollup(
             F.count_if(F.col("event_name") == SESSION_END).alias("end_events"),
         )
 
-    return start_parts(ev, path, checkpoint, prepare=totals, every=every)
+    return start_parts(ev, path, checkpoint, merged_totals, prepare=totals, every=every)
 
 
-def read_session_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """Session totals so far; status depends on the clock and is left to the reader."""
-    return read_parts(spark, path).groupBy("session_id").agg(
+def merged_totals(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("session_id").agg(
         F.min("session_start").alias("session_start"),
         F.max("last_event").alias("last_event"),
         F.sum("total_events").alias("total_events"),
         F.sum("end_events").alias("end_events"),
-    ).withColumn("is_ended", F.col("end_events") > 0)
+    )
+
+
+def read_session_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """Session totals so far; status depends on the clock and is left to the reader."""
+    return merged_totals(read_parts(spark, path)).withColumn("is_ended", F.col("end_events") > 0)
 
 
 def stream_window_counts(
@@ -111,7 +115,12 @@ def stream_window_counts(
         F.hll_sketch_agg(F.when(is_agent_call(), F.col("subagent_type"))).alias("agents"),
     )
     hours = hours.select(unzoned(F.col("w.start")).alias("hour"), "events", "agents")
-    return start_parts(hours, path, checkpoint, mode="update", every=every)
+    return start_parts(hours, path, checkpoint, newest_hours, mode="update", every=every)
+
+
+def newest_hours(parts: DataFrame) -> DataFrame:
+    """The newest row of each hour, which holds its total so far."""
+    return top_n(parts, ["hour"], [F.col("batch_id").desc()], 1)
 
 
 def read_window_counts(spark: SparkSession, path: str, hours: int = 24) -> DataFrame:
@@ -120,7 +129,7 @@ def read_window_counts(spark: SparkSession, path: str, hours: int = 24) -> DataF
     Sliding windows are merged from the hourly rows instead of copying every
     event into each window it falls in.
     """
-    hourly = top_n(read_parts(spark, path), ["hour"], [F.col("batch_id").desc()], 1)
+    hourly = newest_hours(read_parts(spark, path))
     shift = F.explode(F.sequence(F.lit(0), F.lit(hours - 1)))
     spread = hourly.withColumn("shift", shift)
     spans = F.array(
@@ -177,7 +186,8 @@ def stream_activity_periods(
         )
         return merged_periods(seconds.drop("__second"), gap)
 
-    return start_parts(ev, path, checkpoint, prepare=periods, every=every)
+    merge = lambda parts: merged_periods(parts.drop("batch_id"), gap)
+    return start_parts(ev, path, checkpoint, merge, prepare=periods, every=every)
 
 
 def read_activity_periods(spark: SparkSession, path: str, gap: str = "30 seconds") -> DataFrame:
@@ -219,13 +229,17 @@ def stream_pair_calls(
             F.when(is_start, F.col("ts")), F.when(is_end, F.col("ts")), F.when(is_end, F.col("total_tokens")),
         )
 
-    return start_parts(ev, path, checkpoint, prepare=sides, every=every)
+    return start_parts(ev, path, checkpoint, merged_sides, prepare=sides, every=every)
+
+
+def merged_sides(parts: DataFrame) -> DataFrame:
+    return _both_sides(parts, F.col("start_time"), F.col("end_time"), F.col("total_tokens"))
 
 
 def read_pair_calls(spark: SparkSession, path: str, within: str | None = None) -> DataFrame:
     """One row per call. Starts without an end and ends without a start stay, with
     nulls for the other side; sides more than ``within`` apart are two such rows."""
-    calls = _both_sides(read_parts(spark, path), F.col("start_time"), F.col("end_time"), F.col("total_tokens"))
+    calls = merged_sides(read_parts(spark, path))
     if within:
         apart = F.abs(micros_between(F.col("start_time"), F.col("end_time"))) > interval_micros(within)
         start, end = F.col("start_time"), F.col("end_time")
@@ -257,11 +271,16 @@ def stream_late_report(
             F.count(F.lit(1)).alias("late_events"), F.max("__lag").alias("lag_us")
         )
 
-    return start_parts(ev, path, checkpoint, prepare=late, every=every)
+    return start_parts(ev, path, checkpoint, merged_late, prepare=late, every=every)
+
+
+def merged_late(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("hour").agg(
+        F.sum("late_events").alias("late_events"), F.max("lag_us").alias("lag_us")
+    )
 
 
 def read_late_report(spark: SparkSession, path: str) -> DataFrame:
-    return read_parts(spark, path).groupBy("hour").agg(
-        F.sum("late_events").alias("late_events"),
-        micros_to_seconds(F.max("lag_us")).alias("longest_delay_seconds"),
+    return merged_late(read_parts(spark, path)).select(
+        "hour", "late_events", micros_to_seconds(F.col("lag_us")).alias("longest_delay_seconds")
     )
