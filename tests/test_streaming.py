@@ -145,10 +145,10 @@ def test_sessions_open_and_close(spark):
 
 def test_pairs_and_both_orphans(spark):
     folder, out, check = scratch_path(spark, "calls"), scratch_path(spark, "out"), progress(spark)
-    schema = "call_key string, session_id string, subagent_type string, event_name string, ts timestamp_ntz, total_tokens long"
+    schema = "call_key string, event_id long, session_id string, subagent_type string, event_name string, ts timestamp_ntz, total_tokens long"
 
     def run(*rows, within=None):
-        df = spark.createDataFrame([(k, "s", "a", f"{side}ToolUse", at(s), n) for k, side, s, n in rows], schema)
+        df = spark.createDataFrame([(k, None, "s", "a", f"{side}ToolUse", at(s), n) for k, side, s, n in rows], schema)
         df.coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(schema).parquet(folder)
         jobs.stream_pair_calls(stream, out, check).awaitTermination()
@@ -278,3 +278,29 @@ def test_folded_streams_read_like_unfolded_ones(spark, silver, silver_files, mon
         folds = parts.read_manifest(spark, out)["folds"]
         assert bool(folds) == (fan == 2)
     assert found[0] == found[1] and found[0]
+
+
+def test_calls_without_a_name_are_numbered_when_read(spark, monkeypatch):
+    """Late events take their place; calls that the payload names meet by that name."""
+    monkeypatch.setattr(parts, "FAN", 2)
+    folder, out, check = scratch_path(spark, "calls"), scratch_path(spark, "out"), progress(spark)
+
+    def run(first, *rows):
+        full = [
+            {"event_id": first + i, "ts": at(s), "event_name": f"{side}ToolUse", "tool_name": "Task", "subagent_type": "a", "data": data}
+            for i, (side, s, data) in enumerate(rows)
+        ]
+        drop_file(spark, folder, *full)
+        jobs.stream_pair_calls(jobs.read_silver_stream(spark, folder), out, check).awaitTermination()
+        found = jobs.read_pair_calls(spark, out).collect()
+        return {r.call_key: tuple(None if m is None else (m - at(0)).total_seconds() for m in (r.start_time, r.end_time)) for r in found}
+
+    named = '{"tool_use_id": "u1"}'
+    assert run(0, ("Pre", 10, "{}"), ("Post", 12, "{}"), ("Pre", 20, "{}"), ("Pre", 30, named)) == {
+        "s|a|1": (10, 12), "s|a|2": (20, None), "u1": (30, None)
+    }
+    assert run(10, ("Post", 25, "{}"), ("Post", 90, named)) == {"s|a|1": (10, 12), "s|a|2": (20, 25), "u1": (30, 90)}
+    late = {"s|a|1": (1, 2), "s|a|2": (10, 12), "s|a|3": (20, 25), "u1": (30, 90)}
+    assert run(20, ("Pre", 1, "{}"), ("Post", 2, None)) == late
+    assert run(30, ("Stop", 3, "{}")) == late
+    assert parts.read_manifest(spark, out)["folds"]

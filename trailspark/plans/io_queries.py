@@ -6,7 +6,6 @@ run through the source, sink or streaming job, and read back.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailspark.functions.ordered import with_rank
 from trailspark.operators import sessions
 from trailspark.plans import parameters as P
 from trailspark.plans.fixture_view import (
@@ -129,17 +128,6 @@ def export_csv(spark, sf_dir):
 # Streams --------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as a file stream, in the fixture view."""
-    table = load_events(pin_session(spark), sf_dir)
-    reader = spark.readStream.schema(table.schema)
-    if any(name.endswith("/events.parquet") for name in table.inputFiles()[:1]):
-        stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    else:
-        stream = reader.parquet(f"{sf_dir}/events.parquet")
-    return silver_from_events(stream)
-
-
 def _finish(query) -> None:
     query.awaitTermination()
 
@@ -172,10 +160,8 @@ def stream_silver(spark, sf_dir):
 
 
 def stream_session_rollup(spark, sf_dir):
-    out = scratch_path(spark, "out")
-    _finish(
-        jobs.stream_session_rollup(_event_stream(spark, sf_dir), out, scratch_path(spark, "progress"))
-    )
+    rows = load_typed(pin_session(spark), sf_dir)
+    out = _in_two_deliveries(spark, rows, jobs.stream_session_rollup)
     return jobs.read_session_rollup(spark, out)
 
 
@@ -185,10 +171,8 @@ def stream_active_sessions(spark, sf_dir):
 
 
 def stream_window_counts(spark, sf_dir):
-    out = scratch_path(spark, "out")
-    _finish(
-        jobs.stream_window_counts(_event_stream(spark, sf_dir), out, scratch_path(spark, "progress"))
-    )
+    rows = load_typed(pin_session(spark), sf_dir)
+    out = _in_two_deliveries(spark, rows, jobs.stream_window_counts)
     return jobs.read_window_counts(spark, out).drop("approx_agents")
 
 
@@ -199,24 +183,17 @@ def stream_activity_periods(spark, sf_dir):
 
 
 def stream_pair_calls(spark, sf_dir):
-    """Task events keyed by (session, agent, number of the call), as a stream."""
-    calls = load_typed(pin_session(spark), sf_dir).filter(
-        (F.col("tool_name") == TASK) & F.col("subagent_type").isNotNull()
-    )
-    ranked = with_rank(calls, ["session_id", "subagent_type", "event_name"], "call_no")
-    keyed = ranked.withColumn(
-        "call_key", F.concat_ws("|", "session_id", "subagent_type", F.col("call_no").cast("string"))
-    )
-    out = _in_two_deliveries(spark, keyed, jobs.stream_pair_calls)
+    """Task events as they come; none names its call, so they are numbered when they are read."""
+    calls = load_silver(pin_session(spark), sf_dir).filter(F.col("tool_name") == TASK)
+    out = _in_two_deliveries(spark, calls, jobs.stream_pair_calls)
     return jobs.read_pair_calls(spark, out, within=P.PAIR_WITHIN)
 
 
 def stream_late_report(spark, sf_dir):
     """Events that arrive up to two hours late, by the minute they happened in."""
     delay = F.make_dt_interval(mins=F.minute("ts") * 2)
-    arrived = _event_stream(spark, sf_dir).withColumn("ingest_ts", F.col("ts") + delay)
-    out = scratch_path(spark, "out")
-    _finish(jobs.stream_late_report(arrived, out, scratch_path(spark, "progress")))
+    arrived = load_typed(pin_session(spark), sf_dir).withColumn("ingest_ts", F.col("ts") + delay)
+    out = _in_two_deliveries(spark, arrived, jobs.stream_late_report)
     return jobs.read_late_report(spark, out)
 
 

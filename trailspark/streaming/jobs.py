@@ -8,7 +8,7 @@ example ``"30 seconds"``, it runs on until it is stopped.
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trailspark.functions.ordered import top_n
+from trailspark.functions.ordered import top_n, with_rank
 from trailspark.functions.times import MICROS, interval_micros, micros_between, micros_to_seconds
 from trailspark.operators.sessions import is_agent_call
 from trailspark.schema import POST_TOOL, PRE_TOOL, SESSION_END, SILVER_SCHEMA
@@ -203,43 +203,67 @@ def read_activity_periods(spark: SparkSession, path: str, gap: str = "30 seconds
 # Pairing and lateness -------------------------------------------------------
 
 CALL = ("call_key", "session_id", "agent_type")
+# Fixed value: where a payload names the call that both of its events belong to.
+CALL_ID = "$.tool_use_id"
 
 
-def _both_sides(rows: DataFrame, start: Column, end: Column, tokens: Column) -> DataFrame:
-    return rows.groupBy(*CALL).agg(
-        F.min(start).alias("start_time"), F.min(end).alias("end_time"), F.max(tokens).alias("total_tokens")
-    )
+def call_key(ev: DataFrame) -> Column:
+    """What names a call: the column ``call_key`` if there is one, else the payload's id, else null."""
+    if "call_key" in ev.columns:
+        return F.col("call_key")
+    return F.get_json_object("data", CALL_ID) if "data" in ev.columns else F.lit(None).cast("string")
 
 
 def stream_pair_calls(
     ev: DataFrame, path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """What each micro-batch knows of a call: its start, its end, or both.
+    """What each micro-batch knows of agent calls: their starts and ends.
 
-    ``call_key`` names one call; session and agent are the same on both sides. The
-    sides meet at read time, so no state is kept and a late side still finds its
-    other one.
+    Events that name their call meet by that name, within the batch and at read time.
+    Others are kept one by one with their id; they are numbered when they are read, so
+    an event that comes late takes its place among those before it. No state is kept.
     """
 
     def sides(batch: DataFrame) -> DataFrame:
         is_start, is_end = F.col("event_name") == PRE_TOOL, F.col("event_name") == POST_TOOL
-        rows = batch.filter(F.col("call_key").isNotNull() & (is_start | is_end))
-        return _both_sides(
-            rows.withColumn("agent_type", F.col("subagent_type")),
-            F.when(is_start, F.col("ts")), F.when(is_end, F.col("ts")), F.when(is_end, F.col("total_tokens")),
+        rows = batch.withColumn("call_key", call_key(batch)).filter(
+            F.col("session_id").isNotNull() & F.col("subagent_type").isNotNull() & (is_start | is_end)
         )
+        return merged_sides(rows.select(
+            "call_key", "session_id", F.col("subagent_type").alias("agent_type"), "event_id",
+            F.when(is_start, F.col("ts")).alias("start_time"), F.when(is_end, F.col("ts")).alias("end_time"),
+            F.when(is_end, F.col("total_tokens")).alias("total_tokens"),
+        ))
 
     return start_parts(ev, path, checkpoint, merged_sides, prepare=sides, every=every)
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*CALL).agg(
+        F.min("start_time").alias("start_time"), F.min("end_time").alias("end_time"), F.max("total_tokens").alias("total_tokens")
+    )
+
+
 def merged_sides(parts: DataFrame) -> DataFrame:
-    return _both_sides(parts, F.col("start_time"), F.col("end_time"), F.col("total_tokens"))
+    """Sides that name their call as one row per call, the others as they are."""
+    named, others = parts.filter(F.col("call_key").isNotNull()), parts.filter(F.col("call_key").isNull())
+    columns = [*CALL, "event_id", "start_time", "end_time", "total_tokens"]
+    return others.select(*columns).unionByName(_met(named), allowMissingColumns=True)
 
 
 def read_pair_calls(spark: SparkSession, path: str, within: str | None = None) -> DataFrame:
-    """One row per call. Starts without an end and ends without a start stay, with
-    nulls for the other side; sides more than ``within`` apart are two such rows."""
-    calls = merged_sides(read_parts(spark, path))
+    """One row per call. The k-th start of a session and agent that names no call belongs to
+    the k-th such end. Starts without an end and ends without a start stay, with nulls for
+    the other side; sides more than ``within`` apart are two such rows."""
+    parts = read_parts(spark, path)
+    ends = F.col("start_time").isNull()
+    loose = parts.filter(F.col("call_key").isNull()).withColumns(
+        {"ts": F.coalesce("start_time", "end_time"), "__side": F.when(ends, 1).otherwise(0)}
+    )
+    ranked = with_rank(loose, ["session_id", "agent_type", "__side"], "__k")
+    key = F.concat_ws("|", "session_id", "agent_type", F.col("__k").cast("string"))
+    numbered = ranked.withColumn("call_key", key).select(*CALL, "start_time", "end_time", "total_tokens")
+    calls = _met(parts.filter(F.col("call_key").isNotNull()).select(numbered.columns).union(numbered))
     if within:
         apart = F.abs(micros_between(F.col("start_time"), F.col("end_time"))) > interval_micros(within)
         start, end = F.col("start_time"), F.col("end_time")
