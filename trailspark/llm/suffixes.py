@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from trailspark.llm.shared import load, stored
 
@@ -390,8 +390,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     given = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("mark"))
     rows = anchor_rows(given)
-    often = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    places = rows.join(often, "core", "left_semi").groupBy("mark").agg(F.collect_set("place").alias("places"))
+    # Rows of one core meet in order, so that each sees from its neighbours whether it is alone.
+    alike = Window.partitionBy("core").orderBy("mark", "place")
+    twin = F.coalesce(F.lag("place").over(alike), F.lead("place").over(alike)).isNotNull()
+    places = rows.withColumn("twin", twin).filter("twin").groupBy("mark").agg(F.collect_set("place").alias("places"))
     found = stored(contexts(given.select("mark", "text").join(places, "mark")), "contexts")
     # A core that stands once here came by a collision of the first hash: nothing is known to repeat it.
     mixed_cores = found.groupBy("core").agg(
