@@ -2,14 +2,17 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import SF_SMALL, T0, at, task
+from trailspark.operators import agents, sessions, tools, workspaces
 from trailspark.operators.agents import window_stats
 from trailspark.operators.sessions import events_between, session_rollup
 from trailspark.plans.fixture_view import load_silver
-from trailspark.session import scratch_path
-from trailspark.sources import events as E, export, heartbeat
+from trailspark.schema import SILVER_SCHEMA
+from trailspark.session import names_in, scratch_path
+from trailspark.sources import cube, events as E, export, heartbeat
 
 
 def raw(spark, *payloads):
@@ -201,3 +204,87 @@ def test_labels_keep_text_that_is_no_object(spark):
     hosts = spark.createDataFrame([("/x", "w")], "cwd string, workspace string")
     got = {r.event_id: (r.workspace, r.data) for r in E.attach_workspace(df, hosts).collect()}
     assert {i: got[i] for i in (1, 2, 3)} == {i: ("w", texts[i]) for i in (1, 2, 3)}
+
+
+def test_events_without_a_time_are_stored_once(spark, events):
+    path = scratch_path(spark, "table")
+    ev = events({"event_id": 1}, {"event_id": 2}).withColumn("ts", F.when(F.col("event_id") == 1, F.col("ts")))
+    for _ in range(2):
+        E.append_events(ev, path)
+    assert sorted((r.event_id, r.event_date is None) for r in E.read_events(spark, path).collect()) == [(1, False), (2, True)]
+
+
+def scanned_rows(df):
+    """Rows that the file scan of a run handed on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    found = [leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()) if "FileScan" in leaves.apply(i).toString()]
+    return sum(found)
+
+
+def test_a_session_is_read_from_few_row_groups(spark):
+    """Sessions are clustered in a date's files; bounds and bloom filters skip the others."""
+    path = scratch_path(spark, "table")
+    made = {
+        "event_id": F.col("id"), "session_id": F.concat(F.lit("s"), F.col("id") * 7919 % 500),
+        "ts": F.timestamp_seconds(F.col("id") % 80_000).cast("timestamp_ntz"),
+    }
+    empty = [F.lit("x" * 20).cast(f.dataType).alias(f.name) if f.dataType.simpleString() == "string" else F.lit(None).cast(f.dataType).alias(f.name) for f in SILVER_SCHEMA if f.name not in made]
+    ev = spark.range(50_000).select(*[c.alias(n) for n, c in made.items()], *empty)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")  # Several files a date.
+    try:
+        for part in range(2):
+            E.append_events(ev.filter(F.col("event_id") % 2 == part), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    one = E.read_events(spark, path).filter("session_id = 's77'").select("ts", "event_id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert scanned_rows(one) <= 50_000 / 3
+        none = E.read_events(spark, path).filter("session_id = 's77x'").select("ts", "event_id")
+        assert scanned_rows(none) == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert one.count() == 100
+
+
+def same_rows(left, right):
+    assert sorted(map(str, left.collect())) == sorted(map(str, right.collect()))
+
+
+def test_a_cube_counts_only_touched_dates_again(spark):
+    path, store = scratch_path(spark, "table"), scratch_path(spark, "cube")
+    silver = load_silver(spark, SF_SMALL)
+    assert cube.refresh_cube(spark, path, store) == []
+    E.append_events(silver.filter("event_id % 3 > 0"), path)
+    assert len(cube.refresh_cube(spark, path, store)) == 30
+    assert cube.refresh_cube(spark, path, store) == []
+    files = {d: names_in(spark, store, "cube", d) for d in names_in(spark, store, "cube") if d.startswith("event_date=")}
+    E.append_events(silver.filter("ts >= '2024-01-10' and ts < '2024-01-12'"), path)  # late and repeated
+    assert cube.refresh_cube(spark, path, store) == ["2024-01-10", "2024-01-11"]
+    for date, before in files.items():
+        assert (names_in(spark, store, "cube", date) == before) == (date[-2:] not in ("10", "11"))
+    E.append_events(silver.withColumn("ts", F.when(F.col("event_id") != 5, F.col("ts"))).withColumn("event_id", F.when(F.col("event_id") == 5, -5).otherwise(F.col("event_id"))), path)
+    assert "__HIVE_DEFAULT_PARTITION__" in cube.refresh_cube(spark, path, store)
+    stored, rows = E.read_events(spark, path), cube.read_cube(spark, store)
+    as_of = "2024-01-31"
+    same_rows(cube.session_rollup_of_cube(rows, as_of), sessions.session_rollup(stored, as_of))
+    same_rows(cube.session_rollup_of_cube(rows, as_of, context="latest"), sessions.session_rollup(stored, as_of, context="latest"))
+    same_rows(cube.workspace_rollup_of_cube(rows, as_of), workspaces.workspace_rollup(stored, as_of))
+    same_rows(cube.tool_usage_of_cube(rows), tools.tool_usage(stored))
+    same_rows(cube.summary_of_cube(rows), agents.summary(stored))
+
+
+def test_a_refresh_that_dies_is_repeated(spark, monkeypatch):
+    path, store = scratch_path(spark, "table"), scratch_path(spark, "cube")
+    silver = load_silver(spark, SF_SMALL)
+    E.append_events(silver.filter("event_id < 500"), path)
+    cube.refresh_cube(spark, path, store)
+    E.append_events(silver, path)
+    monkeypatch.setattr(cube, "create_json", lambda *args: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        cube.refresh_cube(spark, path, store)
+    monkeypatch.undo()
+    assert cube.refresh_cube(spark, path, store)
+    same_rows(cube.summary_of_cube(cube.read_cube(spark, store)), agents.summary(silver))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fixtures import SF_SMALL, at
 from trailspark.plans.fixture_view import load_silver, raw_from_silver
 from trailspark.schema import SILVER_COLUMNS, SILVER_SCHEMA
-from trailspark.session import scratch_path
+from trailspark.session import names_in, scratch_path
 from trailspark.sources.events import read_events
 from trailspark.streaming import active, jobs, parts
 
@@ -225,7 +225,7 @@ def test_parts_are_folded_in_levels(spark, monkeypatch):
             assert totals(spark, folded) == totals(spark, plain)
     manifest = parts.read_manifest(spark, folded)
     assert [(f["first"], f["last"], f["level"]) for f in manifest["folds"]] == [(0, 26, 3), (27, 29, 1)]
-    assert len(parts._names(spark, folded, parts.FOLDS)) <= 2 + 3 + 3 and len(parts._names(spark, folded)) <= 3 + 3 + 4
+    assert len(names_in(spark, folded, parts.FOLDS)) <= 2 + 3 + 3 and len(names_in(spark, folded)) <= 3 + 3 + 4
     write_part(spark, folded, 30)  # The newest batch is run again.
     parts.fold(spark, folded, jobs.merged_totals)
     assert totals(spark, folded) == totals(spark, plain)
@@ -249,14 +249,14 @@ def test_a_fold_that_dies_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(parts, "swap_manifest", dies)
     with pytest.raises(RuntimeError):
         parts.fold(spark, path, jobs.merged_totals)
-    assert parts.read_manifest(spark, path)["version"] == 1 and len(parts._names(spark, path, parts.FOLDS)) == 2
+    assert parts.read_manifest(spark, path)["version"] == 1 and len(names_in(spark, path, parts.FOLDS)) == 2
     assert totals(spark, path) == expected
     assert whole.count() == 18  # A reader from before the fold.
     monkeypatch.setattr(parts, "swap_manifest", swap)
     parts.fold(spark, path, jobs.merged_totals)
     assert totals(spark, path) == expected
     used = {f["folder"] for f in parts.read_manifest(spark, path)["folds"]}
-    assert used <= set(parts._names(spark, path, parts.FOLDS))
+    assert used <= set(names_in(spark, path, parts.FOLDS))
     with pytest.raises(RuntimeError):
         parts.swap_manifest(spark, path, parts.read_manifest(spark, path))
 

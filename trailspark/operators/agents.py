@@ -345,8 +345,12 @@ def session_agent_summary(ev: DataFrame, gap: str = "1 second") -> DataFrame:
 
 
 def summary(ev: DataFrame, approximate: bool = False) -> DataFrame:
-    count = F.approx_count_distinct if approximate else F.count_distinct
     per_pair = ev.groupBy("session_id", "subagent_type").agg(F.count(F.lit(1)).alias("n"))
+    return summed(per_pair, approximate)
+
+
+def summed(per_pair: DataFrame, approximate: bool = False) -> DataFrame:
+    count = F.approx_count_distinct if approximate else F.count_distinct
     return per_pair.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
         count("session_id").alias("unique_sessions"),

@@ -74,17 +74,12 @@ def file_operations(ev: DataFrame, n: int = 50, session_id: str | None = None) -
     return touched.orderBy(*newest_first()).select("ts", "tool_name", "file_path", "event_name").limit(n)
 
 
-def _session_profile(ev: DataFrame, context: str = "max") -> DataFrame:
-    """Session figures per (session, agent); events outside agent calls have no agent.
-
-    Two rounds. The first counts events per distinct combination of the texts the
-    roll-ups look at: texts are grouping keys and only longs are aggregated, so it
-    is a hash aggregate with map-side combine, and a hot session shrinks to its
-    combinations. The second leaves one row per agent, so what is gathered by
-    session afterwards is as long as the agent vocabulary.
-    """
+def _combinations(ev: DataFrame) -> DataFrame:
+    """Events counted per distinct combination of the texts the roll-ups look at: texts are
+    grouping keys and only longs are aggregated, so it is a hash aggregate with map-side
+    combine, and a hot session shrinks to its combinations."""
     is_start = F.col("event_name") == SESSION_START
-    combinations = of_session(ev, None).groupBy(
+    return of_session(ev, None).groupBy(
         "session_id", "tool_name", "cwd", "workspace",
         F.when(is_agent_call(), F.col("subagent_type")).alias("agent"),
         F.when(is_start, F.col("source")).alias("start_source"),
@@ -95,6 +90,12 @@ def _session_profile(ev: DataFrame, context: str = "max") -> DataFrame:
         F.count_if(is_start).alias("starts"),
         F.count_if(F.col("event_name") == SESSION_END).alias("ends"),
     )
+
+
+def _session_profile(combinations: DataFrame, context: str = "max") -> DataFrame:
+    """Session figures per (session, agent); events outside agent calls have no agent. One row
+    per agent is left, so what is gathered by session afterwards is as long as the
+    agent vocabulary."""
     return combinations.groupBy("session_id", "agent").agg(
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
@@ -132,7 +133,11 @@ def session_rollup(
 ) -> DataFrame:
     """One row per session. Agent lists come out of the same aggregations, so
     there is one scan and no join."""
-    rolled = _session_profile(ev, context).groupBy("session_id").agg(
+    return rolled_sessions(_combinations(ev), as_of, active_within, context)
+
+
+def rolled_sessions(combinations: DataFrame, as_of, active_within: str, context: str) -> DataFrame:
+    rolled = _session_profile(combinations, context).groupBy("session_id").agg(
         F.min("first_ts").alias("session_start"),
         F.max("last_ts").alias("session_end"),
         F.sum("n").alias("total_events"),

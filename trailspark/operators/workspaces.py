@@ -38,13 +38,17 @@ def _totals(sessions: DataFrame) -> DataFrame:
 
 def workspace_rollup(ev: DataFrame, as_of, active: str = "1 hour", recent: str = "24 hours") -> DataFrame:
     """One row per workspace; its sessions are rows of ``workspace_session_ids``."""
+    return rolled_workspaces(workspace_sessions(ev), as_of, active, recent)
+
+
+def rolled_workspaces(sessions: DataFrame, as_of, active: str, recent: str) -> DataFrame:
     now, last = as_ntz(as_of), F.col("last_activity")
     status = (
         F.when(last > now - interval(active), "active")
         .when(last > now - interval(recent), "recent")
         .otherwise("inactive")
     )
-    return _totals(workspace_sessions(ev)).select(
+    return _totals(sessions).select(
         "workspace", "total_sessions", "first_activity", "last_activity", "total_events",
         micros_to_seconds(F.col("duration_micros")).alias("total_duration_seconds"),
         status.alias("status"),

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trailspark.operators import sessions
 from trailspark.plans import parameters as P
 from trailspark.plans.fixture_view import (
-    load_events, load_silver, load_typed, raw_from_silver, silver_from_events,
+    load_events, load_silver, load_typed, raw_from_silver,
 )
 from trailspark.schema import TASK, TYPED_COLUMNS, WORKSPACE_KEY
 from trailspark.session import pin_session, scratch_path
-from trailspark.sources import events as E, export, heartbeat
+from trailspark.sources import cube, events as E, export, heartbeat
 from trailspark.streaming import active, jobs
 
 
@@ -83,6 +83,34 @@ def append_events(spark, sf_dir):
     return E.read_events(spark, path).select("event_date", *TYPED_COLUMNS)
 
 
+def _polled_cube(spark, sf_dir):
+    """A cube that is refreshed after a first load, and again after one that repeats part of
+    it and adds the rest."""
+    events, store = scratch_path(spark, "table"), scratch_path(spark, "cube")
+    silver = load_silver(pin_session(spark), sf_dir)
+    for load in (F.col("ts") < F.lit(P.RANGE[1]).cast("timestamp_ntz"), F.col("ts") >= F.lit(P.RANGE[0]).cast("timestamp_ntz")):
+        E.append_events(silver.filter(load), events)
+        cube.refresh_cube(spark, events, store)
+    return cube.read_cube(spark, store)
+
+
+def session_rollup_of_cube(spark, sf_dir):
+    rolled = cube.session_rollup_of_cube(_polled_cube(spark, sf_dir), P.AS_OF, P.SESSION_ACTIVE)
+    return rolled.withColumn("agents_used", F.array_join("agents_used", ","))
+
+
+def workspace_rollup_of_cube(spark, sf_dir):
+    return cube.workspace_rollup_of_cube(_polled_cube(spark, sf_dir), P.AS_OF, P.WORKSPACE_ACTIVE, P.WORKSPACE_RECENT)
+
+
+def tool_usage_of_cube(spark, sf_dir):
+    return cube.tool_usage_of_cube(_polled_cube(spark, sf_dir))
+
+
+def summary_of_cube(spark, sf_dir):
+    return cube.summary_of_cube(_polled_cube(spark, sf_dir))
+
+
 def write_audit_log(spark, sf_dir):
     path = scratch_path(spark, "audit")
     silver = load_silver(pin_session(spark), sf_dir)
@@ -201,7 +229,8 @@ IO = {
     fn.__name__: fn
     for fn in (
         read_raw_events, normalize_time, split_quarantine, to_silver, attach_workspace,
-        append_events, write_audit_log, agent_event_feed, heartbeat_rate, route_events, export_csv,
+        append_events, session_rollup_of_cube, workspace_rollup_of_cube, tool_usage_of_cube,
+        summary_of_cube, write_audit_log, agent_event_feed, heartbeat_rate, route_events, export_csv,
         stream_silver, stream_session_rollup, stream_active_sessions, stream_window_counts,
         stream_activity_periods, stream_pair_calls, stream_late_report,
     )

@@ -10,6 +10,7 @@ from trailspark.schema import (
     PAYLOAD_SCHEMA, POST_TOOL, PRE_TOOL, RAW_SCHEMA, SILVER_COLUMNS, SILVER_SCHEMA, SUBAGENT_STOP,
     TASK, WORKSPACE_KEY,
 )
+from trailspark.session import delete, scratch_path
 
 BAD_LINE = "bad_line"
 FILE = "file"
@@ -143,28 +144,45 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def append_events(df: DataFrame, path: str) -> None:
-    """Append events whose id the table does not hold yet for their date, each id once.
+# Sessions that a row group's bloom filter is made for.
+SESSIONS_PER_GROUP = 50_000
+
 
-    Only the date folders of the batch are read: its dates, a few values, filter
-    the stored table. A small batch is broadcast against their ids. The
-    rebalance splits a crowded date over several files.
+def append_events(df: DataFrame, path: str) -> None:
+    """Append events whose id the table does not hold yet for their date, each id once;
+    events without a time have no date and are told apart by id alike.
+
+    The batch is written aside once, so it is parsed once. Only ids and row numbers are
+    compared: the date folders of the batch are read for their ids, and the rows to leave
+    out, few as a rule, are taken from the batch. The rest is dealt by date, session and
+    time: a crowded date is many files, and a session lies in few row groups, which their
+    bounds and bloom filters tell.
     """
-    dated = df.withColumn("event_date", F.to_date("ts")).dropDuplicates(["event_date", "event_id"])
+    spark = df.sparkSession
+    aside = scratch_path(spark, "batch")
+    numbered = df.withColumns({"event_date": F.to_date("ts"), "__row": F.monotonically_increasing_id()})
+    numbered.write.parquet(aside)
+    batch = spark.read.schema(numbered.schema).parquet(aside)
+    firsts = batch.groupBy("event_date", "event_id").agg(F.min("__row").alias("__row"))
     try:
-        stored = read_events(df.sparkSession, path).select("event_date", "event_id")
+        stored = read_events(spark, path).select("event_date", "event_id")
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
     else:
-        key = ["event_date", "event_id"]
-        dates = [row[0] for row in df.select(F.to_date("ts")).distinct().collect() if row[0]]
-        stored = stored.filter(F.col("event_date").isin(dates))
-        seen = stored.join(dated.select(*key), key, "left_semi")
-        dated = dated.join(seen, key, "left_anti")
-    dated.hint("rebalance", F.col("event_date")).write.mode("append").partitionBy(
-        "event_date"
-    ).parquet(path)
+        dates = [row[0] for row in batch.select("event_date").distinct().collect()]
+        known = F.col("event_date").isin([d for d in dates if d])
+        stored = stored.filter(known | F.col("event_date").isNull() if None in dates else known)
+        alike = (stored["event_id"] == firsts["event_id"]) & stored["event_date"].eqNullSafe(firsts["event_date"])
+        firsts = firsts.join(stored, alike, "left_anti")
+    repeats = batch.select("__row").join(firsts.select("__row"), "__row", "left_anti")
+    clustered = ["event_date", "session_id", "ts"]
+    rows = batch.join(repeats, "__row", "left_anti").drop("__row")
+    writer = rows.repartitionByRange(*clustered).sortWithinPartitions(*clustered).write.mode("append")
+    writer = writer.option("parquet.bloom.filter.enabled#session_id", "true")
+    writer = writer.option("parquet.bloom.filter.expected.ndv#session_id", str(SESSIONS_PER_GROUP))
+    writer.partitionBy("event_date").parquet(path)
+    delete(spark, aside)
 
 
 def audit_lines(df: DataFrame) -> DataFrame:

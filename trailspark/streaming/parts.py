@@ -11,13 +11,14 @@ that dies before it leaves a folder that nobody reads. So n batches are some
 ``FAN * log(n)`` folders.
 """
 
-import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from trailspark.session import create_json, delete, names_in, read_json
+
 FAN = 8
 FOLDS, MANIFEST = "_folds", "_manifest"
 
@@ -54,57 +55,28 @@ def start_each(
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-# Files ----------------------------------------------------------------------
-
-
-def _path(spark: SparkSession, *parts: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join(parts))
-
-
-def _store(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _names(spark: SparkSession, *parts: str) -> list[str]:
-    store, folder = _store(spark, parts[0]), _path(spark, *parts)
-    return [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
-
-
-def _delete(spark: SparkSession, *parts: str) -> None:
-    _store(spark, parts[0]).delete(_path(spark, *parts), True)
-
-
 # Manifest -------------------------------------------------------------------
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
     """The newest version: ``folds`` (first and last batch, level, folder), oldest batches first,
     and the folders that it ``retired``."""
-    versions = sorted(int(n.removesuffix(".json")) for n in _names(spark, path, MANIFEST) if n.endswith(".json"))
+    versions = sorted(int(n.removesuffix(".json")) for n in names_in(spark, path, MANIFEST) if n.endswith(".json"))
     if not versions:
         return {"version": 0, "folds": [], "retired": []}
-    stream = _store(spark, path).open(_path(spark, path, MANIFEST, f"{versions[-1]}.json"))
-    try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    return read_json(spark, path, MANIFEST, f"{versions[-1]}.json")
 
 
 def swap_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
     """Write the next version. The rename is the moment from which it holds."""
-    store = _store(spark, path)
-    aside = _path(spark, path, MANIFEST, f".{uuid.uuid4().hex}")
-    stream = store.create(aside, True)
-    stream.write(bytearray(json.dumps(manifest).encode()))
-    stream.close()
-    if not store.rename(aside, _path(spark, path, MANIFEST, f"{manifest['version']}.json")):
+    if not create_json(spark, manifest, path, MANIFEST, f"{manifest['version']}.json"):
         raise RuntimeError(f"another job has folded {path}")
 
 
 def _batches(spark: SparkSession, path: str, manifest: dict) -> list[int]:
     """Batches that are not folded, in order."""
     last = max((f["last"] for f in manifest["folds"]), default=-1)
-    found = [int(n.removeprefix("batch_id=")) for n in _names(spark, path) if n.startswith("batch_id=")]
+    found = [int(n.removeprefix("batch_id=")) for n in names_in(spark, path) if n.startswith("batch_id=")]
     return sorted(b for b in found if b > last)
 
 
@@ -167,10 +139,10 @@ def fold(spark: SparkSession, path: str, merge: Merge) -> None:
 def _clear(spark: SparkSession, path: str, manifest: dict) -> None:
     """Delete what the manifest's fold retired, what unfinished folds left, and old versions."""
     for name in manifest["retired"]:
-        _delete(spark, path, name)
+        delete(spark, path, name)
     used = {f["folder"] for f in manifest["folds"]}
-    for name in set(_names(spark, path, FOLDS)) - used:
-        _delete(spark, path, FOLDS, name)
-    for name in _names(spark, path, MANIFEST):
+    for name in set(names_in(spark, path, FOLDS)) - used:
+        delete(spark, path, FOLDS, name)
+    for name in names_in(spark, path, MANIFEST):
         if name != f"{manifest['version']}.json":
-            _delete(spark, path, MANIFEST, name)
+            delete(spark, path, MANIFEST, name)
