@@ -313,3 +313,16 @@ def test_a_session_of_a_million_calls_spreads(spark, tmp_path, monkeypatch):
     )
     assert groups.first() == (n, n, 1, n, 0)
     assert agents.session_agent_summary(ev).first().parallel_groups == 1
+
+
+def test_pages_by_offset_and_by_cursor(events, monkeypatch):
+    ev = events(*[{"at": n // 3, "session_id": f"s{n % 7}"} for n in range(60)])
+    first = sessions.recent_events(ev, limit=10, offset=20).collect()
+    names = sessions.recent_sessions(ev, limit=3, offset=2).collect()
+    monkeypatch.setattr(sessions, "SHALLOW", 5)
+    monkeypatch.setattr(ordered, "RATE", 2)
+    monkeypatch.setattr(ordered, "STEP", 2)
+    assert sessions.recent_events(ev, limit=10, offset=20).collect() == first
+    assert sessions.recent_sessions(ev, limit=3, offset=2).collect() == names
+    last = sessions.recent_events(ev, limit=20).collect()[-1]
+    assert sessions.events_before(ev, last.ts, last.event_id, 10).collect() == first

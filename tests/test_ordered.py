@@ -138,3 +138,22 @@ def test_percentile_cells_stay_small(spark, monkeypatch):
     df = spark.range(100_000).select(F.lit("a").alias("g"), (F.col("id") / 97.0 + 200).alias("x"))
     found = exact_percentiles(df, ["g"], "x", {"p50": 0.5}).first()
     assert found.p50 == pytest.approx(200 + 99_999 / 97 / 2) and seen[0] < 100
+
+
+@pytest.mark.parametrize("rate, step", [(1 << 16, 16), (1, 2), (8, 4)])
+def test_deep_pages(rows, rate, step, monkeypatch):
+    cut_at(monkeypatch, rate, step)
+    order = [F.col("ts").desc(), F.col("event_id").desc()]
+    everything = [r.event_id for r in rows.orderBy(*order).collect()]
+    for offset, limit in ((0, 10), (1234, 50), (2990, 50), (5000, 5)):
+        page = ordered.newest_page(rows, ("ts", "event_id"), order, offset, limit)
+        assert [r.event_id for r in page.collect()] == everything[offset : offset + limit]
+
+
+def test_deep_pages_look_at_few_rows(spark, monkeypatch):
+    """Of a moment that all rows share, too."""
+    cut_at(monkeypatch, 64, 8)
+    rows = spark.range(200_000).select(F.col("id").alias("event_id"), F.lit("2025-01-01").cast("timestamp_ntz").alias("ts"))
+    page = ordered.newest_page(rows, ("ts", "event_id"), [F.col("ts").desc(), F.col("event_id").desc()], 150_000, 3)
+    assert [r.event_id for r in page.collect()] == [49_999, 49_998, 49_997]
+    assert "Exchange hashpartitioning(__piece" in page._jdf.queryExecution().executedPlan().toString()

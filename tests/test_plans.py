@@ -11,7 +11,7 @@ from trailspark.plans.registry import BATCH
 QUERIES = contract.queries()
 # One row, or one bounded page, by definition.
 GLOBAL = {
-    "latest_session", "file_operations", "active_sessions", "recent_events", "recent_sessions",
+    "latest_session", "file_operations", "active_sessions", "recent_events", "recent_sessions", "events_page",
     "window_stats", "summary",
 }
 

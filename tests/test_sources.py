@@ -12,7 +12,7 @@ from trailspark.operators.sessions import events_between, session_rollup
 from trailspark.plans.fixture_view import load_silver
 from trailspark.schema import SILVER_SCHEMA
 from trailspark.session import names_in, scratch_path
-from trailspark.sources import cube, events as E, export, heartbeat
+from trailspark.sources import cube, events as E, export, heartbeat, sketches
 
 
 def raw(spark, *payloads):
@@ -288,3 +288,55 @@ def test_a_refresh_that_dies_is_repeated(spark, monkeypatch):
     monkeypatch.undo()
     assert cube.refresh_cube(spark, path, store)
     same_rows(cube.summary_of_cube(cube.read_cube(spark, store)), agents.summary(silver))
+
+
+def test_rules_of_a_table_equal_rules_of_a_list(spark):
+    silver = load_silver(spark, SF_SMALL).select("event_id", "event_name", "tool_name")
+    silver = silver.union(spark.createDataFrame([(-1, None, "Task"), (-2, "PreToolUse", None)], silver.schema))
+    rules = [(1, "PreToolUse", "Task"), (2, "PreToolUse", "*"), (3, "Stop", "*"), (4, "SessionEnd", "*"), (5, "PostToolUse", "Edit|^Ba.h$"), (6, "Stop", "x"), (2, "PreToolUse", "*")]
+    table = spark.createDataFrame(rules, "rule_id int, event_name string, pattern string")
+    expected = E.route_events(silver, rules)
+    found = E.route_events_by(silver, table)
+    assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
+    many = spark.range(10_000).select(
+        F.col("id").cast("int").alias("rule_id"), F.lit("PreToolUse").alias("event_name"),
+        F.when(F.col("id") % 100 == 0, "Task").otherwise(F.concat(F.lit("no"), "id")).alias("pattern"),
+    )
+    routed = E.route_events_by(silver, many)
+    assert len(routed._jdf.queryExecution().executedPlan().toString()) < 20_000
+    tasks = silver.filter("event_name = 'PreToolUse' and tool_name = 'Task'").count()
+    assert routed.count() == 100 * tasks
+
+
+def test_sketched_durations_are_close_to_exact_ones(spark):
+    path, store = scratch_path(spark, "table"), scratch_path(spark, "sketches")
+    made = {
+        "event_id": F.col("id"), "session_id": F.concat(F.lit("s"), F.col("id") % 300), "event_name": F.lit("PostToolUse"),
+        "tool_name": F.lit("Task"), "ts": F.timestamp_seconds(F.col("id") * 3).cast("timestamp_ntz"),
+        "subagent_type": F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("a"), F.col("id") % 5)),
+        "duration_ms": F.when(F.col("id") % 50 > 0, F.exp(F.pmod(F.xxhash64("id"), F.lit(10_000)) / 1000.0)),
+    }
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in SILVER_SCHEMA if f.name not in made]
+    ev = spark.range(120_000).select(*[c.alias(n) for n, c in made.items()], *empty)
+    for part in range(2):
+        E.append_events(ev.filter(F.col("event_id") % 2 == part), path)
+        assert len(cube.refresh_cube(spark, path, store, make=sketches.duration_sketches)) == 5
+    stored = E.read_events(spark, path)
+    for since, until in ((None, None), ("1970-01-02", "1970-01-04")):
+        inside = stored if since is None else stored.filter(f"event_date >= '{since}' and event_date < '{until}'")
+        exact = {r.agent_type: r for r in agents.agent_duration_profile(inside).collect()}
+        found = {r.agent_type: r for r in sketches.duration_profile_of_sketches(sketches.read_sketches(spark, store), since, until).collect()}
+        assert found.keys() == exact.keys()
+        for name, row in found.items():
+            for column in ("total_invocations", "first_used", "last_used", "min_duration_ms", "max_duration_ms", "avg_duration_ms"):
+                assert row[column] == pytest.approx(exact[name][column]) if "ms" in column else row[column] == exact[name][column]
+            assert abs(row.approx_sessions - exact[name].unique_sessions) <= 0.05 * exact[name].unique_sessions
+            values = inside.filter((F.col("subagent_type") == name) & F.col("duration_ms").isNotNull())
+            for column, rank in (("median_duration_ms", 0.5), ("p95_duration_ms", 0.95)):
+                # Ranks of the whole milliseconds around the value found.
+                low, high, n = values.agg(
+                    F.count_if(F.col("duration_ms") < row[column] - 1), F.count_if(F.col("duration_ms") <= row[column] + 1), F.count("*")
+                ).first()
+                assert low / n - 0.01 <= rank <= high / n + 0.01
+    shares = sketches.duration_range_shares_of_sketches(sketches.read_sketches(spark, store))
+    assert shares.columns == agents.duration_range_shares(stored).columns and shares.count() == len(exact)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 CELL = "__cell"
 PIECE = "__piece"
 BORDERS = "__borders"
+ALL = "__all"
 EVENT_ORDER = ("ts", "event_id")
 # One row in so many is sampled (a power of two), and a piece has about STEP sampled rows: a million rows.
 RATE = 1 << 16
@@ -59,11 +60,8 @@ def borders(
     return some.select(*keys, F.filter("__picked", fresh).alias(BORDERS))
 
 
-def in_pieces(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: DataFrame, how: str = "left"
-) -> DataFrame:
-    """The rows with BORDERS of their key and PIECE: the number of borders up to the row,
-    found by halving."""
+def piece_of(order: Sequence[str]) -> Column:
+    """The number of BORDERS up to the row, found by halving."""
     at = F.struct(*order)
 
     def halve(seen: Column, _: Column) -> Column:
@@ -78,8 +76,14 @@ def in_pieces(
 
     rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(BORDERS) + 1)).cast("int"))
     start = F.struct(F.lit(0).alias("low"), F.size(BORDERS).alias("high"))
-    piece = F.when(F.col(BORDERS).isNull(), 0).otherwise(F.aggregate(rounds, start, halve)["low"])
-    return df.join(F.broadcast(cut), list(keys), how).withColumn(PIECE, piece)
+    return F.when(F.col(BORDERS).isNull(), 0).otherwise(F.aggregate(rounds, start, halve)["low"])
+
+
+def in_pieces(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: DataFrame, how: str = "left"
+) -> DataFrame:
+    """The rows with BORDERS of their key and PIECE."""
+    return df.join(F.broadcast(cut), list(keys), how).withColumn(PIECE, piece_of(order))
 
 
 def in_cells(
@@ -177,3 +181,27 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
         df = df.withColumn("__top", F.row_number().over(salted)).filter(F.col("__top") <= n)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__top", rank).filter(F.col("__top") <= n).drop("__top")
+
+
+def newest_page(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], offset: int, limit: int
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of a table in an order that falls in ``by``.
+
+    The table is cut in pieces and these are counted; only pieces that the page touches
+    are exchanged and numbered. However deep the page lies, no task and not the driver
+    sees the rows before it: their number is known from one row per piece.
+    """
+    cut = borders(df.withColumn(ALL, F.lit(0)), [ALL], by).select(BORDERS).scalar()
+    pieces = lambda rows: rows.withColumn(BORDERS, cut).withColumn(PIECE, piece_of(by))
+    counted = pieces(df.select(*by)).groupBy(PIECE).agg(F.count(F.lit(1)).alias("__n"))
+    newer = Window.orderBy(F.col(PIECE).desc()).rowsBetween(*before)
+    placed = counted.withColumn("__before", F.coalesce(F.sum("__n").over(newer), F.lit(0)))
+    touched = placed.filter((F.col("__before") < offset + limit) & (F.col("__before") + F.col("__n") > offset))
+    inside = Window.partitionBy(PIECE).orderBy(*order)
+    numbered = (
+        pieces(df).join(F.broadcast(touched.select(PIECE, "__before")), PIECE)
+        .withColumn("__place", F.col("__before") + F.row_number().over(inside))
+        .filter((F.col("__place") > offset) & (F.col("__place") <= offset + limit))
+    )
+    return numbered.orderBy("__place").limit(limit).select(*df.columns)

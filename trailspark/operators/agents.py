@@ -81,7 +81,7 @@ def agent_usage(ev: DataFrame) -> DataFrame:
     return used.orderBy(F.col("usage_count").desc(), "agent_type")
 
 
-def _whole(value: str) -> Column:
+def whole_ms(value: str) -> Column:
     """Half-even rounding to whole milliseconds, stable against float noise."""
     return F.bround(F.round(value, 6), 0).alias(value)
 
@@ -112,17 +112,21 @@ def agent_duration_profile(
         )
     return stats.select(
         "agent_type", "total_invocations", "unique_sessions", "first_used", "last_used",
-        *[_whole(f"{name}_duration_ms") for name in ("avg", "min", "max", "median", "p95")],
+        *[whole_ms(f"{name}_duration_ms") for name in ("avg", "min", "max", "median", "p95")],
     )
 
 
 def duration_range_shares(ev: DataFrame) -> DataFrame:
     """Percent of the min-max range below median, p95 and max, and where the mean lies."""
+    return range_shares(agent_duration_profile(ev))
+
+
+def range_shares(profile: DataFrame) -> DataFrame:
     lowest, highest = F.col("min_duration_ms"), F.col("max_duration_ms")
     width = F.nullif(highest - lowest, F.lit(0.0))
     median, p95 = F.col("median_duration_ms"), F.col("p95_duration_ms")
     percent = lambda part: F.round(part / width * 100, 6)
-    return agent_duration_profile(ev).select(
+    return profile.select(
         "agent_type",
         (highest - lowest).alias("range_ms"),
         percent(median - lowest).alias("share_0_50"),

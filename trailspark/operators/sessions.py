@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trailspark.functions.ordered import top_n, with_rank
+from trailspark.functions.ordered import newest_page, top_n, with_rank
 from trailspark.functions.times import as_ntz, interval, seconds_between
 from trailspark.schema import (
     FILE_TOOLS, POST_TOOL, PRE_COMPACT, PRE_TOOL, SESSION_END, SESSION_START, TASK,
@@ -177,7 +177,7 @@ def session_agent_list(ev: DataFrame) -> DataFrame:
 def active_sessions(ev: DataFrame, as_of, within: str = "1 hour", n: int = 10) -> DataFrame:
     """Newest open sessions: no end event and a last event inside ``within``."""
     now = as_ntz(as_of)
-    grouped = _session_profile(ev).groupBy("session_id").agg(
+    grouped = _session_profile(_combinations(ev)).groupBy("session_id").agg(
         F.min("first_ts").alias("session_start"),
         F.max("last_ts").alias("last_event"),
         F.sum("n").alias("total_events"),
@@ -222,17 +222,38 @@ def session_context(ev: DataFrame) -> DataFrame:
     )
 
 
+# Rows that the driver may order to show a page; deeper pages are found by counting.
+SHALLOW = 10_000
+
+
 def recent_events(ev: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    if offset + limit > SHALLOW:
+        return newest_page(ev, ("ts", "event_id"), newest_first(), offset, limit)
     return ev.orderBy(*newest_first()).offset(offset).limit(limit)
 
 
+def events_before(ev: DataFrame, ts, event_id: int, limit: int = 100) -> DataFrame:
+    """The page that follows the event (``ts``, ``event_id``), the last of the page before: however
+    deep, only older events are looked at."""
+    moment = as_ntz(ts)
+    older = (F.col("ts") < moment) | ((F.col("ts") == moment) & (F.col("event_id") < event_id))
+    rows = ev.filter((F.col("ts") <= moment) & older)
+    if "event_date" in ev.columns:
+        rows = rows.filter(F.col("event_date") <= moment.cast("date"))
+    return rows.orderBy(*newest_first()).limit(limit)
+
+
 def recent_sessions(ev: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     grouped = of_session(ev, None).groupBy("session_id").agg(
         F.min("ts").alias("session_start"),
         F.max("ts").alias("session_end"),
         F.count(F.lit(1)).alias("total_events"),
     )
-    page = grouped.orderBy(F.col("session_start").desc(), "session_id").offset(offset).limit(limit)
+    order = [F.col("session_start").desc(), F.col("session_id")]
+    if offset + limit > SHALLOW:
+        page = newest_page(grouped, ("session_start",), order, offset, limit)
+    else:
+        page = grouped.orderBy(*order).offset(offset).limit(limit)
     return page.withColumn(
         "duration_seconds", seconds_between(F.col("session_start"), F.col("session_end"))
     )

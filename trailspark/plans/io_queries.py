@@ -144,6 +144,13 @@ def route_events(spark, sf_dir):
     return E.route_events(rows, P.RULES).select("event_id", "event_name", "tool_name", "rule_id")
 
 
+def route_events_by(spark, sf_dir):
+    """The rules of the parameters as a table."""
+    rows = load_typed(pin_session(spark), sf_dir)
+    rules = spark.createDataFrame(list(P.RULES), "rule_id int, event_name string, pattern string")
+    return E.route_events_by(rows, rules).select("event_id", "event_name", "tool_name", "rule_id")
+
+
 def export_csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
     rolled = sessions.session_rollup(
@@ -230,7 +237,7 @@ IO = {
     for fn in (
         read_raw_events, normalize_time, split_quarantine, to_silver, attach_workspace,
         append_events, session_rollup_of_cube, workspace_rollup_of_cube, tool_usage_of_cube,
-        summary_of_cube, write_audit_log, agent_event_feed, heartbeat_rate, route_events, export_csv,
+        summary_of_cube, write_audit_log, agent_event_feed, heartbeat_rate, route_events, route_events_by, export_csv,
         stream_silver, stream_session_rollup, stream_active_sessions, stream_window_counts,
         stream_activity_periods, stream_pair_calls, stream_late_report,
     )

@@ -537,3 +537,6 @@ ORACLE.update({
 # The same results from stored counts.
 for name in ("session_rollup", "workspace_rollup", "tool_usage", "summary"):
     ORACLE[f"{name}_of_cube"] = ORACLE[name]
+ORACLE["route_events_by"] = ORACLE["route_events"]
+# A page found by counting.
+ORACLE["events_page"] = q(f"SELECT {COLUMNS} FROM ev ORDER BY ts DESC, event_id DESC LIMIT 100 OFFSET 400")

@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trailspark.functions.ordered import newest_page
 from trailspark.operators import activity, agents, sessions, tools, workspaces
 from trailspark.plans import parameters as P
 from trailspark.plans.fixture_view import load_silver, load_typed
@@ -72,6 +73,7 @@ BATCH: dict[str, Query] = {
     "session_timeline": _timeline,
     "session_context": _over_events(sessions.session_context),
     "recent_events": _over_events(sessions.recent_events, limit=100, offset=50),
+    "events_page": _over_events(lambda ev: newest_page(ev, ("ts", "event_id"), sessions.newest_first(), 400, 100)),
     "recent_sessions": _over_events(sessions.recent_sessions, limit=20, offset=10),
     "events_between": _over_events(sessions.events_between, *P.RANGE),
     "session_replay": _over_events(sessions.session_replay),

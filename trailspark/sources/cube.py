@@ -7,6 +7,7 @@ functions equal the operators over the events, late and repeated loads included.
 """
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -52,9 +53,13 @@ def _seen(spark: SparkSession, store: str) -> tuple[int, dict[str, str]]:
     return (max(versions), read_json(spark, store, SEEN, f"{max(versions)}.json")) if versions else (0, {})
 
 
-def refresh_cube(spark: SparkSession, events_path: str, store: str) -> list[str]:
+def refresh_cube(
+    spark: SparkSession, events_path: str, store: str, make: Callable[[DataFrame], DataFrame] = counted
+) -> list[str]:
     """Bring the cube up to the stored events; returns the dates that were counted again.
 
+    ``make`` gives the stored rows of some dates' events, with their ``event_date``.
+
     The files are listed before they are read: what comes in meanwhile changes the next
     listing, and its date is counted once more. A run that dies before its last write
     is repeated by the next. One job at a time may refresh a store.
@@ -66,7 +71,7 @@ def refresh_cube(spark: SparkSession, events_path: str, store: str) -> list[str]
     if changed:
         known = F.col("event_date").isin([d for d in changed if d != NO_DATE])
         dated = known | F.col("event_date").isNull() if NO_DATE in changed else known
-        rows = counted(read_events(spark, events_path).filter(dated))
+        rows = make(read_events(spark, events_path).filter(dated))
         writer = rows.hint("rebalance", F.col("event_date")).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(f"{store}/cube")
     for date in gone:

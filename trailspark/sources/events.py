@@ -230,3 +230,20 @@ def route_events(ev: DataFrame, rules: Sequence[tuple[int, str, str]]) -> DataFr
             match = match & F.coalesce(F.col("tool_name").rlike(pattern), F.lit(False))
         matches.append(F.when(match, F.lit(rule_id)))
     return ev.withColumn("rule_id", F.explode(F.array_compact(F.array(*matches))))
+
+
+def route_events_by(ev: DataFrame, rules: DataFrame) -> DataFrame:
+    """``route_events`` with rules from a table (rule_id, event_name, pattern), however many.
+
+    Rules meet the different pairs of event and tool name, not the events: patterns are
+    tried once per pair and the rules of a pair become an index that the events look
+    up. The plan has one size for all tables; no hint, since a small index is broadcast
+    once its size is known.
+    """
+    pairs = ev.select("event_name", "tool_name").distinct()
+    fits = (F.col("pattern") == "*") | F.coalesce(F.regexp_like("tool_name", F.col("pattern")), F.lit(False))
+    index = pairs.join(rules, "event_name").filter(fits).groupBy("event_name", "tool_name").agg(
+        F.array_sort(F.collect_list("rule_id")).alias("__rules")
+    ).withColumnsRenamed({"event_name": "__event", "tool_name": "__tool"})
+    alike = (F.col("event_name") == F.col("__event")) & F.col("tool_name").eqNullSafe(F.col("__tool"))
+    return ev.join(index, alike).select(*ev.columns, F.explode("__rules").alias("rule_id"))
