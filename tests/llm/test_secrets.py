@@ -1,11 +1,24 @@
+import functools
 import hashlib
+import math
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from trailspark.llm.secrets import GUESSES, find_secrets, guess_bits, op7_secrets, with_secrets
+from trailspark.llm import secrets
+from trailspark.llm.secrets import GUESSES, Guesser, letter_bits, op7_secrets, ranked_words, with_secrets
 
 SF = "/root/testdata/sf0.01"
+PLAIN = Guesser()
+guess_bits = PLAIN.bits
+
+
+def find_secrets(text, guesser=PLAIN):
+    return secrets.find_secrets(text, guesser)
+
+
 FORMS = {
     "assign": (r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
@@ -65,3 +78,58 @@ def test_nulls_repeats_clashing_names_and_no_rows(spark, documents):
     assert sorted((str(r.doc_id), len(r.secrets)) for r in rows if r.doc_id != 2) == [("1", 0), ("None", 0)]
     assert [r.secrets[0].kind for r in rows if r.doc_id == 2] == ["assign"] * 2
     assert with_secrets(docs.limit(0)).count() == 0
+
+
+def plain_bits(value, words):
+    """The least cost by trying all cuts and, for each part, all that it may be."""
+
+    def part_bits(part):
+        costs = [sum(map(letter_bits, part))]
+        small = part.lower()
+        for word, extra in ((small, 0), (small.translate(secrets.LEET), 2)):
+            if word in words and len(part) > 1:
+                upper = sum(c.isupper() for c in part)
+                more = 0 if not upper else 1 if upper == len(part) or part[0].isupper() and upper == 1 else upper
+                costs.append(math.log2(words.index(word) + 1) + extra + more)
+        if part in tuple(secrets.JOINS):
+            costs.append(2)
+        if any(form.fullmatch(part) for form in secrets.DATES):
+            costs.append(secrets.YEAR_BITS if len(part) == 4 else secrets.DATE_BITS)
+        for row in secrets.WALKS:
+            if len(part) > 2 and (small in row or small in row[::-1]):
+                costs.append(math.log2(len(secrets.WALKS) * 2) + math.log2(len(row)) + math.log2(len(part)))
+        for unit in range(1, min(8, len(part) // 2) + 1):
+            copies = len(part) // unit
+            if part[:unit] * copies == part:
+                costs.append(min(sum(map(letter_bits, part[:unit])), whole(part[:unit])) + math.log2(copies))
+        return 1 + min(costs)
+
+    @functools.cache
+    def whole(text):
+        return min([part_bits(text[i:]) + whole(text[:i]) for i in range(len(text))], default=0.0)
+
+    return whole(value)
+
+
+def test_costs_equal_trying_all_cuts():
+    rng = random.Random(6)
+    words = [*secrets.WORDS, "patience", "abab", "zz"]
+    guesser = Guesser(words[len(secrets.WORDS):])
+    pieces = ["pass", "P4ss", "aab", "aab", "1999", "0112", "19991231", "qwe", "rty", "x", "Z", "-", "patience", "zz", "ab", "321", "77"]
+    for _ in range(400):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6)))[:14]
+        assert guesser.bits(value) == pytest.approx(plain_bits(value, words)), value
+    assert guesser.bits("aabaabaabaab") < 20
+    assert guesser.bits("a" * 50_000) < 30
+
+
+def test_words_of_the_corpus_are_no_secrets(spark, documents):
+    """Sentences of four languages; the words get their ranks from the documents themselves."""
+    prose = [
+        "The secret is patience, and the token: identifier of an authentication.", "Das secret is Geduldigkeit, sagte die Zauberin.",
+        "Le secret is tranquillité; le token: identifiant de la personne.", "El secret is perseverancia y el token: identificador.",
+    ]
+    docs = documents(*[(n, f"{text} {n}") for n, text in enumerate(prose * 3)], (100, "pwd: xK9#mQ2$vL!"), (101, "secret: GeduldigkeitPatience"))
+    found = {r.doc_id: [s.kind for s in r.secrets if s.kind == "guess"] for r in with_secrets(docs).collect()}
+    assert found[100] == ["guess"] and not any(kinds for doc, kinds in found.items() if doc != 100)
+    assert ranked_words(docs, 2) == ["secret", "is"] and len(ranked_words(docs)) > 20

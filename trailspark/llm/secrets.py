@@ -2,7 +2,7 @@
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -35,13 +35,15 @@ WORDS = (
     "private", "public", "server", "database", "data", "summer", "winter", "spring", "autumn", "monday", "friday",
     "god", "star", "magic", "computer", "internet", "system", "manager", "required", "optional", "string", "text",
 )
-RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
 JOINS = "-_./"
-LONGEST = max(map(len, WORDS))
+RANKED = 50_000  # Words of the corpus that get a rank, which bounds what is broadcast.
+LONGEST = 24  # Letters of a ranked word, at most.
+COPIES = 32  # A repeat has 2 to so many copies, or all that stand in a row.
 LEET = str.maketrans("@4301!57$", "aaeoiists")
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+DAY, MONTH, YEAR, BETWEEN = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d", "[-/._]?"
+DATES = [re.compile(BETWEEN.join(parts), re.A) for parts in ((YEAR, MONTH, DAY), (DAY, MONTH, YEAR), (YEAR,))]
 DATE_BITS, YEAR_BITS = math.log2(365 * 120), math.log2(120)
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
+UNIT = 8  # Characters of what is repeated, at most.
 
 
 def letter_bits(c: str) -> float:
@@ -53,69 +55,91 @@ def letter_bits(c: str) -> float:
     return math.log2(95)
 
 
-def _word_bits(part: str) -> float | None:
-    lower = part.lower()
-    rank = RANKS.get(lower)
-    extra = 0.0
-    if rank is None and (rank := RANKS.get(lower.translate(LEET))):
-        extra = 2.0
-    if rank is None:
-        return None
-    upper = sum(c.isupper() for c in part)
-    return math.log2(rank) + extra + (0 if not upper else 1 if upper == len(part) or part[0].isupper() and upper == 1 else upper)
-
-
-def _spans(value: str) -> Iterator[tuple[int, int, float]]:
-    """(start, end, bits) of every way to guess a part at less than its letters."""
-    n, lower = len(value), value.lower()
-    for i in range(n):
-        for k in range(i + 2, min(i + LONGEST, n) + 1):
-            if (bits := _word_bits(value[i:k])) is not None:
-                yield i, k, bits
-        if value[i] in JOINS:
-            yield i, i + 1, 2.0
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            yield i, m.end(), YEAR_BITS if m.end() - i == 4 else DATE_BITS
-            if m.end() - i > 4 and value[i : i + 2] in ("19", "20"):
-                yield i, i + 4, YEAR_BITS
-    for row in (*WALKS, *(w[::-1] for w in WALKS)):
-        i = 0
-        while i < n:
-            k = i + 1
-            at = row.find(lower[i])
-            while at >= 0 and k < n and at + k - i < len(row) and row[at + k - i] == lower[k]:
-                k += 1
-            for end in range(i + 3, k + 1):
-                yield i, end, math.log2(len(WALKS) * 2) + math.log2(len(row)) + math.log2(end - i)
-            i = max(i + 1, k - 2)
-
-
-@lru_cache(maxsize=10_000)
-def guess_bits(value: str) -> float:
-    """Least cost of guessing ``value``, in bits, over all ways to cut it into words, dates,
-    repeats, keyboard walks and spans of any letters.
-
-    best[i] is the cost of the first i characters; each part ends a cheaper beginning. A
-    part costs one bit besides, for the choice of its kind; one more letter of an open span
-    costs only itself.
+class Guesser:
+    """Costs of guessing with words of given ranks; the fixed words come first."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        ranked = dict.fromkeys([*WORDS, *words])
+        self.ranks = {w: i + 1 for i, w in enumerate(ranked)}
+        self.bits = lru_cache(maxsize=10_000)(self._bits)
+
+    def word_bits(self, part: str) -> float | None:
+        """The rank, what is written large, and two bits for digits and signs that stand for letters."""
+        lower = part.lower()
+        rank, extra = self.ranks.get(lower), 0.0
+        if rank is None and (rank := self.ranks.get(lower.translate(LEET))):
+            extra = 2.0
+        if rank is None:
+            return None
+        upper = sum(c.isupper() for c in part)
+        return math.log2(rank) + extra + (0 if not upper else 1 if upper == len(part) or part[0].isupper() and upper == 1 else upper)
+
+    def spans(self, value: str) -> Iterator[tuple[int, int, float]]:
+        """(start, end, bits) of every word, date, walk and sign that joins words."""
+        n, lower = len(value), value.lower()
+        for i in range(n):
+            for k in range(i + 2, min(i + LONGEST, n) + 1):
+                if (bits := self.word_bits(value[i:k])) is not None:
+                    yield i, k, bits
+            if value[i] in JOINS:
+                yield i, i + 1, 2.0
+            if value[i].isdigit():
+                for form in DATES:
+                    if m := form.match(value, i):
+                        yield i, m.end(), YEAR_BITS if m.end() - i == 4 else DATE_BITS
+        for row in (*WALKS, *(w[::-1] for w in WALKS)):
+            steps, after = 0, dict(zip(row, row[1:]))
+            for i in range(n - 1, -1, -1):
+                steps = steps + 1 if i + 1 < n and after.get(lower[i]) == lower[i + 1] else int(lower[i] in row)
+                for end in range(i + 3, i + steps + 1):
+                    yield i, end, math.log2(len(WALKS) * 2) + math.log2(len(row)) + math.log2(end - i)
+
+    def _bits(self, value: str) -> float:
+        """Least cost of guessing ``value``, in bits, over all ways to cut it into words, dates,
+        repeats, keyboard walks and spans of any letters.
+
+        best[i] is the cost of the first i characters; each part ends a cheaper beginning. A
+        part costs one bit besides, for the choice of its kind; one more letter of an open
+        span costs only itself. A repeat costs its unit, guessed alone, and the number of
+        its copies.
+        """
+        n = len(value)
+        ending: dict[int, list[tuple[int, float]]] = {}
+        for start, end, bits in self.spans(value):
+            ending.setdefault(end, []).append((start, bits))
+        best, brute = [0.0] * (n + 1), [math.inf] * (n + 1)
+        same = [[0] * (n + 1) for _ in range(UNIT + 1)]  # Characters before i that stand one unit earlier too.
+        for i in range(1, n + 1):
+            letter = letter_bits(value[i - 1])
+            brute[i] = min(best[i - 1] + 1 + letter, brute[i - 1] + letter)
+            costs = [brute[i], *(best[s] + 1 + bits for s, bits in ending.get(i, ()))]
+            for unit in range(1, min(UNIT, i - 1) + 1):
+                same[unit][i] = same[unit][i - 1] + 1 if value[i - 1] == value[i - 1 - unit] else 0
+                most = same[unit][i] // unit + 1
+                if most > 1:
+                    one = self.unit_bits(value[i - unit : i])
+                    for copies in {*range(2, min(most, COPIES) + 1), most}:
+                        costs.append(best[i - copies * unit] + 1 + one + math.log2(copies))
+            best[i] = min(costs)
+        return best[n]
+
+    def unit_bits(self, unit: str) -> float:
+        return min(sum(map(letter_bits, unit)), self.bits(unit))
+
+
+def ranked_words(docs: DataFrame, most: int = RANKED) -> list[str]:
+    """The ``most`` words that stand in most documents, the most common first; ties by word.
+
+    A word is a run of 2 to LONGEST letters, in lower case. All words of all documents are
+    counted, in each task before the shuffle; only the ranking is bounded.
     """
-    n = len(value)
-    ending: dict[int, list[tuple[int, float]]] = {}
-    for start, end, bits in _spans(value):
-        ending.setdefault(end, []).append((start, bits))
-    for m in REPEAT.finditer(value):
-        unit = m[1]
-        bits = sum(map(letter_bits, unit)) + math.log2((m.end() - m.start()) // len(unit))
-        ending.setdefault(m.end(), []).append((m.start(), bits))
-    best, brute = [0.0] * (n + 1), [math.inf] * (n + 1)
-    for i in range(1, n + 1):
-        letter = letter_bits(value[i - 1])
-        brute[i] = min(best[i - 1] + 1 + letter, brute[i - 1] + letter)
-        best[i] = min([brute[i], *(best[s] + 1 + bits for s, bits in ending.get(i, ()))])
-    return best[n]
-
-
-def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
+    runs = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), 0)
+    words = docs.select(F.explode(F.array_distinct(runs)).alias("word")).filter(F.length("word").between(2, LONGEST))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return [r.word for r in counted.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+
+
+def find_secrets(text: str | None, guesser: Guesser) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order of start, then of KINDS; null has none."""
     text = text or ""
     lower = text.lower()
@@ -128,7 +152,7 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
             group = m.lastindex
             start, end = m.span(group)
             value = m[group].rstrip(".!?)]}") if group == 3 else m[group]
-            if value and guess_bits(value) >= GUESSES:
+            if value and guesser.bits(value) >= GUESSES:
                 spans.append((start, start + len(value), "guess"))
     if "AKIA" in text:
         spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LENGTH]
@@ -140,17 +164,22 @@ def with_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, if not given) with ``secrets``: (start, end, kind) in code points of the whole
     text, end exclusive.
 
-    Null and empty texts have none; repeated rows have equal ones; a column named
+    What a value of a credential field costs to guess depends on the ranks of words, which
+    are counted over the texts of ``docs``: common words are no secrets. Null and empty
+    texts have none; repeated rows have equal ones; a column named
     ``secrets`` is replaced; an empty table gives no rows. Long values cost time in
     proportion to their length.
     """
     names = [c for c in (keep or docs.columns) if c != "secrets"]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
+    shared = docs.sparkSession.sparkContext.broadcast(ranked_words(docs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = Guesser(shared.value)
         for batch in batches:
             found = [
-                [{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(t.as_py())]
+                [{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(t.as_py(), guesser)]
                 for t in batch.column(0)
             ]
             yield pa.RecordBatch.from_arrays(
