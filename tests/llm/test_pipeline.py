@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
@@ -74,3 +75,16 @@ def test_odd_documents(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, SF)
     assert out.count() == 0
+
+
+def test_columns_named_like_counts_stay(spark, documents):
+    line = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    docs = documents(*[(n, "\n".join([line(f"own{n}x"), line("a"), line("b"), line("c")])) for n in range(3)])
+    for name in ("n_lines", "n_removed", "k0", "mark", "fp", "own0", "a.b"):
+        docs = docs.withColumn(name, F.lit(f"is {name}"))
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, out, SF)
+        assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[name] == f"is {name}" for r in rows for name in docs.columns[5:])

@@ -162,7 +162,9 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, 0 to PASSES times; same columns.
 
     Rows that are equal in all columns are taken together: as many of them come out as the
-    mix takes of all. The texts are shuffled once.
+    mix takes of all. The texts are shuffled once. Null sources are the last source; rows
+    whose text is null or has no words come out never. Columns may have any names. An
+    empty table gives no rows.
     """
     names = docs.columns
     # A hash skips nulls, so which columns are null goes in too.

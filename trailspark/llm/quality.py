@@ -177,7 +177,11 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of ``docs``."""
+    """The documents that pass, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts fail. Null languages and sources are values like others, and
+    repeated rows have one verdict. An empty table gives no rows.
+    """
     names = docs.columns
     given = docs.select("text", "lang", "source", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
     kept = judge(given, [f"k{i}" for i in range(len(names))]).filter("__kept")

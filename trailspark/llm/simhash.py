@@ -176,7 +176,13 @@ def near_duplicates(docs: DataFrame, words: int, distance: int, keep: list[str]
 
 
 def keep_one(docs: DataFrame, words: int, distance: int) -> DataFrame:
-    """One row of each component: one with the least doc_id; same columns as ``docs``."""
+    """One row of each component: one with the least doc_id; same columns as ``docs``, whatever
+    their names.
+
+    Null, empty and wordless texts are one component. Where rows with the least doc_id are
+    repeated one of them stays; a null doc_id stays only where there is no other. An
+    empty table gives no rows.
+    """
     names = docs.columns
     given = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
     found = near_duplicates(given, words, distance, [f"k{i}" for i in range(len(names))])
