@@ -6,9 +6,9 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from trailspark.llm.shared import load
+from trailspark.llm.shared import load, stored
 
 # The forms of the base, with the least length of what counts.
 ASSIGN = re.compile(
@@ -128,15 +128,21 @@ class Guesser:
 
 
 def ranked_words(docs: DataFrame, most: int = RANKED) -> list[str]:
-    """The ``most`` words that stand in most documents, the most common first; ties by word.
+    """Words by the number of documents they stand in, the most common first; ties by word.
 
     A word is a run of 2 to LONGEST letters, in lower case. All words of all documents are
-    counted, in each task before the shuffle; only the ranking is bounded.
+    counted, in each task before the shuffle. Of words as common as each other all are
+    ranked or none, so that ``most`` are at most: the driver gets no others.
     """
     runs = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), 0)
     words = docs.select(F.explode(F.array_distinct(runs)).alias("word")).filter(F.length("word").between(2, LONGEST))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r.word for r in counted.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    counted = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    # One row per number of documents, of which there are few.
+    by_count = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    so_far = F.sum("words").over(Window.orderBy(F.col("n").desc()))
+    least = by_count.withColumn("ranked", so_far).filter(F.col("ranked") <= most).agg(F.min("n")).first()[0]
+    ranked = counted.filter(F.col("n") >= least).collect() if least else []
+    return [r.word for r in sorted(ranked, key=lambda r: (-r.n, r.word))]
 
 
 def find_secrets(text: str | None, guesser: Guesser) -> list[tuple[int, int, str]]:
