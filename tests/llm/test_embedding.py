@@ -1,11 +1,13 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from trailspark.llm.embedding import (
-    BAND, CLASSES, PERIOD, SAMPLES, WALKS, Embedding, edited, embed, likeness, mixed, nearest_known, op1_fingerprints,
+    BAND, CLASSES, LEAST, MINIMA, PERIOD, SAMPLES, WALKS, Embedding, Sketches, edited, embed, least_equal, likeness, minima, mixed,
+    nearest_known, op1_fingerprints,
 )
 
 SF = "/root/testdata/sf0.01"
@@ -100,33 +102,72 @@ def test_order_with_nulls_ties_repeats_and_few_rows(spark, documents):
     assert embed(docs.limit(0), 4).count() == 0
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def shingles(text):
+    words = words_of(text)
+    wide = min(5, len(words))
+    return {tuple(words[i : i + wide]) for i in range(len(words) - wide + 1)} if wide else set()
+
+
+def test_sketches_estimate_the_share_of_shingles():
+    rng, made = random.Random(6), Sketches()
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    for n, changed in ((3, 1), (60, 1), (300, 5), (5000, 200), (5000, 40), (200, 200)):
+        a = [rng.choice(vocabulary) for _ in range(n)]
+        b = list(a)
+        for i in rng.sample(range(n), changed):
+            b[i] = "new" + b[i]
+        one, two = shingles(" ".join(a)), shingles("\n".join(b))
+        equal = (minima([made.sketch(" ".join(a))]) == minima([made.sketch("\x0b".join(b) + " ")])).mean()
+        assert abs((equal - 1 / 4) * 4 / 3 - len(one & two) / len(one | two)) < 0.16
+    assert made.sketch(" a  b\tc\n") == made.sketch("a b c") != made.sketch("a c b")
+    assert made.sketch("") == made.sketch(" \n") == bytes(MINIMA // 4) != made.sketch("a")
+    assert made._shingles("x y " * 40).size == 76 and len({*made._shingles("x y " * 40).tolist()}) == 2
+
+
+def test_near_copies_are_found(spark, documents):
+    """Copies with a few other words, as many as leave 0.81 to 0.97 of the shingles."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    rows, sizes = [], ((100, 1), (300, 6), (1000, 10), (3000, 10), (3000, 30))
+    for size, changed in sizes:
+        for _ in range(40):
+            a = [rng.choice(vocabulary) for _ in range(size)]
+            b = list(a)
+            for i in rng.sample(range(size), changed):
+                b[i] = rng.choice(vocabulary)
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {r.doc_id: r.near_id for r in embed(documents(*rows)).select("doc_id", "near_id").collect()}
+    assert all(near in (i, i - i % 2) for i, near in got.items())
+    for k in range(len(sizes)):
+        linked = [got[i] == i - 1 for i in range(80 * k + 1, 80 * k + 81, 2)]
+        assert np.mean(linked) >= 0.9, sizes[k]
+
+
 def test_all_pairs_of_a_crowded_band_are_verified(spark):
     rng = random.Random(8)
-    size = WALKS * SAMPLES
-    template = bytes(rng.randrange(256) for _ in range(size))
+    size, half = WALKS * SAMPLES, MINIMA // 4
     fresh = lambda n: bytes(rng.randrange(256) for _ in range(n))
-
-    def form():
-        """Five bands of eight in each walk are those of the template: 0.63 alike."""
-        kept = {8 * w + i for w in range(WALKS) for i in rng.sample(range(8), 5)}
-        return [template[i * BAND : (i + 1) * BAND] if i in kept else fresh(BAND) for i in range(size // BAND)], kept
-
+    template = fresh(BAND)
     rows = []
-    for i in range(150):
-        base, kept = form()
-        near = [b if k in kept else b[:-1] + fresh(1) for k, b in enumerate(base)]
-        rows += [(2 * i, b"".join(base)), (None if i % 9 == 0 else 2 * i + 1, b"".join(near))]
+    for i in range(150):  # all share the first band; only two at a time are alike by their sketches
+        sketch = fresh(half)
+        near = bytearray(sketch)
+        for k in rng.sample(range(half), rng.randint(30, 60)):
+            near[k] ^= 0x10
+        rows += [(2 * i, template + fresh(size - BAND), sketch)]
+        rows += [(None if i % 9 == 0 else 2 * i + 1, template + fresh(size - BAND), bytes(near))]
     rng.shuffle(rows)
-    bands = lambda p: {(i, p[i : i + BAND]) for i in range(0, size, BAND)}
-    keys = [bands(p) for _, p in rows]
-    plain, led = {}, 0
-    for (own, p), mine in zip(rows, keys):
-        near = [i for (i, q), theirs in zip(rows, keys) if i is not None and mine & theirs and likeness(p, q) >= 0.8]
-        plain[p] = min(near, default=own)
-        leads = {min((i for (i, _), theirs in zip(rows, keys) if i is not None and key in theirs), default=own) for key in mine}
-        led += plain[p] not in leads
-    assert led > 100  # the least doc_id of a band alone would miss these
-    prints = spark.createDataFrame(rows, "doc_id long, fingerprint binary").withColumn("mark", F.xxhash64("fingerprint"))
+    alike = lambda a, b: (minima([a]) == minima([b])).sum() >= least_equal(LEAST)
+    plain = {}
+    for own, p, sketch in rows:
+        plain[p] = min((i for i, _, other in rows if i is not None and alike(sketch, other)), default=own)
+    assert 60 < sum(plain[p] != i for i, p, _ in rows if i is not None and i % 2)
+    prints = spark.createDataFrame(rows, "doc_id long, fingerprint binary, sketch binary")
+    prints = prints.withColumn("mark", F.xxhash64("fingerprint", "sketch"))
     for block in (7, 1 << 14):
-        got = prints.join(nearest_known(prints.select("doc_id", "mark", "fingerprint"), block=block), "mark")
+        got = prints.join(nearest_known(prints, block=block), "mark")
         assert {bytes(r.fingerprint): r.near_id for r in got.collect()} == plain
