@@ -74,14 +74,19 @@ def event_texts(ev: DataFrame) -> DataFrame:
     return rows.select("id", "t.role", "ts", "t.text").filter(F.col("text").isNotNull())
 
 
+def search_terms(terms: Sequence[str]) -> list[str]:
+    needles = [term.lower() for term in terms if term]
+    if not needles:
+        raise ValueError("search needs at least one non-empty term")
+    return needles
+
+
 def search_text(df: DataFrame, terms: Sequence[str], text: str = "text") -> DataFrame:
     """Rows whose text holds a term, whatever the case, with hit count and excerpt.
 
     Works on any DataFrame; all columns but the text are kept.
     """
-    needles = [term.lower() for term in terms if term]
-    if not needles:
-        raise ValueError("search needs at least one non-empty term")
+    needles = search_terms(terms)
     lowered = F.lower(text)
     hits = sum(
         (

@@ -13,7 +13,7 @@ from trailspark.plans.fixture_view import (
 )
 from trailspark.schema import TASK, TYPED_COLUMNS, WORKSPACE_KEY
 from trailspark.session import pin_session, scratch_path
-from trailspark.sources import cube, events as E, export, heartbeat
+from trailspark.sources import cube, events as E, export, heartbeat, text_index
 from trailspark.streaming import active, jobs
 
 
@@ -232,12 +232,22 @@ def stream_late_report(spark, sf_dir):
     return jobs.read_late_report(spark, out)
 
 
+def search_indexed_documents(spark, sf_dir):
+    """Documents added in two batches, then searched by their grams."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    store = scratch_path(spark, "texts")
+    text_index.index_texts(docs.filter("doc_id % 2 = 0"), store)
+    text_index.index_texts(docs.filter("doc_id % 2 <> 0 OR doc_id IS NULL"), store)
+    return text_index.search_indexed(spark, store, P.SEARCH_TERMS)
+
+
 IO = {
     fn.__name__: fn
     for fn in (
         read_raw_events, normalize_time, split_quarantine, to_silver, attach_workspace,
         append_events, session_rollup_of_cube, workspace_rollup_of_cube, tool_usage_of_cube,
         summary_of_cube, write_audit_log, agent_event_feed, heartbeat_rate, route_events, route_events_by, export_csv,
+        search_indexed_documents,
         stream_silver, stream_session_rollup, stream_active_sessions, stream_window_counts,
         stream_activity_periods, stream_pair_calls, stream_late_report,
     )

@@ -273,6 +273,9 @@ ORACLE = {
     "search_documents": "WITH "
     + search("documents", "doc_id, lang, source", P.SEARCH_TERMS).strip()
     + " SELECT doc_id, lang, source, hits, substr(t, greatest(pos - 20, 1), 80) AS snippet FROM found WHERE hits > 0",
+    "search_indexed_documents": "WITH "
+    + search("documents", "doc_id, lang, source", P.SEARCH_TERMS).strip()
+    + " SELECT doc_id, lang, source, hits, substr(t, greatest(pos - 20, 1), 80) AS snippet FROM found WHERE hits > 0",
     "search_event_texts": q(
         "SELECT id, role, ts, hits, substr(t, greatest(pos - 20, 1), 80) AS snippet FROM found WHERE hits > 0",
         """spoken AS (
