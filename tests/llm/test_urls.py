@@ -63,3 +63,42 @@ def test_combinations_judge_other_pages(spark):
     assert verdicts[501] == verdicts[502] == (None, "allow")
     from_others = urls.judge_urls(df.selectExpr("*", "'own' AS tokens"))
     assert {r.tokens for r in from_others.collect()} == {"own"}
+
+
+def plain_tokens(url):
+    host, path = parse(url)
+    rest = re.split(r"[?#]", url, maxsplit=1) if url and "://" in url else [""]
+    query = url[len(rest[0]):] if len(rest) > 1 else ""
+    shape = lambda v: f"#{len(v)}" if re.fullmatch(r"[0-9]+", v) else v
+    named = [("host:", host.split(".")), ("path:", re.split(r"[/.]", path)), ("query:", re.findall(r"[?&]([^=&#]+)", query))]
+    return sorted({kind + shape(v) for kind, values in named for v in values if v})
+
+
+def test_query_against_counting_all_combinations(spark):
+    """Every verdict of the registered query, from plain counts over the whole table."""
+    pages = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()}
+    ruled = {i: rule(*parse(u)) for i, u in pages.items()}
+    labelled = [(plain_tokens(pages[i]), r[1]) for i, r in ruled.items() if r]
+    counts, whole = Counter(), Counter()
+    for items, verdict in labelled:
+        for n in (1, 2, 3):
+            for part in itertools.combinations(items, n):
+                counts[part, verdict] += 1
+                whole[part] += 1
+    strong = {
+        (part, verdict): (n / whole[part], n) for (part, verdict), n in counts.items()
+        if n >= 0.01 * len(labelled) and n / whole[part] >= 0.9
+    }
+    rules = [
+        (*v, " ".join(k[0]), k[1], set(k[0])) for k, v in strong.items()
+        if not any((p, k[1]) in strong and strong[p, k[1]][0] >= v[0]
+                   for n in range(1, len(k[0])) for p in itertools.combinations(k[0], n))
+    ]
+    expected = {}
+    for i, url in pages.items():
+        own = set(plain_tokens(url))
+        best = max((r[:4] for r in rules if r[4] <= own), default=None)
+        expected[i] = (*parse(url), *(ruled[i] or (None, best[3] if best else "allow")))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.op8_url_filters(spark, "/root/testdata/sf0.01").collect()}
+    assert got == expected
+    assert len({v[3] for v in got.values() if v[2] is None}) == 2
