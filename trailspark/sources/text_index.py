@@ -17,7 +17,7 @@ from trailspark.session import create_json, names_in, read_json
 
 GRAM = 3
 # Rows of a block: a power of two, so that blocks of two tasks never share a number.
-BLOCK_BITS = 10
+BLOCK_BITS = 6
 BUCKETS = 64
 # Blocks that a search may name one by one. Beyond them it reads all files.
 LISTED = 10_000
